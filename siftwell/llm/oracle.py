@@ -1,6 +1,66 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from .license_scan import CONTAINMENT, PHRASES, TEMPLATES
+
+_PLACES = "list_filter(range(0, len(w) - {n} + 1), lambda i: {test})"
+
+
+def _phrase_places(phrase: str) -> str:
+    tokens = phrase.split()
+    test = " AND ".join(f"w[i + {k}] = '{t}'" for k, t in enumerate(tokens, 1))
+    return _PLACES.format(n=len(tokens), test=test)
+
+
+def _license_sql() -> str:
+    phrases = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, unnest({_phrase_places(p)}) AS place FROM d" for p, label in PHRASES)
+    templates = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))!r})" for k, (t, label) in enumerate(TEMPLATES))
+    return rf"""
+        WITH d AS (
+            SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS lines,
+                   regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), p AS ({phrases}),
+        base AS (
+            SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base
+            FROM p GROUP BY doc_id
+        ), t(k, label, bag) AS (VALUES {templates}),
+        l AS (
+            SELECT doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw
+            FROM (SELECT doc_id, unnest(lines) AS line FROM d)
+        ), hits AS (
+            SELECT doc_id, label, len(list_intersect(lw, bag)) / len(bag) AS share FROM l, t
+        ), found AS (
+            SELECT doc_id, list(DISTINCT label) AS found, max(share) AS share FROM hits WHERE share >= {CONTAINMENT} GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
+               round(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE, 6) AS score
+        FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_license_scan": _license_sql(),
+    "op9_url_filter": r"""
+        WITH r(action, host, path) AS (VALUES
+            ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
+            ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+        ), u AS (
+            SELECT row_number() OVER () AS k, page_id,
+                   CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), s AS (
+            SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+            FROM u
+        ), best AS (
+            SELECT s.k, arg_max(r.host || r.path, length(r.host) + length(r.path)) AS rule, arg_max(r.action, length(r.host) + length(r.path)) AS action
+            FROM s JOIN r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+            GROUP BY s.k
+        )
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM s LEFT JOIN best USING (k)
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
