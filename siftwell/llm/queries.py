@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, license_scan, quality, simhash, url_filter
+from . import decontaminate, exact_dedup, langid, license_scan, quality, simhash, substring_dedup, url_filter
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage repeated elsewhere, with the passages."""
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over 3-word shingles and components of links at two bits or fewer."""
     found = simhash.near_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
@@ -60,4 +65,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_langid, op6_quality, op7_exact_dedup, op9_url_filter, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_langid, op6_quality, op7_exact_dedup, op9_url_filter, op10_license_scan)}
