@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, license_scan, quality, simhash, substring_dedup, url_filter
+from . import decontaminate, exact_dedup, langid, license_scan, quality, simhash, substring_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.count(table(spark, sf_dir, "documents"), rule="majority")
+
+
 # The rules of the URL query.
 URL_RULES = (
     ("block", "com", "/en/"),
@@ -65,4 +70,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_langid, op6_quality, op7_exact_dedup, op9_url_filter, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_langid, op6_quality, op7_exact_dedup, op8_token_counts, op9_url_filter, op10_license_scan)}
