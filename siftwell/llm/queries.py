@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, license_scan, quality, simhash, substring_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, langid, license_scan, piece_sampling, quality, simhash, substring_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document: their number, a digest of their ids and whether decoding gives the text back."""
+    found = piece_sampling.tokenize(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_digest"), "lossless")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return quality.assess(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -70,4 +76,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_langid, op6_quality, op7_exact_dedup, op8_token_counts, op9_url_filter, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_langid, op5_sentencepiece, op6_quality, op7_exact_dedup, op8_token_counts, op9_url_filter, op10_license_scan)}
