@@ -11,10 +11,12 @@ place where a passage begins, whatever its length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, sized_broadcast
+from .common import cut, free_name, sized_broadcast
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_ERRORS = 8, 8, 2
@@ -35,33 +37,47 @@ def _shingles(ws: Column, k: Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(ws, i + 1, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def simhash(shingles: Column) -> Column:
     """64 bits; a bit is 1 if it is set in over half of the shingles' hashes. A fold over the packed counters of the hashes."""
-    hashes = F.transform(F.slice(shingles, 1, MOST_SHINGLES), lambda s: F.xxhash64(s))
     fields = F.lit(0x0001000100010001)
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.call_function("shiftrightunsigned", h, k).bitwiseAND(fields)))
-    half = F.size(hashes)
 
-    def bit(lane: Column, k: Column, j: int) -> Column:
+    def bit(lane: Column, k: Column, j: int, n: Column) -> Column:
         ones = F.shiftrightunsigned(lane, LANES * j).bitwiseAND(F.lit(0xFFFF))
-        return F.when(2 * ones > half, F.call_function("shiftleft", F.lit(1).cast("long"), k + LANES * j)).otherwise(F.lit(0).cast("long"))
+        return F.when(2 * ones > n, F.call_function("shiftleft", F.lit(1).cast("long"), k + LANES * j)).otherwise(F.lit(0).cast("long"))
+
+    def lane_bits(hashes: Column, k: Column) -> Column:
+        counted = F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.call_function("shiftrightunsigned", h, k).bitwiseAND(fields))
+        return _let(counted, lambda c: bit(c, k, 0, F.size(hashes)).bitwiseOR(bit(c, k, 1, F.size(hashes))).bitwiseOR(bit(c, k, 2, F.size(hashes))).bitwiseOR(bit(c, k, 3, F.size(hashes))))
 
-    def four(lane: Column, k: Column) -> Column:
-        return bit(lane, k, 0).bitwiseOR(bit(lane, k, 1)).bitwiseOR(bit(lane, k, 2)).bitwiseOR(bit(lane, k, 3))
+    def whole(hashes: Column) -> Column:
+        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: lane_bits(hashes, k)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-    return F.aggregate(F.transform(lanes, four), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return _let(F.transform(F.slice(shingles, 1, MOST_SHINGLES), lambda s: F.xxhash64(s)), whole)
+
+
+def _block(fp: Column, b: int) -> Column:
+    return F.shiftrightunsigned(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
 def blocks(fp: Column) -> Column:
-    """(number, value) of the eight blocks of a fingerprint."""
-    number = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    return F.transform(number, lambda b: F.struct(b.alias("block"), F.call_function("shiftrightunsigned", fp, b * BLOCK_BITS).bitwiseAND(F.lit(255)).alias("value")))
+    """(block, value) of the eight blocks of a fingerprint, written out so that nothing about them is inferred below a join."""
+    return F.array(*[F.struct(F.lit(b).alias("block"), _block(fp, b).alias("value")) for b in range(BLOCKS)])
+
+
+def first_block(difference: Column) -> Column:
+    """The first block within BLOCK_ERRORS bits: a pair that meets in several blocks is taken in this one only."""
+    return F.coalesce(*[F.when(F.bit_count(_block(difference, b)) <= BLOCK_ERRORS, F.lit(b)) for b in range(BLOCKS)])
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Of two shingle multisets: the smaller counts' sum by the larger counts' sum."""
     shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, s: n + F.least(F.size(F.filter(a, lambda x: x == s)), F.size(F.filter(b, lambda x: x == s))))
-    return shared / (F.size(a) + F.size(b) - shared)
+    return _let(shared, lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def _hashed(ws: str) -> Column:
@@ -109,13 +125,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 
 def _verified(windows: DataFrame, items: DataFrame, k: int, count: int, similarity: float) -> DataFrame:
-    told = windows.withColumn("shingles", _shingles(F.col("window"), F.lit(k))).withColumn("fp", simhash(F.col("shingles")))
+    told = cut(windows).withColumn("shingles", _shingles(F.col("window"), F.lit(k))).withColumn("fp", simhash(F.col("shingles")))
     keys = told.withColumn("spot", F.explode(blocks(F.col("fp")))).select("doc_id", "item_id", "start", F.size("window").alias("n_words"), "shingles", "fp", "spot.block", "spot.value")
     known = items.select("item_id", _shingles(F.col("ws"), F.lit(k)).alias("i_shingles")).withColumn("i_fp", simhash(F.col("i_shingles")))
     near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")), lambda v: F.bit_count(v.bitwiseXOR(F.col("spot.value"))) <= BLOCK_ERRORS)
     index = known.withColumn("spot", F.explode(blocks(F.col("i_fp")))).select("item_id", "i_fp", "spot.block", F.explode(near).alias("value"))
-    fits = F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp")))
-    candidates = keys.join(index, ["item_id", "block", "value"]).withColumn("hamming", fits).where(F.col("hamming") <= RADIUS).dropDuplicates(["doc_id", "item_id", "start"])
+    difference = F.col("fp").bitwiseXOR(F.col("i_fp"))
+    met = keys.join(sized_broadcast(index, count, 20_000), ["item_id", "block", "value"])
+    candidates = met.withColumn("hamming", F.bit_count(difference)).where((F.col("hamming") <= RADIUS) & (F.col("block") == first_block(difference)))
     exact = candidates.join(sized_broadcast(known.select("item_id", "i_shingles"), count, 20_000), "item_id")
     return exact.withColumn("similarity", weighted_jaccard(F.col("i_shingles"), F.col("shingles"))).where(F.col("similarity") >= similarity).select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
 
