@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581  # stands for a space
-BLOCK_CHARS = 1 << 19  # characters worked on at a time
+BLOCK_CHARS = 1 << 16  # characters worked on at a time
+SLICE_ROWS = 64  # rows held as Python text at a time
 ALPHA = 1.0  # inverse temperature: larger values favour frequent and long pieces
 SALT = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -316,10 +317,22 @@ def row_key(key: Column, seed: int = 0) -> Column:
 
 def sampled_ids(text: Column, key: Column, path: str = MODEL, alpha: float = ALPHA, seed: int = 0) -> Column:
     """array<int> of the sampled piece ids."""
+    return round_trip(text, key, path, alpha, seed)["ids"]
 
-    @F.arrow_udf("array<int>")
+
+def round_trip(text: Column, key: Column, path: str = MODEL, alpha: float = ALPHA, seed: int = 0) -> Column:
+    """struct<ids array<int>, lossless boolean>: the sampled piece ids and whether decoding them gives the text back, in one pass over the text."""
+    kind = pa.list_(pa.int32())
+
+    @F.arrow_udf("struct<ids: array<int>, lossless: boolean>")
     def compute(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        return pa.array(encode(texts.to_pylist(), keys.to_pylist(), path, alpha), pa.list_(pa.int32()))
+        ids, same = [], []
+        for at in range(0, len(texts), SLICE_ROWS):
+            part = texts.slice(at, SLICE_ROWS).to_pylist()
+            found = encode(part, keys.slice(at, SLICE_ROWS).to_pylist(), path, alpha)
+            ids.append(pa.array(found, kind))
+            same += [decode(f, path) == (t if t is None else t.replace("▁", " ")) for f, t in zip(found, part, strict=True)]
+        return pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], kind), *ids]), pa.array(same, pa.bool_())], ["ids", "lossless"])
 
     return compute(text, row_key(key, seed))
 
@@ -340,5 +353,5 @@ def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     The text may hold anything, the space mark U+2581 aside, which decodes as a space. Null texts have null ids; empty texts none. Rows that repeat an id and a text
     get the same pieces. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body"), sampled_ids(F.col(text), F.col(key), path, alpha, seed).alias("ids"))
-    return rows.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), decoded(F.col("ids"), path).eqNullSafe(F.translate("body", "▁", " ")).alias("lossless"))
+    rows = docs.select(F.col(key).alias("doc_id"), round_trip(F.col(text), F.col(key), path, alpha, seed).alias("told"))
+    return rows.select("doc_id", "told.ids", F.coalesce(F.size("told.ids"), F.lit(0)).alias("n_tokens"), "told.lossless")
