@@ -35,7 +35,7 @@ SCAN_BYTES = 64 * 1024
 def detect_mime(content: Column) -> Column:
     """Media type by magic bytes; ZIP containers are told apart by the entry names in their first 64 KiB."""
     head = F.hex(F.substring(content, F.lit(1), F.lit(16)))
-    names = F.decode(F.substring(content, F.lit(1), F.lit(SCAN_BYTES)), F.lit("ISO-8859-1"))
+    names = F.decode(F.substring(content, F.lit(1), F.lit(SCAN_BYTES)), "ISO-8859-1")
     office = "application/vnd.openxmlformats-officedocument."
     zipped = (
         F.when(names.contains("[Content_Types].xml") & names.contains("word/"), office + "wordprocessingml.document")

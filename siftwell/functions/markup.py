@@ -93,4 +93,4 @@ def extract_text(content: Column, mime: Column, path: Column) -> Column:
 
 def printable_strings(content: Column, least: int = 4) -> Column:
     """Maximal runs of at least `least` printable ASCII bytes."""
-    return F.regexp_extract_all(F.decode(content, F.lit("ISO-8859-1")), F.lit(f"[ -~]{{{least},}}"), F.lit(0))
+    return F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(f"[ -~]{{{least},}}"), F.lit(0))

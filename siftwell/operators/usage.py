@@ -42,7 +42,7 @@ def daily(events: DataFrame) -> DataFrame:
 
 def daily_filled(events: DataFrame, first: str, last: str) -> DataFrame:
     """daily() with a row of zeros for every other day of the range."""
-    days = events.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).cast("string").alias("day"))
+    days = events.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")).select(F.col("day").cast("string"))
     return days.join(daily(events), "day", "left").select("day", F.coalesce("prompt", F.lit(0)).alias("prompt"), F.coalesce("completion", F.lit(0)).alias("completion"))
 
 

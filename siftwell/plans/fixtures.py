@@ -9,7 +9,6 @@ from ..operators import chunking
 
 AS_OF = "2024-01-31 00:00:00"
 JOBS_AS_OF = "2001-08-02 00:00:00"
-QUERY_VECTORS = (3, 77, 200, 301, 450)
 KIND_LIST = ("document", "code", "image", "email")
 
 
@@ -79,13 +78,39 @@ VECTORS = "vectors AS (SELECT vec_id AS chunk_id, vec_id // 5 AS document_id, em
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "embeddings").where(F.col("vec_id").isin(*QUERY_VECTORS)).select(F.col("vec_id").alias("query_id"), "embedding")
+    """The stated query set of vector searches: every hundredth vector."""
+    return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+QUERY_VECTORS = "query_vectors AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0)"
 
 
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set of keyword searches: the first eight words of every hundredth document."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 8)
+    return read(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+
+
+TEXT_QUERIES = r"""text_queries AS (
+    SELECT doc_id AS query_id, array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}]+'), 1, 8), ' ') AS text
+    FROM documents WHERE doc_id % 100 = 0
+)"""
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def expected(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, expected_ids): the documents that hold a benchmark item word for word. The items are a bounded set that every scan task gets."""
+    docs, asked = read(spark, d, "documents"), items(spark, d)
+    found = docs.join(F.broadcast(asked.withColumnRenamed("text", "passage")), F.contains("text", "passage"))
+    return found.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected_ids"))
+
+
+EXPECTED = "expected AS (SELECT item_id AS query_id, list(DISTINCT doc_id) AS expected_ids FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id)"
+
+
 def tag_names(spark: SparkSession, d: str) -> DataFrame:
     """Tags: languages, sources, and lengths; (tag_id, tenant_id, name)."""
     return document_tag_names(spark, d).select("name").distinct().select(F.xxhash64("name").alias("tag_id"), "name")
