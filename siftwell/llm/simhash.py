@@ -113,15 +113,17 @@ def links(points: DataFrame, max_bits: int, crowd: int = CROWD) -> DataFrame:
     neighbour lose nothing and grow in proportion. With more bits: links to the key's least member, and pairs only
     for those that are not near to it.
     """
-    keys = cut(keyed(points, max_bits))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "fp")).alias("hub")).where("n > 1")
-    full = keys.join(sizes, "key")
+    keys = keyed(points, max_bits)
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = cut(keys.join(sizes, "key"))  # fingerprints that are alone under a key end here
     small = full.where(F.col("n") <= crowd).select("key", "rep", "fp")
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & _near(max_bits))
     found = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     crowded = full.where(F.col("n") > crowd)
     if max_bits <= 2:
         return found.unionByName(_through_neighbours(crowded.select("rep", "fp").distinct())).distinct()
+    hubs = crowded.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("hub"))
+    crowded = crowded.join(hubs, "key")
     to_hub = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits
     stars = crowded.where(to_hub & (F.col("rep") != F.col("hub.rep"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
     rest = crowded.where(~to_hub).select("key", "rep", "fp")
@@ -195,7 +197,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, shingle: in
     return both.where(alike("bag_a", "bag_b")).select("a", "b")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_bits: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
     """docs with one row left of each group of near-duplicates: the one with the smallest id.
 
     Fingerprints are taken over the distinct words, where an edit of a few words moves few bits; pairs within max_bits are then verified by
