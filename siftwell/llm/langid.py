@@ -63,20 +63,22 @@ def features(text: bytes | None) -> np.ndarray:
     return np.sqrt(counts / total).astype(np.float32) if total else counts.astype(np.float32)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights of a linear support vector machine with squared hinge loss (y is 1 or -1; last weight: bias), by dual coordinate descent."""
+def train_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = 10.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights of a linear support vector machine with squared hinge loss (last weight: bias), by dual coordinate descent over the given rows of x, whose labels y are 1 or -1."""
+    rows = np.arange(len(x)) if rows is None else rows
     rng = np.random.default_rng(seed)
-    weights, alpha = np.zeros(x.shape[1] + 1, np.float64), np.zeros(len(x))
+    weights, alpha = np.zeros(x.shape[1] + 1, np.float64), np.zeros(len(rows))
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     slack = 1 / (2 * cost * share)
-    norm = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1 + slack
+    norm = np.array([x[k] @ x[k] for k in rows], np.float64) + 1 + slack
     for _ in range(rounds):
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ weights[:-1] + weights[-1]) - 1 + slack[i] * alpha[i]
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]]
+            gradient = y[i] * (row @ weights[:-1] + weights[-1]) - 1 + slack[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / norm[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                weights[:-1] += step * x[i]
+                weights[:-1] += step * row
                 weights[-1] += step
                 alpha[i] = new
     return weights
@@ -111,23 +113,22 @@ class Model(NamedTuple):
         return langs[best], float(1 / (1 + np.exp(-2 * np.clip(margin, -30, 30))))
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from (language, features) rows; no rows give one that answers `und`."""
-    langs = sorted({lang for lang, _ in rows})
+def fit(langs_of: list[str], x: np.ndarray) -> Model:
+    """A model from the languages and features of rows; no rows give one that answers `und`."""
+    langs = sorted(set(langs_of))
     members: dict[str, list[str]] = {}
     for lang in langs:
         members.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
     families = sorted(members)
-    x = np.stack([f for _, f in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
-    lang = np.array([r for r, _ in rows])
-    family = np.array([FAMILY_OF.get(r, r) for r, _ in rows])
+    lang = np.array(langs_of)
+    family = np.array([FAMILY_OF.get(r, r) for r in langs_of])
     top = np.stack([train_svm(x, np.where(family == f, 1, -1)) for f in families]) if len(families) > 1 else np.zeros((len(families), DIMENSIONS + 1))
     pairs: dict[str, list[tuple[int, int, np.ndarray]]] = {}
     for f, own in members.items():
         pairs[f] = []
         for i, j in combinations(range(len(own)), 2):
-            two = (lang == own[i]) | (lang == own[j])
-            pairs[f].append((i, j, train_svm(x[two], np.where(lang[two] == own[i], 1, -1))))
+            two = np.flatnonzero((lang == own[i]) | (lang == own[j]))
+            pairs[f].append((i, j, train_svm(x, np.where(lang[two] == own[i], 1, -1), two)))
     return Model(families, members, top, pairs)
 
 
@@ -140,7 +141,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     labelled = rows.where(F.col(lang).isNotNull() & has_letter(text)).select(F.col(lang).alias("lang"), F.col(text).alias("body"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(sample_rows // 8).collect()}
     if not counts:
-        return fit([])
+        return fit([], np.zeros((0, DIMENSIONS), np.float32))
     share = sample_rows // len(counts)
     limit = F.lit(0.0)
     for code, n in counts.items():
@@ -149,10 +150,13 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     @F.arrow_udf("binary")
     def vectors(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
+        return pa.array([features(t.as_py()).astype(np.float16).tobytes() for t in texts], pa.binary())
 
-    sample = labelled.where(unit < limit).orderBy("h").limit(sample_rows).select("lang", vectors(F.col("body").cast("binary")).alias("v"))
-    return fit([(r["lang"], np.frombuffer(bytes(r["v"]), np.float32)) for r in sample.collect()])
+    sample = labelled.where(unit < limit).orderBy("h").limit(sample_rows).select("lang", vectors(F.col("body").cast("binary")).alias("v")).collect()
+    x = np.empty((len(sample), DIMENSIONS), np.float32)
+    for k, r in enumerate(sample):
+        x[k] = np.frombuffer(r["v"], np.float16)
+    return fit([r["lang"] for r in sample], x)
 
 
 def predictions(model: Model, text: Column) -> Column:
