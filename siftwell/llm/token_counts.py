@@ -21,7 +21,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that goes with the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "majority", "end")
-OUT = pa.list_(pa.struct([("section", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64())]))
+OUT = pa.list_(pa.struct([("section", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64()), ("of_document", pa.int64())]))
 
 
 @cache
@@ -75,7 +75,7 @@ def line_sections(data: bytes) -> np.ndarray:
 
 
 def sections(text: Column, path: str = RANKS, rule: str = "start", bounds: Column | None = None) -> Column:
-    """array<struct<section, first, last, n_tokens, n_crossing>> of a text; first and last are byte offsets. bounds: sorted first bytes of the
+    """array<struct<section, first, last, n_tokens, n_crossing, of_document>> of a text; first and last are byte offsets. bounds: sorted first bytes of the
     sections (null or none: the whole text is one); by default the sections are the lines."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -86,9 +86,10 @@ def sections(text: Column, path: str = RANKS, rule: str = "start", bounds: Colum
         starts = line_sections(body) if by_line else np.unique(np.array([0, *(x for x in given or [] if x is not None and 0 < x < len(body))], np.int64))
         counts, crossing = attribute(token_ends(body.decode("utf-8"), path), starts, rule)
         ends = np.append(starts[1:], len(body))
-        return [{"section": k, "first": int(a), "last": int(e), "n_tokens": int(n), "n_crossing": int(c)} for k, (a, e, n, c) in enumerate(zip(starts, ends, counts, crossing, strict=True))]
+        total = int(counts.sum())
+        return [{"section": k, "first": int(a), "last": int(e), "n_tokens": int(n), "n_crossing": int(c), "of_document": total} for k, (a, e, n, c) in enumerate(zip(starts, ends, counts, crossing, strict=True))]
 
-    kind = "array<struct<section: int, first: long, last: long, n_tokens: long, n_crossing: long>>"
+    kind = "array<struct<section: int, first: long, last: long, n_tokens: long, n_crossing: long, of_document: long>>"
 
     def rows(texts: pa.Array, given: Iterator | None) -> pa.Array:
         return pa.array([one(t.as_py(), g, given is None) for t, g in zip(texts, given if given is not None else [None] * len(texts), strict=True)], OUT)
@@ -116,5 +117,5 @@ def count(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str =
     """
     found = free_name(docs, "found")
     told = docs.select(F.col(key).alias("doc_id"), sections(F.col(text), path, rule, F.col(bounds) if bounds else None).alias(found))
-    total = F.aggregate(found, F.lit(0).cast("long"), lambda n, s: n + s["n_tokens"])
-    return told.select("doc_id", total.alias("of_document"), F.inline(found)).select("doc_id", "section", "first", "last", "n_tokens", "n_crossing", "of_document")
+    # The outer form keeps Spark from adding a filter on the sections below, which would encode every document twice.
+    return told.select("doc_id", F.inline_outer(found)).where("section is not null")
