@@ -23,6 +23,7 @@ from .golay import codeword_keys
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 CROWD = 64  # fingerprints under one key beyond which pairs are no longer listed
+HUB_ROUNDS = 12  # hubs that a crowded key gets, one after another, before the few that are near none of them meet everybody
 BLOCK = 4096  # shingles hashed at a time
 
 
@@ -110,8 +111,8 @@ def links(points: DataFrame, max_bits: int, crowd: int = CROWD) -> DataFrame:
 
     Under keys with up to `crowd` fingerprints, every near pair. Under the others, with two bits at most: each fingerprint meets its one-bit
     neighbourhood, and two fingerprints are within two bits exactly if they share a neighbour, so links to the least member of each shared
-    neighbour lose nothing and grow in proportion. With more bits: links to the key's least member, and pairs only
-    for those that are not near to it.
+    neighbour lose nothing and grow in proportion. With more bits: a key's least member is its hub, linked to all members near it; of those
+    that are near to no hub yet the least is the next hub, and what is left after HUB_ROUNDS meets every member.
     """
     keys = keyed(points, max_bits)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -122,14 +123,17 @@ def links(points: DataFrame, max_bits: int, crowd: int = CROWD) -> DataFrame:
     crowded = full.where(F.col("n") > crowd)
     if max_bits <= 2:
         return found.unionByName(_through_neighbours(crowded.select("rep", "fp").distinct())).distinct()
-    hubs = crowded.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("hub"))
-    crowded = crowded.join(hubs, "key")
-    to_hub = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits
-    stars = crowded.where(to_hub & (F.col("rep") != F.col("hub.rep"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-    rest = crowded.where(~to_hub).select("key", "rep", "fp")
-    others = crowded.select("key", "rep", "fp")
-    strays = rest.alias("x").join(others.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & _near(max_bits))
-    return found.unionByName(stars).unionByName(strays.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct()
+    members = crowded.select("key", "rep", "fp")
+    rest = members
+    for _ in range(HUB_ROUNDS):
+        hubs = rest.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("hub"))
+        near_hub = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits
+        found = found.unionByName(members.join(hubs, "key").where(near_hub & (F.col("rep") != F.col("hub.rep"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
+        rest = cut(rest.join(hubs, "key").where(~near_hub).select("key", "rep", "fp"))
+        if not rest.head(1):
+            return found.distinct()
+    strays = rest.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & _near(max_bits))
+    return found.unionByName(strays.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct()
 
 
 def _through_neighbours(points: DataFrame) -> DataFrame:
