@@ -3,18 +3,19 @@
 A 64-bit fingerprint is cut into three segments (22, 21, 21 bits). Fingerprints at a small distance leave at least one segment with few
 errors (pigeonhole), and the Golay code maps segments with at most two errors to a shared codeword. Keys built from segments and
 codewords feed an equi-join, and each candidate is verified by its Hamming distance. Equal fingerprints are folded before
-any key is made, so exact copies cost one row. Crowded keys are resolved without pairing everybody with everybody.
+any key is made, so exact copies cost one row. Pairs within one component that is known already are not listed; all others are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import cut, free_name, utf8, words_of
 from .components import connected_components
@@ -22,8 +23,8 @@ from .golay import codeword_keys
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
-CROWD = 64  # fingerprints under one key beyond which pairs are no longer listed
-HUB_ROUNDS = 12  # hubs that a crowded key gets, one after another, before the few that are near none of them meet everybody
+CROWD = 64  # fingerprints under one key beyond which links at two bits or fewer go through shared neighbours
+HUB_ROUNDS = 8  # rounds of one hub a key, which find most links cheaply, before all pairs that are left are listed
 BLOCK = 4096  # shingles hashed at a time
 
 
@@ -109,11 +110,12 @@ def _near(max_bits: int) -> Column:
 def links(points: DataFrame, max_bits: int, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between distinct fingerprints at max_bits or fewer that join the same components as all such links.
 
-    Under keys with up to `crowd` fingerprints, every near pair. Under the others, with two bits at most: each fingerprint meets its one-bit
+    With two bits at most: under keys with up to `crowd` fingerprints, every near pair. Under the others each fingerprint meets its one-bit
     neighbourhood, and two fingerprints are within two bits exactly if they share a neighbour, so links to the least member of each shared
-    neighbour lose nothing and grow in proportion. With more bits: a key's least member is its hub, linked to all members near it; of those
-    that are near to no hub yet the least is the next hub, and what is left after HUB_ROUNDS meets every member.
+    neighbour lose nothing and grow in proportion. With more bits: spanning_links.
     """
+    if max_bits > 2:
+        return spanning_links(points, max_bits)
     keys = keyed(points, max_bits)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     full = cut(keys.join(sizes, "key"))  # fingerprints that are alone under a key end here
@@ -121,19 +123,47 @@ def links(points: DataFrame, max_bits: int, crowd: int = CROWD) -> DataFrame:
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & _near(max_bits))
     found = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     crowded = full.where(F.col("n") > crowd)
-    if max_bits <= 2:
-        return found.unionByName(_through_neighbours(crowded.select("rep", "fp").distinct())).distinct()
-    members = crowded.select("key", "rep", "fp")
-    rest = members
-    for _ in range(HUB_ROUNDS):
-        hubs = rest.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("hub"))
-        near_hub = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits
-        found = found.unionByName(members.join(hubs, "key").where(near_hub & (F.col("rep") != F.col("hub.rep"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
-        rest = cut(rest.join(hubs, "key").where(~near_hub).select("key", "rep", "fp"))
-        if not rest.head(1):
-            return found.distinct()
-    strays = rest.alias("x").join(members.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & _near(max_bits))
-    return found.unionByName(strays.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct()
+    return found.unionByName(_through_neighbours(crowded.select("rep", "fp").distinct())).distinct()
+
+
+def _meeting(points: DataFrame, max_bits: int) -> DataFrame:
+    """(key, rep, fp) under keys that several points share; keys of two points that are not near each other end here."""
+    by_key = W.partitionBy("key")
+    ends = [f(F.struct("rep", "fp")).over(by_key).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    told = keyed(points, max_bits).select("*", F.count(F.lit(1)).over(by_key).alias("n"), *ends)
+    return told.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("lo.fp").bitwiseXOR(F.col("hi.fp"))) <= max_bits))).select("key", "rep", "fp")
+
+
+def spanning_links(points: DataFrame, max_bits: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): links that pass verify and join the same components as all such links between points that meet under a key at max_bits or fewer.
+
+    In each round every key has one hub, of the members with a link already if there are any, and each member takes one near hub of another
+    component. Only pairs that pass verify count as links and merge components. The rounds lose nothing: in the end every near pair of two
+    components that meets under a key and was not tried yet is listed and verified, and pairs inside a component can't change it.
+    """
+    full = cut(_meeting(points, max_bits))
+    members = full.select("*", F.col("rep").alias("c"), F.lit(False).alias("linked"))
+    by_key = W.partitionBy("key")
+    tried = found = None
+    for k in range(HUB_ROUNDS):
+        hub = F.min(F.struct(~F.col("linked"), F.xxhash64("rep", F.lit(k)), "rep", "fp", "c")).over(by_key)
+        offers = members.withColumn("hub", hub).where((F.col("c") != F.col("hub.c")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits))
+        taken = offers.groupBy("rep").agg(F.min("hub").alias("hub"))
+        pairs = taken.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = cut(verify(pairs)) if verify else pairs
+        if not new.head(1):
+            break
+        found = new if found is None else found.unionByName(new)
+        parts = cut(connected_components(found))
+        members = full.join(parts, full["rep"] == parts["node"], "left").select("key", "rep", "fp", F.coalesce("component", "rep").alias("c"), F.col("node").isNotNull().alias("linked"))
+    left = members.select("*", (F.min("c").over(by_key) != F.max("c").over(by_key)).alias("open")).where("open").select("key", "rep", "fp", "c")
+    x, y = left.alias("x"), left.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _near(max_bits))
+    rest = cut(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    last = verify(rest) if verify else rest
+    return last if found is None else found.unionByName(last)
 
 
 def _through_neighbours(points: DataFrame) -> DataFrame:
@@ -210,8 +240,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     prints = cut(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), fingerprint_column(text, 1, distinct=True).alias("fp")).where("fp != 0"))
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     twins = prints.join(points, "fp").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    candidates = cut(links(points, max_bits).unionByName(twins))
-    parts = connected_components(verified(candidates, docs, text, key, shingle, similarity))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, docs, text, key, shingle, similarity)
+
+    parts = connected_components(spanning_links(points, max_bits, alike).unionByName(alike(cut(twins))))
     gone = free_name(docs, "gone")
     losers = parts.where("node != component").select(F.col("node").alias(gone)).distinct()
     return docs.join(losers, docs[key].cast("long") == losers[gone], "left_anti")

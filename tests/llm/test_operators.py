@@ -131,6 +131,45 @@ def test_near_duplicates_keep_one(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4, 5}
 
 
+def kept_by_brute_force(rows):
+    """Ids that stay if all pairs that meet under a key at ten bits or fewer are held against the cosine of 0.8."""
+    texts = {k: t.encode().split() for k, t in rows}
+    prints = {k: simhash.fingerprint(w, 1, True) for k, w in texts.items()}
+    bags = {k: simhash._shingle_counts(w, 5) for k, w in texts.items()}
+    ids = sorted(texts)
+    at, keys = simhash.key_rows(np.array([prints[k] for k in ids], np.uint64), 10)
+    keys_of = defaultdict(set)
+    for i, key in zip(at.tolist(), keys.tolist(), strict=True):
+        keys_of[ids[i]].add(key)
+    root = {k: k for k in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 10 and keys_of[a] & keys_of[b] and simhash.cosine(bags[a], bags[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k for k in ids if find(k) == k}
+
+
+def test_near_copies_of_an_original_in_mid_order_are_all_found(spark):
+    rng = random.Random(8)
+    base = prose(rng, 300).split()
+    rows = [(150, " ".join(base))]
+    for k in range(300):
+        copy = list(base)
+        for i in rng.sample(range(300), 9):
+            copy[i] = f"edit{rng.randrange(10**6)}"
+        rows.append((k if k < 150 else k + 1, " ".join(copy)))
+    rows = list({simhash.fingerprint(t.encode().split(), 1, True): (k, t) for k, t in reversed(rows)}.values())
+    want = kept_by_brute_force(rows)
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == want and len(want) < len(rows) / 4
+
+
 def test_exact_dedup_spills_and_matches(spark):
     rng = random.Random(9)
     texts = [prose(rng, 20) for _ in range(40)] + ["a b", "ab", None, "", " "]
