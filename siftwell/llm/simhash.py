@@ -60,6 +60,19 @@ def fingerprint_column(text: str | Column, shingle: int = 3, distinct: bool = Fa
     return compute(utf8(text))
 
 
+def print_and_digest(text: str | Column) -> Column:
+    """struct<fp long, digest binary>: the fingerprint over the distinct words and a 128-bit digest of all words in order."""
+
+    @F.arrow_udf("struct<fp: long, digest: binary>")
+    def compute(texts: pa.Array) -> pa.Array:
+        words = [words_of(t.as_py()) for t in texts]
+        values = np.fromiter((fingerprint(w, 1, True) for w in words), np.uint64, len(words))
+        digests = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+        return pa.StructArray.from_arrays([pa.array(values.view(np.int64)), digests], ["fp", "digest"])
+
+    return compute(utf8(text))
+
+
 def _segment(fp: np.ndarray, k: int) -> np.ndarray:
     first, width = SEGMENTS[k]
     return (fp >> np.uint64(first)) & np.uint64((1 << width) - 1)
@@ -235,16 +248,17 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     """docs with one row left of each group of near-duplicates: the one with the smallest id.
 
     Fingerprints are taken over the distinct words, where an edit of a few words moves few bits; pairs within max_bits are then verified by
-    the cosine of their multisets of `shingle`-word shingles. Rows with a null id and texts without words are all kept. All columns stay as they were.
+    the cosine of their multisets of `shingle`-word shingles. Only texts of the same words in the same order are folded before that. Rows with a null id and texts without words are all kept. All columns stay as they were.
     """
-    prints = cut(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), fingerprint_column(text, 1, distinct=True).alias("fp")).where("fp != 0"))
-    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    twins = prints.join(points, "fp").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), print_and_digest(text).alias("told"))
+    prints = cut(told.select("doc_id", "told.fp", "told.digest").where("fp != 0"))
+    points = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep")))
+    twins = prints.join(points, ["fp", "digest"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     def alike(pairs: DataFrame) -> DataFrame:
         return verified(pairs, docs, text, key, shingle, similarity)
 
-    parts = connected_components(spanning_links(points, max_bits, alike).unionByName(alike(cut(twins))))
+    parts = connected_components(spanning_links(points, max_bits, alike).unionByName(twins))
     gone = free_name(docs, "gone")
     losers = parts.where("node != component").select(F.col("node").alias(gone)).distinct()
     return docs.join(losers, docs[key].cast("long") == losers[gone], "left_anti")

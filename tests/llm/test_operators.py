@@ -170,6 +170,18 @@ def test_near_copies_of_an_original_in_mid_order_are_all_found(spark):
     assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == want and len(want) < len(rows) / 4
 
 
+def test_texts_of_one_fingerprint_are_not_taken_for_one_text(spark):
+    rng = random.Random(12)
+    words = prose(rng, 240).split()
+    other = words[::-1]
+    moved = other[20:] + other[:20]
+    edited = list(moved)
+    edited[100] = "edited"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(moved)), (4, " ".join(edited)), (5, " ".join(words).upper())]
+    assert len({simhash.fingerprint(t.lower().encode().split(), 1, True) for _, t in rows[:3]}) == 1
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == {1, 2}
+
+
 def test_exact_dedup_spills_and_matches(spark):
     rng = random.Random(9)
     texts = [prose(rng, 20) for _ in range(40)] + ["a b", "ab", None, "", " "]
