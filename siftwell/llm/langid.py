@@ -22,6 +22,7 @@ SAMPLE_ROWS = 2_400  # bound of the training sample, shared evenly by the langua
 DIMENSIONS = 1 << 13
 PIECE = 1 << 20  # bytes of a text looked at at a time
 UNDETERMINED = "und"
+BOUND_QUANTILE, BOUND_SHARE = 0.01, 0.5  # texts that were not learned, short ones above all, have smaller margins than learned ones
 
 # Families of languages by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -89,9 +90,10 @@ class Model(NamedTuple):
     members: dict[str, list[str]]  # languages of a family
     family_weights: np.ndarray  # (families, DIMENSIONS + 1)
     pairs: dict[str, list[tuple[int, int, np.ndarray]]]  # of a family: positions of two languages and the weights that prefer the first
+    bound: float  # margin of the best family against all others under which a text is unlike every family
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
-        """Language and score in 0..1: the logistic of the least margin on the way."""
+        """Language and score in 0..1: the logistic of the least margin on the way. Under 0.5: unlike every family that was learned, where there are two or more."""
         if not self.families:
             return UNDETERMINED, 0.0
         x = features(text).astype(np.float64)
@@ -100,7 +102,7 @@ class Model(NamedTuple):
         if len(self.families) > 1:
             told = self.family_weights[:, :-1] @ x + self.family_weights[:, -1]
             order = np.argsort(-told, kind="stable")
-            family, margin = self.families[order[0]], (told[order[0]] - told[order[1]]) / 2
+            family, margin = self.families[order[0]], min((told[order[0]] - told[order[1]]) / 2, told[order[0]] - self.bound)
         langs = self.members[family]
         votes, sums, worst = np.zeros(len(langs)), np.zeros(len(langs)), np.full(len(langs), np.inf)
         for i, j, w in self.pairs[family]:
@@ -129,7 +131,16 @@ def fit(langs_of: list[str], x: np.ndarray) -> Model:
         for i, j in combinations(range(len(own)), 2):
             two = np.flatnonzero((lang == own[i]) | (lang == own[j]))
             pairs[f].append((i, j, train_svm(x, np.where(lang[two] == own[i], 1, -1), two)))
-    return Model(families, members, top, pairs)
+    return Model(families, members, top, pairs, _bound(top, x, np.array([families.index(f) for f in family], np.int64)))
+
+
+def _bound(weights: np.ndarray, x: np.ndarray, family: np.ndarray) -> float:
+    """BOUND_SHARE of the BOUND_QUANTILE of the margins with which learned rows are rightly given to their family."""
+    if len(weights) < 2:
+        return 0.0
+    told = x @ weights[:, :-1].T + weights[:, -1]
+    right = told.max(axis=1)[told.argmax(axis=1) == family]
+    return BOUND_SHARE * max(0.0, float(np.quantile(right, BOUND_QUANTILE))) if len(right) else 0.0
 
 
 def has_letter(text: str | Column) -> Column:

@@ -253,6 +253,15 @@ def test_language_and_quality_on_held_out_rows(spark):
     assert np.mean([a == b for a, b in scored]) > 0.9
 
 
+def test_texts_unlike_every_learned_language_go(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = ["qzxv kjwq zzxq vvkq " * 20, "x9 1 2 3 $$$ 00 " * 10, "привет как дела сегодня хорошая погода " * 5, "漢字仮名交じり文を書く" * 10]
+    planted = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(junk)], DOCS)
+    kept = {r.doc_id for r in langid.keep_identified(d.unionByName(planted)).select("doc_id").collect()}
+    clean = {r.doc_id for r in d.where("length(text) >= 60").collect()}
+    assert clean <= kept and not [k for k in kept if k >= 10**9]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"], exclude_characters="▁"), max_size=80), st.integers(-(2**62), 2**62))
 def test_pieces_are_lossless_and_reproducible(body, key):
