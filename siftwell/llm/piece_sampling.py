@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581  # stands for a space
+LITERAL = 0x110000  # stands for the character U+2581 itself; past Unicode, so in no piece, and spelled by its bytes
 BLOCK_CHARS = 1 << 16  # characters worked on at a time
 SLICE_ROWS = 64  # rows held as Python text at a time
 ALPHA = 1.0  # inverse temperature: larger values favour frequent and long pieces
@@ -212,9 +213,9 @@ def walk(lat: Lattice, kind: np.ndarray, key: np.ndarray, place: np.ndarray) ->
 
 
 def _escaped(text: str) -> np.ndarray:
-    """Code points with the leading space that the model adds; spaces as its space mark."""
+    """Code points with the leading space that the model adds; spaces as its space mark, a space mark of the text itself as LITERAL."""
     codes = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
-    return np.where(codes == 32, _U(SPACE), codes)
+    return np.where(codes == 32, _U(SPACE), np.where(codes == SPACE, _U(LITERAL), codes))
 
 
 def encode(texts: list[str | None], keys: list[int], path: str = MODEL, alpha: float = ALPHA) -> list[np.ndarray | None]:
@@ -281,7 +282,7 @@ def _sample(v: Vocabulary, codes: np.ndarray, begins: np.ndarray, lengths: np.nd
     odd = np.flatnonzero(piece < 0)
     if not len(odd):
         return piece, at
-    spelled = [v.bytes_at[np.frombuffer(chr(int(c)).encode("utf-8", "surrogatepass"), np.uint8)] for c in codes[at[odd]]]
+    spelled = [v.bytes_at[np.frombuffer(chr(SPACE if c == LITERAL else int(c)).encode("utf-8", "surrogatepass"), np.uint8)] for c in codes[at[odd]]]
     times = np.ones(len(piece), np.int64)
     times[odd] = [len(s) for s in spelled]
     ids, where = np.repeat(piece, times), np.repeat(at, times)
@@ -331,7 +332,7 @@ def round_trip(text: Column, key: Column, path: str = MODEL, alpha: float = ALPH
             part = texts.slice(at, SLICE_ROWS).to_pylist()
             found = encode(part, keys.slice(at, SLICE_ROWS).to_pylist(), path, alpha)
             ids.append(pa.array(found, kind))
-            same += [decode(f, path) == (t if t is None else t.replace("▁", " ")) for f, t in zip(found, part, strict=True)]
+            same += [decode(f, path) == t for f, t in zip(found, part, strict=True)]
         return pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], kind), *ids]), pa.array(same, pa.bool_())], ["ids", "lossless"])
 
     return compute(text, row_key(key, seed))
@@ -350,7 +351,7 @@ def decoded(ids: Column, path: str = MODEL) -> Column:
 def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_tokens, lossless (decoding the ids gives the text back).
 
-    The text may hold anything, the space mark U+2581 aside, which decodes as a space. Null texts have null ids; empty texts none. Rows that repeat an id and a text
+    The text may hold anything; a space mark U+2581 of its own is spelled by its bytes. Null texts have null ids; empty texts none. Rows that repeat an id and a text
     get the same pieces. An empty table gives an empty result.
     """
     rows = docs.select(F.col(key).alias("doc_id"), round_trip(F.col(text), F.col(key), path, alpha, seed).alias("told"))

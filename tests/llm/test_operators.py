@@ -262,6 +262,12 @@ def test_texts_unlike_every_learned_language_go(spark):
     assert clean <= kept and not [k for k in kept if k >= 10**9]
 
 
+@pytest.mark.parametrize("body", ["▁", "▁▂▃▅▇ load", "a ▁b▁ c", "▁ ▁"])
+def test_space_marks_of_the_text_are_lossless(spark, body):
+    (row,) = piece_sampling.tokenize(docs(spark, [(1, body)])).collect()
+    assert row.lossless and piece_sampling.decode(row.ids) == body
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"], exclude_characters="▁"), max_size=80), st.integers(-(2**62), 2**62))
 def test_pieces_are_lossless_and_reproducible(body, key):
