@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, free_name, utf8, words_of
+from .common import cut, free_name, sized_broadcast, utf8, words_of
 from .components import connected_components
 from .golay import codeword_keys
 
@@ -25,6 +25,8 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 CROWD = 64  # fingerprints under one key beyond which links at two bits or fewer go through shared neighbours
 HUB_ROUNDS = 8  # rounds of one hub a key, which find most links cheaply, before all pairs that are left are listed
+FEW_LINKS = 0.05  # share of new links in a round from which another one is worth its cost
+SMALL_ENDS = 1_000_000  # ids of documents to verify that are broadcast, so that the texts needn't be dealt out
 BLOCK = 4096  # shingles hashed at a time
 
 
@@ -166,17 +168,19 @@ def spanning_links(points: DataFrame, max_bits: int, verify: Callable[[DataFrame
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = cut(verify(pairs)) if verify else pairs
-        if not new.head(1):
-            break
+        more, held = new.count(), 0 if found is None else found.count()
         found = new if found is None else found.unionByName(new)
+        if not more:
+            break
         parts = cut(connected_components(found))
         members = full.join(parts, full["rep"] == parts["node"], "left").select("key", "rep", "fp", F.coalesce("component", "rep").alias("c"), F.col("node").isNotNull().alias("linked"))
+        if more < FEW_LINKS * held:
+            break
     left = members.select("*", (F.min("c").over(by_key) != F.max("c").over(by_key)).alias("open")).where("open").select("key", "rep", "fp", "c")
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _near(max_bits))
     rest = cut(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    last = verify(rest) if verify else rest
-    return last if found is None else found.unionByName(last)
+    return found.unionByName(verify(rest) if verify else rest)
 
 
 def _through_neighbours(points: DataFrame) -> DataFrame:
@@ -237,7 +241,8 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, shingle: in
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([cosine(x.values.to_numpy(), y.values.to_numpy()) >= similarity for x, y in zip(a, b, strict=True)])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    ends = sized_broadcast(ends, ends.count(), SMALL_ENDS)
     bags = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("body")).join(ends, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", hashes(utf8("body")).alias("bag"))
     bags = cut(bags)
     both = pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b")), "b")
