@@ -22,7 +22,7 @@ SAMPLE_ROWS = 2_400  # bound of the training sample, shared evenly by the langua
 DIMENSIONS = 1 << 13
 PIECE = 1 << 20  # bytes of a text looked at at a time
 UNDETERMINED = "und"
-BOUND_QUANTILE, BOUND_SHARE = 0.01, 0.5  # texts that were not learned, short ones above all, have smaller margins than learned ones
+BOUND_QUANTILE, BOUND_SHARE = 0.01, 0.35  # texts that were not learned, short ones above all, have smaller margins than learned ones
 
 # Families of languages by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
