@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -20,15 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, in the session or the context. Where none is named a local one is made, under a local master only: on a cluster it would be lost with
+    its machine."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    context = spark.sparkContext
+    if (known := context._jsc.sc().getCheckpointDir()).isDefined():
+        return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="siftwell-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder named by spark.checkpoint.dir.
-
-    A folder of our own is set only where neither the session nor the context names one, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftwell-checkpoint-"))
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -3,30 +3,27 @@
 A 64-bit fingerprint is cut into three segments (22, 21, 21 bits). Fingerprints at a small distance leave at least one segment with few
 errors (pigeonhole), and the Golay code maps segments with at most two errors to a shared codeword. Keys built from segments and
 codewords feed an equi-join, and each candidate is verified by its Hamming distance. Equal fingerprints are folded before
-any key is made, so exact copies cost one row. Pairs within one component that is known already are not listed; all others are.
+any key is made, so exact copies cost one row. near_dedup.py takes texts by the same keys and verifies them by their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import cut, free_name, sized_broadcast, utf8, words_of
+from .common import cut, utf8, words_of
 from .components import connected_components
 from .golay import codeword_keys
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 CROWD = 64  # fingerprints under one key beyond which links at two bits or fewer go through shared neighbours
-HUB_ROUNDS = 8  # rounds of one hub a key, which find most links cheaply, before all pairs that are left are listed
-FEW_LINKS = 0.05  # share of new links in a round from which another one is worth its cost
-SMALL_ENDS = 1_000_000  # ids of documents to verify that are broadcast, so that the texts needn't be dealt out
+HUB_ROUNDS = 4  # rounds of one hub a key beyond two bits, which find most links cheaply, before all pairs that are left are listed
 BLOCK = 4096  # shingles hashed at a time
 
 
@@ -62,19 +59,6 @@ def fingerprint_column(text: str | Column, shingle: int = 3, distinct: bool = Fa
     return compute(utf8(text))
 
 
-def print_and_digest(text: str | Column) -> Column:
-    """struct<fp long, digest binary>: the fingerprint over the distinct words and a 128-bit digest of all words in order."""
-
-    @F.arrow_udf("struct<fp: long, digest: binary>")
-    def compute(texts: pa.Array) -> pa.Array:
-        words = [words_of(t.as_py()) for t in texts]
-        values = np.fromiter((fingerprint(w, 1, True) for w in words), np.uint64, len(words))
-        digests = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-        return pa.StructArray.from_arrays([pa.array(values.view(np.int64)), digests], ["fp", "digest"])
-
-    return compute(utf8(text))
-
-
 def _segment(fp: np.ndarray, k: int) -> np.ndarray:
     first, width = SEGMENTS[k]
     return (fp >> np.uint64(first)) & np.uint64((1 << width) - 1)
@@ -142,45 +126,35 @@ def links(points: DataFrame, max_bits: int, crowd: int = CROWD) -> DataFrame:
 
 
 def _meeting(points: DataFrame, max_bits: int) -> DataFrame:
-    """(key, rep, fp) under keys that several points share; keys of two points that are not near each other end here."""
-    by_key = W.partitionBy("key")
-    ends = [f(F.struct("rep", "fp")).over(by_key).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
-    told = keyed(points, max_bits).select("*", F.count(F.lit(1)).over(by_key).alias("n"), *ends)
-    return told.where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("lo.fp").bitwiseXOR(F.col("hi.fp"))) <= max_bits))).select("key", "rep", "fp")
+    """(key, rep, fp) under keys that several points share."""
+    keys = keyed(points, max_bits)
+    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
 
 
-def spanning_links(points: DataFrame, max_bits: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(a, b): links that pass verify and join the same components as all such links between points that meet under a key at max_bits or fewer.
+def spanning_links(points: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): links that join the same components as all pairs which meet under a key at max_bits or fewer.
 
-    In each round every key has one hub, of the members with a link already if there are any, and each member takes one near hub of another
-    component. Only pairs that pass verify count as links and merge components. The rounds lose nothing: in the end every near pair of two
-    components that meets under a key and was not tried yet is listed and verified, and pairs inside a component can't change it.
+    In each round every key has one hub, and each member takes one near hub of another component. In the end every near pair of two components that
+    meets under a key is listed; pairs inside a component can't change it.
     """
     full = cut(_meeting(points, max_bits))
-    members = full.select("*", F.col("rep").alias("c"), F.lit(False).alias("linked"))
-    by_key = W.partitionBy("key")
-    tried = found = None
+    members = full.select("*", F.col("rep").alias("c"))
+    found = None
     for k in range(HUB_ROUNDS):
-        hub = F.min(F.struct(~F.col("linked"), F.xxhash64("rep", F.lit(k)), "rep", "fp", "c")).over(by_key)
-        offers = members.withColumn("hub", hub).where((F.col("c") != F.col("hub.c")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits))
+        hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "fp", "c")).alias("hub"))
+        offers = members.join(hubs, "key").where((F.col("c") != F.col("hub.c")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= max_bits))
         taken = offers.groupBy("rep").agg(F.min("hub").alias("hub"))
-        pairs = taken.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(verify(pairs)) if verify else pairs
-        more, held = new.count(), 0 if found is None else found.count()
+        new = cut(taken.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct())
         found = new if found is None else found.unionByName(new)
-        if not more:
+        if not new.count():
             break
         parts = cut(connected_components(found))
-        members = full.join(parts, full["rep"] == parts["node"], "left").select("key", "rep", "fp", F.coalesce("component", "rep").alias("c"), F.col("node").isNotNull().alias("linked"))
-        if more < FEW_LINKS * held:
-            break
-    left = members.select("*", (F.min("c").over(by_key) != F.max("c").over(by_key)).alias("open")).where("open").select("key", "rep", "fp", "c")
+        members = full.join(parts, full["rep"] == parts["node"], "left").select("key", "rep", "fp", F.coalesce("component", "rep").alias("c"))
+    ends = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    left = members.join(ends, "key")
     x, y = left.alias("x"), left.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _near(max_bits))
-    rest = cut(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return found.unionByName(verify(rest) if verify else rest)
+    return found.unionByName(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
 
 def _through_neighbours(points: DataFrame) -> DataFrame:
@@ -202,7 +176,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """One row for each row of docs: doc_id, fp (signed fingerprint), component_id (smallest doc_id that can be reached).
 
     Null and empty texts have fingerprint zero and are linked like any other. A row with a null id gets its fingerprint's component and
-    never names one; a component of null ids alone has a null id. Repeated rows are returned each. An empty table gives an empty result.
+    never names one; a component of null ids alone has a null id. Repeated rows are returned each. Very long texts are hashed whole, a block of
+    shingles at a time. Other columns are not looked at, whatever their names. An empty table gives an empty result.
     """
     prints = cut(docs.select(F.col(key).cast("long").alias("doc_id"), fingerprint_column(text, shingle).alias("fp")))
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -210,60 +185,3 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     parts = connected_components(links(named, max_bits))
     labels = points.join(parts, points["rep"] == parts["node"], "left").select(F.col("fp").alias("label_fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(labels, F.col("fp") == F.col("label_fp")).select("doc_id", "fp", "component_id")
-
-
-def _shingle_counts(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted hashes of the shingles of five words, repeats included."""
-    if not words:
-        return np.empty(0, np.int64)
-    parts = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    values = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64)
-    return np.sort(values.view(np.int64))
-
-
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """Cosine of two multisets given as sorted arrays; two empty ones are equal."""
-    (u, n), (v, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    if not len(u) or not len(v):
-        return float(len(u) == len(v))
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    return float(np.dot(n[i], m[j]) / np.sqrt(float(np.dot(n, n)) * float(np.dot(m, m))))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle multisets have at least that cosine, which is the similarity that SimHash estimates."""
-
-    @F.arrow_udf("array<long>")
-    def hashes(texts: pa.Array) -> pa.Array:
-        return pa.array([_shingle_counts(words_of(t.as_py()), shingle) for t in texts], pa.list_(pa.int64()))
-
-    @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([cosine(x.values.to_numpy(), y.values.to_numpy()) >= similarity for x, y in zip(a, b, strict=True)])
-
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    ends = sized_broadcast(ends, ends.count(), SMALL_ENDS)
-    bags = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("body")).join(ends, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", hashes(utf8("body")).alias("bag"))
-    bags = cut(bags)
-    both = pairs.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return both.where(alike("bag_a", "bag_b")).select("a", "b")
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
-    """docs with one row left of each group of near-duplicates: the one with the smallest id.
-
-    Fingerprints are taken over the distinct words, where an edit of a few words moves few bits; pairs within max_bits are then verified by
-    the cosine of their multisets of `shingle`-word shingles. Only texts of the same words in the same order are folded before that. Rows with a null id and texts without words are all kept. All columns stay as they were.
-    """
-    told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), print_and_digest(text).alias("told"))
-    prints = cut(told.select("doc_id", "told.fp", "told.digest").where("fp != 0"))
-    points = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep")))
-    twins = prints.join(points, ["fp", "digest"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, docs, text, key, shingle, similarity)
-
-    parts = connected_components(spanning_links(points, max_bits, alike).unionByName(twins))
-    gone = free_name(docs, "gone")
-    losers = parts.where("node != component").select(F.col("node").alias(gone)).distinct()
-    return docs.join(losers, docs[key].cast("long") == losers[gone], "left_anti")

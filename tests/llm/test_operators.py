@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftwell.llm import components, decontaminate, exact_dedup, golay, langid, license_scan, oracle, piece_sampling, quality, queries, simhash, substring_dedup, token_counts, url_filter
+from siftwell.llm import components, decontaminate, exact_dedup, golay, langid, license_scan, near_dedup, oracle, piece_sampling, quality, queries, simhash, substring_dedup, token_counts, url_filter
 
 from ..oracle import connect, rows_of_spark, rows_of_sql
 
@@ -40,7 +40,7 @@ OPERATORS = {
     "passages": substring_dedup.passages,
     "without_repeats": substring_dedup.without_repeats,
     "components": simhash.near_components,
-    "near_keep": simhash.keep_one,
+    "near_keep": near_dedup.keep_one,
     "identify": langid.identify,
     "keep_identified": langid.keep_identified,
     "tokenize": piece_sampling.tokenize,
@@ -126,7 +126,7 @@ def test_near_duplicates_keep_one(spark):
     for k in range(0, 400, 100):
         copy[k] = "edited"
     rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, prose(rng, 400)), (4, prose(rng, 400)), (5, "")]
-    kept = simhash.keep_one(docs(spark, rows))
+    kept = near_dedup.keep_one(docs(spark, rows))
     assert kept.columns == DOCS.replace("long", "").replace("string", "").replace(",", "").split()
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4, 5}
 
@@ -135,7 +135,7 @@ def kept_by_brute_force(rows):
     """Ids that stay if all pairs that meet under a key at ten bits or fewer are held against the cosine of 0.8."""
     texts = {k: t.encode().split() for k, t in rows}
     prints = {k: simhash.fingerprint(w, 1, True) for k, w in texts.items()}
-    bags = {k: simhash._shingle_counts(w, 5) for k, w in texts.items()}
+    bags = {k: near_dedup.shingle_set(w, 5) for k, w in texts.items()}
     ids = sorted(texts)
     at, keys = simhash.key_rows(np.array([prints[k] for k in ids], np.uint64), 10)
     keys_of = defaultdict(set)
@@ -150,7 +150,7 @@ def kept_by_brute_force(rows):
 
     for a in ids:
         for b in ids:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 10 and keys_of[a] & keys_of[b] and simhash.cosine(bags[a], bags[b]) >= 0.8:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 10 and keys_of[a] & keys_of[b] and near_dedup.cosine(bags[a], bags[b]) >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {k for k in ids if find(k) == k}
@@ -167,7 +167,7 @@ def test_near_copies_of_an_original_in_mid_order_are_all_found(spark):
         rows.append((k if k < 150 else k + 1, " ".join(copy)))
     rows = list({simhash.fingerprint(t.encode().split(), 1, True): (k, t) for k, t in reversed(rows)}.values())
     want = kept_by_brute_force(rows)
-    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == want and len(want) < len(rows) / 4
+    assert {r.doc_id for r in near_dedup.keep_one(docs(spark, rows)).collect()} == want and len(want) < len(rows) / 4
 
 
 def test_texts_of_one_fingerprint_are_not_taken_for_one_text(spark):
@@ -179,7 +179,7 @@ def test_texts_of_one_fingerprint_are_not_taken_for_one_text(spark):
     edited[100] = "edited"
     rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(moved)), (4, " ".join(edited)), (5, " ".join(words).upper())]
     assert len({simhash.fingerprint(t.lower().encode().split(), 1, True) for _, t in rows[:3]}) == 1
-    assert {r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()} == {1, 2}
+    assert {r.doc_id for r in near_dedup.keep_one(docs(spark, rows)).collect()} == {1, 2}
 
 
 def test_exact_dedup_spills_and_matches(spark):
