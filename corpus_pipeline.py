@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontaminate, exact_dedup, langid, piece_sampling, simhash
-from siftwell.llm.common import table
+from siftwell.llm import decontaminate, exact_dedup, langid, near_dedup, piece_sampling
+from siftwell.llm.common import shared_folder, table
 
 #: SQL can't express the model stages; tests/llm hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
@@ -27,7 +26,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    return near_dedup.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +49,9 @@ STAGES = [
 ]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this run under spark.checkpoint.dir; a local one only where that isn't set, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='siftwell-')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
