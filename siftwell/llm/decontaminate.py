@@ -1,12 +1,17 @@
 """Benchmark decontamination in DataFrame functions only.
 
-Windows as long as a benchmark item get a SimHash fingerprint over their weighted shingles (a weight is a shingle's count). A multi-index over
-eight 8-bit blocks finds every window within Hamming radius 23 of its item: some block then differs in at most two bits, and an item
-stands in the index under all such block values. Candidates are verified by the exact weighted Jaccard similarity of their shingles.
-
-Fingerprinting every window of every item length would cost documents x lengths. A window that reaches the threshold shares shingles with the item,
-and sliding it to where a run of shared shingles begins never lowers the number shared, so windows are taken only there: one for each
-place where a passage begins, whatever its length.
+Every benchmark item is held against windows of its own length in words. Items and windows get a SimHash fingerprint over their weighted shingles (a weight is
+a shingle's count). A multi-index over eight 8-bit blocks finds every window within Hamming radius 23 of an item of that length: some
+block then differs in at most two bits, and an item stands in the index under all such block values. Candidates are verified by the exact
+weighted Jaccard similarity of their shingles.
+
+Fingerprinting every window of every length would cost documents x lengths, so windows are thinned first, without loss. Call a shingle of a document marked
+for a length if it stands in an item of that length.
+
+* Two sets of m shingles have a weighted Jaccard similarity of t only with 2tm / (1 + t) or more in common, so a window needs so many marked shingles.
+* A window that begins with an unmarked shingle can move on by one: what it loses counts for no item, so no similarity falls. Windows that begin
+  with a marked shingle are enough, with the last window of the document, which can't move. This holds for repeated shingles too.
+* If the shingle that leaves is the one that enters, the next window has the same weights, and the first of the two is enough.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ from .common import cut, free_name, sized_broadcast
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BLOCK_BITS, BLOCK_ERRORS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_ERRORS + 1) - 1
-INDEX_WORDS = 500_000  # benchmark words in one broadcast slice (about 40 bytes each); a larger benchmark takes several slices
-LANES = 16  # counters of a fingerprint: 16 longs of four 16-bit fields
-MOST_SHINGLES = 32_000  # that the 16-bit fields can count; longer windows are fingerprinted by their first ones
+MARKS_BROADCAST = 1_000_000  # distinct shingles of the benchmark (about 40 bytes each) up to which they are broadcast
+INDEX_BROADCAST = 1_000_000  # rows of the Hamming index (296 for each item)
+TEXTS_BROADCAST = 500_000  # digests of texts with windows
+LANES = 32  # counters of a fingerprint: 32 longs of two 32-bit fields
 
 
 def words(text: Column) -> Column:
@@ -31,6 +37,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def text_digest(text: str) -> Column:
+    """By which equal texts are one: they are looked at once, and rows without an id are found as well."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def _shingles(ws: Column, k: Column) -> Column:
     """Shingles of k words as text; fewer words than k: none."""
     last = F.size(ws) - k
@@ -43,21 +54,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """64 bits; a bit is 1 if it is set in over half of the shingles' hashes. A fold over the packed counters of the hashes."""
-    fields = F.lit(0x0001000100010001)
+    """64 bits; a bit is 1 if it is set in over half of the shingles' hashes. A fold over the packed counters of all hashes."""
+    fields = F.lit(0x0000000100000001)
 
-    def bit(lane: Column, k: Column, j: int, n: Column) -> Column:
-        ones = F.shiftrightunsigned(lane, LANES * j).bitwiseAND(F.lit(0xFFFF))
+    def bit(counted: Column, k: Column, j: int, n: Column) -> Column:
+        ones = F.shiftrightunsigned(counted, LANES * j).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(2 * ones > n, F.call_function("shiftleft", F.lit(1).cast("long"), k + LANES * j)).otherwise(F.lit(0).cast("long"))
 
     def lane_bits(hashes: Column, k: Column) -> Column:
         counted = F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.call_function("shiftrightunsigned", h, k).bitwiseAND(fields))
-        return _let(counted, lambda c: bit(c, k, 0, F.size(hashes)).bitwiseOR(bit(c, k, 1, F.size(hashes))).bitwiseOR(bit(c, k, 2, F.size(hashes))).bitwiseOR(bit(c, k, 3, F.size(hashes))))
+        return _let(counted, lambda c: bit(c, k, 0, F.size(hashes)).bitwiseOR(bit(c, k, 1, F.size(hashes))))
 
     def whole(hashes: Column) -> Column:
         return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: lane_bits(hashes, k)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-    return _let(F.transform(F.slice(shingles, 1, MOST_SHINGLES), lambda s: F.xxhash64(s)), whole)
+    return _let(F.transform(shingles, lambda s: F.xxhash64(s)), whole)
 
 
 def _block(fp: Column, b: int) -> Column:
@@ -74,71 +85,104 @@ def first_block(difference: Column) -> Column:
     return F.coalesce(*[F.when(F.bit_count(_block(difference, b)) <= BLOCK_ERRORS, F.lit(b)) for b in range(BLOCKS)])
 
 
-def weighted_jaccard(a: Column, b: Column) -> Column:
-    """Of two shingle multisets: the smaller counts' sum by the larger counts' sum."""
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, s: n + F.least(F.size(F.filter(a, lambda x: x == s)), F.size(F.filter(b, lambda x: x == s))))
-    return _let(shared, lambda n: n / (F.size(a) + F.size(b) - n))
-
+def _shingle_hash(h: str, at: Column, k: int) -> Column:
+    return F.xxhash64(*[F.get(F.col(h), at + i) for i in range(k)])
 
-def _hashed(ws: str) -> Column:
-    return F.transform(ws, lambda w: F.xxhash64(w))
 
+def _needed(m: Column, other: Column, similarity: float) -> Column:
+    """Shingles that multisets of m and other shingles have in common, at least, if they are similar."""
+    return F.ceil(similarity * (m + other) / (1 + similarity) - 1e-9).cast("int")
+
+
+def _starts(texts: DataFrame, items: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(digest, n, starts): where the windows of n words begin that are to be looked at. items: those with one shingle length k."""
+    hashed = items.select("n", F.transform("ws", lambda w: F.xxhash64(w)).alias("h"))
+    marks = cut(hashed.select("n", "h", F.posexplode("h").alias("o", "w")).where(F.col("o") + k <= F.col("n")).select("n", _shingle_hash("h", F.col("o"), k).alias("shingle")).distinct())
+    marks = sized_broadcast(marks, marks.count(), MARKS_BROADCAST)
+    spread = texts.select("digest", F.transform("ws", lambda w: F.xxhash64(w)).alias("h")).select("digest", "h", F.posexplode("h").alias("p", "w")).where(F.col("p") + k <= F.size("h"))
+    hits = spread.select("digest", "h", "p", _shingle_hash("h", F.col("p"), k).alias("shingle")).join(marks, "shingle")
+    m = F.col("n") - k + 1
+    enters = F.col("p") - 1 + m
+    same = (F.col("p") > 0) & (enters + k <= F.size("h")) & (_shingle_hash("h", F.col("p") - 1, k) == _shingle_hash("h", enters, k))
+    found = hits.select("digest", "n", F.size("h").alias("words"), F.struct("p", same.alias("same")).alias("at")).groupBy("digest", "n").agg(F.array_sort(F.collect_set("at")).alias("at"), F.first("words").alias("words"))
+    last, need = F.col("words") - F.col("n"), _needed(m, m, similarity)
+    at, size = F.col("at"), F.size("at")
+
+    def begins(x: Column, i: Column) -> Column:
+        full = F.get(at, i + need - 1)["p"] <= x["p"] + m - 1
+        again = x["same"] & (F.get(at, F.greatest(i - 1, F.lit(0)))["p"] == x["p"] - 1)
+        return F.when((x["p"] <= last) & F.coalesce(full, F.lit(False)) & ~again, x["p"])
+
+    inner = F.filter(F.transform(at, begins), lambda p: p.isNotNull())
+    short = _needed(m, F.col("words") - k + 1, similarity)
+    outer = F.when(last < 0, F.when(size >= short, F.array(F.lit(0)))).when((size >= need) & (F.get(at, F.greatest(size - need, F.lit(0)))["p"] >= last), F.array(last))
+    starts = F.when(last < 0, F.array().cast("array<int>")).otherwise(inner)
+    return found.select("digest", "n", F.array_distinct(F.concat(starts, F.coalesce(outer, F.array().cast("array<int>")))).alias("starts")).where(F.size("starts") > 0)
+
+
+def _counted(rows: DataFrame, *ids: str) -> DataFrame:
+    return rows.select(*ids, F.explode("shingles").alias("shingle")).groupBy(*ids, "shingle").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _similar(docs: DataFrame, items: DataFrame, k: int, text: str, similarity: float) -> DataFrame:
+    """(digest, item_id, start, n_words, hamming, similarity) of the windows that reach the similarity."""
+    texts = docs.select(text_digest(text).alias("digest"), F.col(text).alias("body"))
+    starts = cut(_starts(texts.select("digest", words(F.col("body")).alias("ws")), items, k, similarity))
+    asked = starts.select("digest").distinct()
+    # Only texts with windows are split into words again, each once.
+    whole = texts.join(sized_broadcast(asked, starts.count(), TEXTS_BROADCAST), "digest", "left_semi").dropDuplicates(["digest"]).select("digest", words(F.col("body")).alias("ws"))
+    begun = whole.join(starts, "digest").select("digest", "n", "ws", F.explode("starts").alias("start"))
+    told = begun.select("digest", "n", "start", F.slice("ws", F.col("start") + 1, F.col("n")).alias("window"))
+    told = cut(told.select("digest", "n", "start", F.size("window").alias("n_words"), _shingles(F.col("window"), F.lit(k)).alias("shingles")).withColumn("fp", simhash(F.col("shingles"))))
+
+    known = cut(items.select("item_id", "n", _shingles(F.col("ws"), F.lit(k)).alias("shingles")).withColumn("i_fp", simhash(F.col("shingles"))))
+    near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")), lambda v: F.bit_count(v.bitwiseXOR(F.col("spot.value"))) <= BLOCK_ERRORS)
+    index = known.withColumn("spot", F.explode(blocks(F.col("i_fp")))).select("item_id", "n", "i_fp", "spot.block", F.explode(near).alias("value"))
+    keys = told.select("digest", "n", "start", "n_words", F.size("shingles").alias("size"), "fp", F.explode(blocks(F.col("fp"))).alias("spot")).select("*", "spot.block", "spot.value").drop("spot")
+    difference = F.col("fp").bitwiseXOR(F.col("i_fp"))
+    rows = known.count() * BLOCKS * 37
+    met = keys.join(sized_broadcast(index, rows, INDEX_BROADCAST), ["n", "block", "value"]).withColumn("hamming", F.bit_count(difference))
+    candidates = met.where((F.col("hamming") <= RADIUS) & (F.col("block") == first_block(difference))).select("digest", "n", "start", "n_words", "size", "item_id", "hamming")
 
-def _shingle_hash(h: str, at: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(F.col(h), at + i) for i in range(k)])
+    ours, theirs = _counted(told, "digest", "n", "start"), _counted(known, "item_id").withColumnRenamed("times", "i_times")
+    shared = candidates.join(ours, ["digest", "n", "start"]).join(theirs, ["item_id", "shingle"])
+    common = shared.groupBy("digest", "item_id", "start", "n", "n_words", "size", "hamming").agg(F.sum(F.least("times", "i_times")).alias("common"))
+    alike = F.col("common") / (F.col("size") + F.col("n") - k + 1 - F.col("common"))
+    return common.select("digest", "item_id", "start", "n_words", "hamming", alike.alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
 
 
-def _windows(docs: DataFrame, items: DataFrame, k: int, count: int) -> DataFrame:
-    """Windows (doc_id, item_id, start, window, n) at which a run of shared k-word shingles begins. items: (item_id, ws, n) of one slice and one shingle length."""
-    rows = items.withColumn("h", _hashed("ws")).select("item_id", "n", "h", F.posexplode("h").alias("o", "w")).where(F.col("o") + k <= F.col("n"))
-    index = rows.select("item_id", "n", "o", F.when(F.col("o") > 0, F.get("h", F.col("o") - 1)).alias("before"), _shingle_hash("h", F.col("o"), k).alias("shingle"))
-    spread = docs.select("doc_id", "ws", _hashed("ws").alias("h")).select("doc_id", "ws", "h", F.posexplode("h").alias("p", "w")).where(F.col("p") + k <= F.size("h"))
-    spread = spread.select("doc_id", "ws", "p", F.when(F.col("p") > 0, F.get("h", F.col("p") - 1)).alias("d_before"), _shingle_hash("h", F.col("p"), k).alias("shingle"))
-    hits = spread.join(sized_broadcast(index, count, INDEX_WORDS), "shingle").where("before is null or d_before is null or before != d_before")
-    start = F.greatest(F.lit(0), F.least("p", F.size("ws") - F.col("n")))
-    return hits.withColumn("start", start).select("doc_id", "item_id", "start", F.slice("ws", F.col("start") + 1, "n").alias("window"), F.lit(k).alias("k"))
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(digest, item_id, start, n_words, hamming, similarity) of the best window of each text and item; ties go to the first window."""
+    items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), words(F.col(item_text)).alias("ws")).where("item_id is not null and size(ws) > 0").withColumn("n", F.size("ws"))
+    items = cut(items.dropDuplicates(["item_id", "ws"]))
+    lengths = sorted(r["k"] for r in items.groupBy(F.least("n", F.lit(shingle)).alias("k")).count().collect())  # never more than `shingle`
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "digest string, item_id long, start int, n_words int, hamming int, similarity double")
+    found = None
+    for k in lengths:
+        part = _similar(docs, items.where(F.least("n", F.lit(shingle)) == k), k, text, similarity)
+        found = part if found is None else found.unionByName(part)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("first"), "n_words", "hamming"))
+    merged = found.groupBy("digest", "item_id").agg(best.alias("best"))
+    return merged.select("digest", "item_id", (-F.col("best.first")).alias("start"), "best.n_words", "best.hamming", "best.similarity")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, start (word), n_words, hamming, similarity (of the best window).
 
     Items shorter than a shingle are looked for by shingles of their own length; a document shorter than an item is one window. Null and
-    empty texts and items have no words and match nothing; rows with a null id are left out; repeated rows are one; empty tables give an empty result.
+    empty texts and items have no words and match nothing; items with a null id are left out; documents with a null id are found under it. Equal rows are one;
+    an id with several texts has the items of each. Very long texts and items are taken whole, and windows that only repeat the one before are left out, so
+    one word repeated tens of thousands of times makes one window. Other columns are not looked at, whatever their names. Empty tables give an empty result.
     """
-    items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), words(F.col(item_text)).alias("ws")).where("item_id is not null and size(ws) > 0").withColumn("n", F.size("ws"))
-    shape = {r["k"]: (r["items"], r["words"]) for r in items.groupBy(F.least("n", F.lit(shingle)).alias("k")).agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words")).collect()}
-    corpus = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), words(F.col(text)).alias("ws"))
-    found = []
-    for k, (count, total) in sorted(shape.items()):
-        parts = -(-total // INDEX_WORDS)
-        for part in range(parts):
-            mine = items.where((F.least("n", F.lit(shingle)) == k) & (F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))
-            found.append(_verified(_windows(corpus, mine, k, total // parts), mine, k, count, similarity))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, hamming int, similarity double")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("first"), "n_words", "hamming"))
-    merged = out.groupBy("doc_id", "item_id").agg(best.alias("best"))
-    return merged.select("doc_id", "item_id", (-F.col("best.first")).alias("start"), "best.n_words", "best.hamming", "best.similarity")
-
-
-def _verified(windows: DataFrame, items: DataFrame, k: int, count: int, similarity: float) -> DataFrame:
-    told = cut(windows).withColumn("shingles", _shingles(F.col("window"), F.lit(k))).withColumn("fp", simhash(F.col("shingles")))
-    keys = told.withColumn("spot", F.explode(blocks(F.col("fp")))).select("doc_id", "item_id", "start", F.size("window").alias("n_words"), "shingles", "fp", "spot.block", "spot.value")
-    known = items.select("item_id", _shingles(F.col("ws"), F.lit(k)).alias("i_shingles")).withColumn("i_fp", simhash(F.col("i_shingles")))
-    near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")), lambda v: F.bit_count(v.bitwiseXOR(F.col("spot.value"))) <= BLOCK_ERRORS)
-    index = known.withColumn("spot", F.explode(blocks(F.col("i_fp")))).select("item_id", "i_fp", "spot.block", F.explode(near).alias("value"))
-    difference = F.col("fp").bitwiseXOR(F.col("i_fp"))
-    met = keys.join(sized_broadcast(index, count, 20_000), ["item_id", "block", "value"])
-    candidates = met.withColumn("hamming", F.bit_count(difference)).where((F.col("hamming") <= RADIUS) & (F.col("block") == first_block(difference)))
-    exact = candidates.join(sized_broadcast(known.select("item_id", "i_shingles"), count, 20_000), "item_id")
-    return exact.withColumn("similarity", weighted_jaccard(F.col("i_shingles"), F.col("shingles"))).where(F.col("similarity") >= similarity).select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
+    found = leaking_texts(docs, benchmark, text, item_text, item_key, shingle, similarity)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(text).alias("digest")).join(found, "digest")
+    return rows.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity").distinct()
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows that hold a benchmark item; rows with a null id stay. All columns as they were."""
-    leak = free_name(docs, "leak")
-    found = leaks(docs, benchmark, text, key).select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(found, docs[key].cast("long") == found[leak], "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item, rows with a null id included. Null and empty texts stay. All columns as they were, whatever their names; repeated rows
+    stay or go together; an empty table of documents or items changes nothing. options: of leaking_texts."""
+    digest = free_name(docs, "digest")
+    found = leaking_texts(docs, benchmark, text, **options).select(F.col("digest").alias(digest)).distinct()
+    return docs.join(found, text_digest(text) == F.col(digest), "left_anti")

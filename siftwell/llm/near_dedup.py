@@ -3,12 +3,13 @@
 A link is a pair of texts whose fingerprints over the distinct words meet under a Golay key and differ in at most max_bits, and whose sets of
 five-word shingles have a cosine of at least the similarity. No such link is lost to the size of a group:
 
-* Under a key with up to CROWD texts all pairs within max_bits are listed.
+* Under a key with up to CROWD texts all pairs within max_bits are listed. Of a text's pairs one is verified first; pairs inside a component that is known then are not verified.
 * Under a crowded key each text is first compared with the key's hub, the text that shares the most keys with others (the original, if the crowd
-  is one text with its edited copies). What the hubs leave apart is listed by an exact set-similarity join inside the crowd: shingles are ordered
-  from rare to common in the crowd, and two sets can only reach the similarity if they share one of the first few (prefix filter, with
-  the prefix as short as the other set's size allows). An edited copy that is unlike the hub has so many shingles of its own that these alone are
-  its prefix, so it meets nothing but its own kind. The order comes from a sample of the crowd; any order gives the same links.
+  is one text with its edited copies). Of what the hubs leave apart, all pairs within max_bits are listed under keys with up to LISTED texts.
+* Beyond that an exact set-similarity join lists them: shingles are ordered from rare to common in the crowd, and two sets can only reach the
+  similarity if they share one of the first few (prefix filter, with the prefix as short as the other set's size allows). An edited copy
+  that is unlike the hub has so many shingles of its own that these alone are its prefix, so it meets nothing but its own kind. The order
+  comes from a sample of the crowd; any order gives the same links.
 
 Candidates are cut down by set sizes and by a 256-cell count sketch, both upper bounds of the overlap, before any shingles are fetched.
 """
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +28,10 @@ from .common import cut, free_name, sized_broadcast, utf8, words_of
 from .components import connected_components
 from .simhash import SEED, fingerprint, keyed
 
-CROWD = 16  # texts under one key up to which all pairs are listed
-ROUNDS = 3  # of hubs under crowded keys, before the exact join lists what is left
+CROWD = 64  # texts under one key up to which all pairs are listed at once
+LISTED = 512  # texts under one key up to which all pairs are listed that the hubs leave apart
+ROUNDS = 3  # of hubs under crowded keys
+HUB_BITS = 16  # a hub may be so far: a text like it joins it whether or not the bits say so
 FEW_LINKS = 0.05  # share of links among a round's pairs from which another round is worth its cost
 SAMPLE = 128  # texts of a crowd, about, that tell which shingles are common in it
 CELLS = 256  # of the count sketch
@@ -117,25 +119,34 @@ def _bits(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
-def near_pairs(keys: DataFrame, sizes: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): all pairs within max_bits that meet under a key with up to CROWD texts."""
+def listed_pairs(members: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): all pairs of different components within max_bits that meet under a key. members: (key, rep, fp, c), not more than LISTED for a key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(2, CROWD + 1):
-                part = batch.filter(pc.equal(batch.column(0), n))
-                if not part.num_rows:
-                    continue
-                rep, fp = (np.array(part.column(i).to_pylist(), np.int64).reshape(-1, n) for i in (1, 2))
+            sizes = batch.column(0).to_numpy()
+            for n in np.unique(sizes).tolist():
+                same, step = np.flatnonzero(sizes == n), max(1, (1 << 20) // (n * n))
                 i, j = np.triu_indices(n, 1)
-                a, b = rep[:, i].ravel(), rep[:, j].ravel()
-                near = np.bitwise_count((fp[:, i] ^ fp[:, j]).view(np.uint64)).ravel() <= max_bits
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near])], schema=schema)
+                for at in range(0, len(same), step):
+                    part = batch.take(pa.array(same[at : at + step]))
+                    rep, fp, c = (part.column(k).flatten().to_numpy().reshape(-1, n) for k in (1, 2, 3))
+                    near = (np.bitwise_count((fp[:, i] ^ fp[:, j]).view(np.uint64)) <= max_bits) & (c[:, i] != c[:, j])
+                    a, b = rep[:, i][near], rep[:, j][near]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
-    few = keys.join(sizes.where(F.col("n") <= CROWD).select("key"), "key")
-    listed = few.groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("m"))  # n is known, so a list is never longer than CROWD
-    return listed.select(F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp")).mapInArrow(expand, "a long, b long").distinct()
+    lists = members.groupBy("key").agg(F.collect_list(F.struct("rep", "fp", "c")).alias("m"))
+    return lists.select(F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp"), F.col("m.c").alias("c")).mapInArrow(expand, "a long, b long").distinct()
+
+
+def linked(near: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the same components as all verified pairs of near."""
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = cut(verified(first, held, similarity))
+    parts = connected_components(found)
+    rest = _with_components(_with_components(near.join(first, ["a", "b"], "left_anti"), parts, "c_a", "a"), parts, "c_b", "b")
+    return found.unionByName(verified(cut(rest.where("c_a != c_b").select("a", "b")), held, similarity))
 
 
 def _with_components(rows: DataFrame, parts: DataFrame | None, name: str = "c", rep: str = "rep") -> DataFrame:
@@ -154,10 +165,10 @@ def crowded_links(crowd: DataFrame, known: DataFrame, held: DataFrame, max_bits:
     open_rows = rows
     for _ in range(ROUNDS):
         members = _with_components(open_rows, parts)
-        best = members.groupBy("key").agg(F.max(F.struct("degree", "rep", "c")).alias("hub"))  # a maximum is combined before the shuffle, so hot keys cost little
-        best = cut(best.select("key", F.col("hub.degree").alias("h_degree"), F.col("hub.rep").alias("hub"), F.col("hub.c").alias("hub_c")))
+        best = members.groupBy("key").agg(F.max(F.struct("degree", "rep", "fp", "c")).alias("hub"))  # a maximum is combined before the shuffle, so hot keys cost little
+        best = cut(best.select("key", F.col("hub.degree").alias("h_degree"), F.col("hub.rep").alias("hub"), F.col("hub.fp").alias("h_fp"), F.col("hub.c").alias("hub_c")))
         hubs = best.select("key", "hub") if hubs is None else hubs
-        asked = members.join(best, "key").where("c != hub_c").groupBy("rep").agg(F.max(F.struct("h_degree", "hub")).alias("h"))
+        asked = members.join(best, "key").where((F.col("c") != F.col("hub_c")) & (_bits("fp", "h_fp") <= HUB_BITS)).groupBy("rep").agg(F.max(F.struct("h_degree", "hub")).alias("h"))
         pairs = asked.select(*_pairs("rep", "h.hub")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         n = pairs.count()
@@ -171,8 +182,13 @@ def crowded_links(crowd: DataFrame, known: DataFrame, held: DataFrame, max_bits:
         open_rows = cut(now.where("c != hub_now").select("key", "rep", "fp", "degree"))
         if new.count() < FEW_LINKS * n:
             break
-    rest = cut(_prefix_pairs(rows, hubs, parts, held, max_bits, similarity))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti")) if tried is not None else rest
+    members = _with_components(rows, parts)
+    left = cut(members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n"))
+    rest = listed_pairs(members.join(left.where(F.col("n") <= LISTED).select("key"), "key"), max_bits)
+    large = left.where(F.col("n") > LISTED).select("key")
+    if large.count():
+        rest = rest.unionByName(_prefix_pairs(rows.join(large, "key"), hubs, parts, held, max_bits, similarity)).distinct()
+    rest = cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     return found.unionByName(verified(rest, held, similarity))
 
 
@@ -268,12 +284,13 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     keys = keyed(points, max_bits)
     # A key's number of texts is combined before the shuffle, so a key with a third of all texts costs no more than others.
     sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    near = cut(near_pairs(keys, sizes, max_bits))
+    few = keys.join(sizes.where(F.col("n") <= CROWD).select("key"), "key").withColumn("c", F.col("rep"))
+    near = cut(listed_pairs(few, max_bits))
     hot = sizes.where(F.col("n") > CROWD)
     crowd = cut(keys.join(sized_broadcast(hot, hot.count(), HOT_KEYS), "key"))
     ends = cut(near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct())
     held = cut(bags(docs, ends, text, key, shingle))
-    links = cut(verified(near, held, similarity))
+    links = cut(linked(near, held, similarity))
     if crowd.count():
         links = crowded_links(crowd, links, held, max_bits, similarity)
     parts = connected_components(links.unionByName(twins))
