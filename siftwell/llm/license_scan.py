@@ -1,8 +1,9 @@
 """License scans: phrase places and an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Template tokens are ranked by how many blocks of all documents hold them, rarest first. A block can contain a share t of a template only if
-the two share one of the template's first |T| - ceil(t|T|) + 1 tokens (prefix filter), the block has at least ceil(t|T|) of the tokens
-(length filter) and enough tokens follow the shared one (positional filter). Survivors are verified by their whole sets.
+A text block is any run of consecutive words as long as the template, wherever lines end; a shorter document is one block. Template tokens are ranked by how many
+documents hold them, rarest first. A block can contain a share t of a template only if one of the template's first |T| - ceil(t|T|) + 1 tokens stands in it
+(prefix filter), the document has at least ceil(t|T|) words (length filter), and from that token on enough of the ranked tokens stand
+around it (positional filter). The blocks around the places that are left are verified by their whole sets.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, sized_broadcast
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
+INDEX_BROADCAST = 100_000  # prefix tokens of all templates, each with its template's tokens
 
 # Phrases that count as base places.
 PHRASES = (
@@ -40,22 +45,22 @@ TEMPLATES = (
 )
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, DELIMITERS), "")
+def lowered(text: str) -> Column:
+    """A-Z lower-cased and nothing else; null counts as empty."""
+    return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
 
 
-def _lines(text: str) -> Column:
-    """Words of each line of the lower-cased text; null counts as empty. Text blocks are lines: no word crosses a line end."""
-    return F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), _words)
+def words(text: str) -> Column:
+    return F.array_remove(F.split(lowered(text), DELIMITERS), "")
 
 
-def _places(words: str, text: Column, phrase: str) -> Column:
+def _places(ws: str, text: Column, phrase: str) -> Column:
     """Word positions at which the phrase's words stand consecutively."""
     tokens = phrase.split()
     present = text.contains(tokens[0])
     for t in tokens[1:]:
         present = present & text.contains(t)
-    w = F.col(words)
+    w = F.col(ws)
 
     def here(i: Column) -> Column:
         hit = F.get(w, i) == tokens[0]
@@ -68,62 +73,75 @@ def _places(words: str, text: Column, phrase: str) -> Column:
 
 
 def token_order(docs: DataFrame, tokens: Sequence[str], text: str = "text") -> list[str]:
-    """The template tokens, those in the fewest blocks first (ties by name). Counted over all blocks; the result is as long as the template vocabulary."""
+    """The template tokens, those in the fewest documents first (ties by name). Counted over all documents; the result is as long as the template vocabulary."""
     vocabulary = F.array(*map(F.lit, sorted(tokens)))
-    held = docs.select(F.explode(F.flatten(F.transform(_lines(text), lambda w: F.array_intersect(vocabulary, w)))).alias("token"))
+    held = docs.select(F.explode(F.array_intersect(vocabulary, words(text))).alias("token"))
     counts = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score (columns of these names are replaced).
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
 
-    score is the largest containment of a template in a block, or 1 where a base phrase stands. Null and empty texts have no words and no
-    labels. What is found depends on the text alone and is joined back by its digest, so repeated rows and equal ids are safe; an empty table gives
-    an empty result.
+def blocks(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
+    """(digest, template, label, start, length, share): for each different text and template the first block that holds most of the template, if it holds the threshold.
+
+    digest is the MD5 of the text, start the block's first word and length its words. Null and empty texts hold nothing.
     """
-    bags = [(k, set(t.split()), label) for k, (t, label) in enumerate(templates)]
-    order = token_order(docs, sorted(set().union(*(b for _, b, _ in bags))), text)
-    ranked = F.array(*map(F.lit, order))
+    bags = [(k, set(t.split()), len(t.split()), label) for k, (t, label) in enumerate(templates)]
+    order = token_order(docs, sorted(set().union(*(b for _, b, _, _ in bags))), text)
     rank = {t: i for i, t in enumerate(order)}
-    entries, least = [], min(math.ceil(threshold * len(bag)) for _, bag, _ in bags)
-    for k, bag, label in bags:
-        need, tokens = math.ceil(threshold * len(bag)), sorted(bag, key=rank.__getitem__)
-        entries += [(t, k, i, len(bag), need, tokens, label) for i, t in enumerate(tokens[: len(bag) - need + 1])]
-    index = docs.sparkSession.createDataFrame(entries, "token string, template int, t_at int, t_size int, need int, t_tokens array<string>, label string")
+    entries = []
+    for k, bag, length, label in bags:
+        need, tokens = math.ceil(threshold * len(bag) - 1e-9), sorted(bag, key=rank.__getitem__)
+        entries += [(t, k, need, length, tokens, label) for t in tokens[: len(bag) - need + 1]]
+    index = docs.sparkSession.createDataFrame(entries, "token string, template int, need int, length int, t_tokens array<string>, label string")
+    rare = F.array(*map(F.lit, sorted({e[0] for e in entries})))
+
+    texts = docs.select(_digest(text).alias("digest"), words(text).alias("w")).where(F.arrays_overlap("w", rare))
+    places = texts.select("digest", "w", F.posexplode("w").alias("p", "token")).join(sized_broadcast(index, len(entries), INDEX_BROADCAST), "token").where(F.size("w") >= F.col("need"))
+    first = F.greatest(F.lit(0), F.col("p") - F.col("length") + 1)
+    last = F.greatest(first, F.least(F.col("p"), F.size("w") - F.col("length")))
+    around = places.select("digest", "template", "label", "token", "need", "length", "t_tokens", first.alias("first"), last.alias("last"), F.slice("w", first + 1, last - first + F.col("length")).alias("around"))
+    shared = F.array_intersect("t_tokens", "around")  # in the order of the ranks
+    near = around.where(F.size(shared) - F.array_position(shared, F.col("token")) + 1 >= F.col("need"))
+    held = F.transform(
+        F.sequence("first", "last"),
+        lambda s: F.struct(F.size(F.array_intersect(F.col("t_tokens"), F.slice("around", s - F.col("first") + 1, F.col("length")))).alias("held"), (-s).alias("back")),
+    )
+    best = near.groupBy("digest", "template", "label", "length").agg(F.max(F.array_max(held)).alias("best"), F.first(F.size("t_tokens")).alias("size"))
+    found = best.select("digest", "template", "label", (-F.col("best.back")).alias("start"), "length", (F.col("best.held") / F.col("size")).alias("share"))
+    return found.where(F.col("share") >= threshold - 1e-9)
 
-    mine = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
+    """docs without its text, with n_words, n_base, first_word, last_word, base_labels, labels, score, blocks (columns of these names are replaced, whatever their case).
+
+    blocks holds (label, start, length, share) of each template's best block; score is their largest share, or 1 where a base phrase stands. Null and empty texts
+    have no words and no labels. What is found depends on the text alone and is joined back by its digest, so repeated rows, equal ids and null ids are
+    safe; any other column may have any name. Very long texts are split into words whole, one at a time. An empty table gives an empty result.
+    """
+    mine = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
     kept = [c for c in docs.columns if c.lower() not in mine and c != text]
-    base = docs.select(*kept, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("__row"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__text"), _lines(text).alias("__lines"))
-    base = base.withColumn("__words", F.flatten("__lines"))
-    base = base.withColumn("__at", F.array(*[F.struct(F.lit(label).alias("label"), _places("__words", F.col("__text"), p).alias("places")) for p, label in phrases]))
-    blocks = F.filter(F.transform("__lines", lambda w: F.array_intersect(ranked, w)), lambda b: F.size(b) >= least)
-    places = F.flatten(F.transform("__at", lambda a: a["places"]))
-    rows = base.select(
-        *kept,
-        "__row",
-        F.size("__words").cast("long").alias("n_words"),
+    bare = docs.select(F.struct(*[docs[c] for c in kept]).alias("row") if kept else F.lit(None).alias("row"), docs[text].alias("text"))
+    split = bare.select("row", _digest("text").alias("digest"), lowered("text").alias("low"), words("text").alias("w"))
+    at = split.select("row", "digest", "w", F.array(*[F.struct(F.lit(label).alias("label"), _places("w", F.col("low"), p).alias("places")) for p, label in phrases]).alias("at"))
+    places = F.flatten(F.transform("at", lambda a: a["places"]))
+    rows = at.select(
+        "row",
+        "digest",
+        F.size("w").cast("long").alias("n_words"),
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct(F.transform(F.filter("__at", lambda a: F.size(a["places"]) > 0), lambda a: a["label"]))).alias("__base"),
-        blocks.alias("__blocks"),
-    )
-    found = (
-        rows.select("__row", F.posexplode("__blocks").alias("block", "b_tokens"))
-        .select("__row", "block", "b_tokens", F.posexplode(F.slice("b_tokens", 1, F.size("b_tokens") - least + 1)).alias("b_at", "token"))
-        .join(F.broadcast(index), "token")
-        .where("size(b_tokens) >= need and b_at <= size(b_tokens) - need")
-        .where("1 + least(t_size - t_at, size(b_tokens) - b_at) - 1 >= need")
-        .withColumn("share", F.size(F.array_intersect("b_tokens", "t_tokens")) / F.col("t_size"))
-        .where(F.col("share") >= threshold)
-        .groupBy("__row")
-        .agg(F.collect_set("label").alias("__found"), F.max("share").alias("__share"))
-        .withColumnRenamed("__row", "__hit")
+        F.array_sort(F.array_distinct(F.transform(F.filter("at", lambda a: F.size(a["places"]) > 0), lambda a: a["label"]))).alias("base"),
     )
-    labels = F.array_sort(F.array_union("__base", F.coalesce("__found", F.array().cast("array<string>"))))
-    joined = rows.drop("__blocks").join(found, F.col("__row") == F.col("__hit"), "left")
+    found = blocks(docs.select(docs[text].alias("text")), "text", templates, threshold).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("label", "start", "length", "share"))).alias("blocks"))
+    joined = rows.join(found, "digest", "left")
+    none = F.array().cast("array<string>")
+    labels = F.array_sort(F.array_union("base", F.coalesce(F.col("blocks.label"), none)))
     return joined.select(
-        *kept, "n_words", "n_base", "first_word", "last_word", F.array_join("__base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("__share", F.lit(0.0))).alias("score"),
+        *[F.col("row")[c].alias(c) for c in kept], "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("blocks.share")), F.lit(0.0))).alias("score"), "blocks",
     )

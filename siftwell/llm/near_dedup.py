@@ -45,10 +45,12 @@ def print_and_digest(text: str | Column) -> Column:
 
     @F.arrow_udf("struct<fp: long, digest: binary>")
     def compute(texts: pa.Array) -> pa.Array:
-        words = [words_of(t.as_py()) for t in texts]
-        values = np.fromiter((fingerprint(w, 1, True) for w in words), np.uint64, len(words))
-        digests = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-        return pa.StructArray.from_arrays([pa.array(values.view(np.int64)), digests], ["fp", "digest"])
+        values, digests = np.zeros(len(texts), np.uint64), []
+        for k, t in enumerate(texts):  # one text's words at a time
+            words = words_of(t.as_py())
+            values[k] = fingerprint(words, 1, True)
+            digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+        return pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(digests, pa.binary())], ["fp", "digest"])
 
     return compute(utf8(text))
 

@@ -12,31 +12,36 @@ def _phrase_places(phrase: str) -> str:
 
 
 def _license_sql() -> str:
-    phrases = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, unnest({_phrase_places(p)}) AS place FROM d" for p, label in PHRASES)
-    templates = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))!r})" for k, (t, label) in enumerate(TEMPLATES))
+    """Every run of as many words as a template has that begins with one of its words, or is the text's last, is compared with it. Other runs hold no more than the next of these."""
+    phrases = " UNION ALL ".join(f"SELECT k, '{label}' AS label, unnest({_phrase_places(p)}) AS place FROM d" for p, label in PHRASES)
+    templates = ", ".join(f"({i}, '{label}', {len(t.split())}, {len(set(t.split()))})" for i, (t, label) in enumerate(TEMPLATES))
+    tokens = ", ".join(f"({i}, '{token}')" for i, (t, _) in enumerate(TEMPLATES) for token in sorted(set(t.split())))
     return rf"""
         WITH d AS (
-            SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS lines,
-                   regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            SELECT row_number() OVER () AS k, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
             FROM documents
         ), p AS ({phrases}),
         base AS (
-            SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base
-            FROM p GROUP BY doc_id
-        ), t(k, label, bag) AS (VALUES {templates}),
-        l AS (
-            SELECT doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw
-            FROM (SELECT doc_id, unnest(lines) AS line FROM d)
+            SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base
+            FROM p GROUP BY k
+        ), t(tid, label, words, size) AS (VALUES {templates}), tt(tid, token) AS (VALUES {tokens}),
+        m AS (
+            SELECT k, tid, token, pos, n FROM (SELECT k, unnest(w) AS token, unnest(range(len(w))) AS pos, len(w) AS n FROM d) JOIN tt USING (token)
+        ), enough AS (
+            SELECT k, tid, words, size FROM m JOIN t USING (tid) GROUP BY k, tid, words, size HAVING count(DISTINCT token) >= {CONTAINMENT} * size - 1e-9
+        ), runs AS (
+            SELECT DISTINCT k, tid, words, size, least(pos, greatest(n - words, 0)) AS s FROM m JOIN enough USING (k, tid)
         ), hits AS (
-            SELECT doc_id, label, len(list_intersect(lw, bag)) / len(bag) AS share FROM l, t
+            SELECT k, tid, s, count(DISTINCT token) / any_value(size) AS share FROM runs JOIN m USING (k, tid) WHERE pos >= s AND pos < s + words GROUP BY k, tid, s
         ), found AS (
-            SELECT doc_id, list(DISTINCT label) AS found, max(share) AS share FROM hits WHERE share >= {CONTAINMENT} GROUP BY doc_id
+            SELECT k, list(DISTINCT label) AS found, max(share) AS share FROM hits JOIN t USING (tid) WHERE share >= {CONTAINMENT} - 1e-9 GROUP BY k
         )
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
                coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
                round(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE, 6) AS score
-        FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+        FROM d LEFT JOIN base USING (k) LEFT JOIN found USING (k)
     """
 
 

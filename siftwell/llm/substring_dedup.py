@@ -1,8 +1,9 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash over the last 16 bytes decides, at word ends only, where a chunk ends; an insertion therefore shifts bytes but not the cuts
-that follow it. Chunks are compared by a 128-bit digest. Runs of consecutive repeated chunks make the repeated passages, and the occurrence in
-the smallest document (first place) is the one that stays.
+that follow it. What is compared, by a 128-bit digest, is a run: the consecutive chunks from each chunk on that make up RUN_WORDS words. So a
+passage counts only if it stands in another place as a whole, not if its chunks recur one by one. The first occurrence of a run (smallest document, then
+place) always stays whole; words that are in later occurrences of runs only may go.
 """
 
 from __future__ import annotations
@@ -14,13 +15,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import utf8
+from .common import free_name, utf8
 
 MASK_BITS = 2  # one word end in four is a cut
 LEAST_CHUNK, MOST_CHUNK = 12, 96  # bytes of the normalised text
-RUN_WORDS = 16  # words of a repeated run from which it counts as a passage
+RUN_WORDS = 24  # words of a run, at least
 PIECE = 1 << 20
 
 # The gear table: 256 fixed pseudo-random numbers from a rule, so that every worker has the same.
@@ -63,65 +63,103 @@ def cuts(data: bytes) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def chunk_rows(text: bytes | None) -> Iterator[tuple[int, int, int, int, int]]:
-    """(number, first word, words, upper and lower half of the digest) of each chunk of the lower-cased (A-Z) words of a text."""
+def run_rows(text: bytes | None, run_words: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first word, words, upper and lower half of the digest) of the run that begins at each chunk of the lower-cased (A-Z) words of a text."""
     data = b" ".join(text.lower().split()) if text else b""
-    last = word = 0
-    for k, end in enumerate(cuts(data).tolist()):
-        chunk = data[last:end].rstrip(b" ")
-        n = chunk.count(b" ") + 1
-        digest = xxhash.xxh3_128_digest(chunk)
-        yield k, word, n, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-        last, word = end, word + n
+    ends = cuts(data).tolist()
+    begins = [0, *ends[:-1]]
+    counts = [data.count(b" ", a, e) + (e == len(data)) for a, e in zip(begins, ends, strict=True)]
+    word = last = held = 0
+    for first, begin in enumerate(begins):
+        while last < len(ends) and held < run_words:
+            held += counts[last]
+            last += 1
+        if held < run_words:
+            return
+        digest = xxhash.xxh3_128_digest(data[begin : ends[last - 1]].rstrip(b" "))
+        yield word, held, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+        word += counts[first]
+        held -= counts[first]
 
 
-CHUNK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("number", pa.int32()), ("word", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
+RUN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("word", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
 
 
-def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Every chunk of every row with a non-null id: doc_id, number, word, words, high, low."""
+def runs(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
+    """Every run of every row with a non-null id: doc_id, word, words, high, low."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[int]] = [[] for _ in CHUNK_SCHEMA]
+        columns: list[list[int]] = [[] for _ in RUN_SCHEMA]
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in chunk_rows(body.as_py()):
+                for row in run_rows(body.as_py(), run_words):
                     columns[0].append(doc)
                     for c, v in zip(columns[1:], row, strict=True):
                         c.append(v)
                     if len(columns[0]) >= 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CHUNK_SCHEMA, strict=True)], schema=CHUNK_SCHEMA)
-                        columns = [[] for _ in CHUNK_SCHEMA]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUN_SCHEMA, strict=True)], schema=RUN_SCHEMA)
+                        columns = [[] for _ in RUN_SCHEMA]
         if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CHUNK_SCHEMA, strict=True)], schema=CHUNK_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUN_SCHEMA, strict=True)], schema=RUN_SCHEMA)
 
     spelled = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text"))
-    return spelled.mapInArrow(expand, "doc_id long, number int, word int, words int, high long, low long")
+    return spelled.mapInArrow(expand, "doc_id long, word int, words int, high long, low long")
+
+
+def sections(found: list[tuple[int, int, int, bool]]) -> list[dict]:
+    """Passages from the repeated runs (word, words, copies, first) of one document: stretches that some run covers, split where they change between
+    staying (a first occurrence covers them) and going."""
+    spans = sorted(set(found), key=lambda r: -r[2])
+    bounds = np.unique([x for w, n, _, _ in spans for x in (w, w + n)])
+    copies, stays = np.zeros(len(bounds), np.int64), np.zeros(len(bounds), bool)
+    for word, n, times, first in spans:
+        a, b = np.searchsorted(bounds, (word, word + n))
+        copies[a:b] = times  # the fewest, as they come last
+        stays[a:b] |= first
+    out: list[dict] = []
+    for k in range(len(bounds) - 1):
+        if not copies[k]:
+            continue
+        joins = out and out[-1]["start"] + out[-1]["words"] == bounds[k]
+        width = int(bounds[k + 1] - bounds[k])
+        if joins and out[-1]["first"] == stays[k]:
+            out[-1]["words"] += width
+            out[-1]["copies"] = min(out[-1]["copies"], int(copies[k]))
+        else:
+            out.append({"start": int(bounds[k]), "words": width, "copies": int(copies[k]), "first": bool(stays[k]), "run": int(out[-1]["run"]) if joins else k})
+    for island in {s["run"] for s in out}:
+        mine = [s for s in out if s["run"] == island and s["run"] >= 0]
+        total = sum(s["words"] for s in mine)
+        for s in mine:
+            s["run"] = -total
+    return [s | {"run": -s["run"]} for s in out]
+
+
+PASSAGE = "start: int, words: int, copies: long, first: boolean, run: int"
 
 
 def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """Repeated passages: doc_id, start and words (position and length in words), chunks, copies (fewest occurrences of a chunk in it), first (this is where the passage stays).
+    """Repeated passages: doc_id, start and words (position and length in words), copies (fewest occurrences of a run in it), first (it stays here), run (words of
+    the whole repeated stretch it is part of).
 
-    A run ends where a chunk is not repeated elsewhere or where it changes between staying and going. Runs whose chunks are repeated for fewer than
-    run_words words on end are no passages. Null and empty texts have no chunks; rows with a null id are left out; repeated rows repeat
-    their text and are reported under their one id; an empty table gives an empty result.
+    Null and empty texts and texts of fewer than run_words words have no runs; rows with a null id are left out; repeated rows repeat
+    their text and are reported under their one id, of which the text stays; an id with several texts is reported as one. Very long texts are cut a piece at a time, whole; the passages of one document are
+    put together in one row. Other columns are not looked at, whatever their names. An empty table gives an empty result.
     """
-    every = chunks(docs, text, key)
-    first = F.min(F.struct("doc_id", "number"))
+
+    @F.arrow_udf(f"array<struct<{PASSAGE}>>")
+    def merged(words: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("copies", pa.int64()), ("first", pa.bool_()), ("run", pa.int32())]))
+        return pa.array([sections([(r["word"], r["words"], r["copies"], r["first"]) for r in found.as_py()]) for found in words], kind)
+
+    every = runs(docs, text, key, run_words)
+    first = F.min(F.struct("doc_id", "word"))
     seen = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("copies"), first.alias("at")).where("copies > 1")
-    # The key of one side is spelled anew, so the join deals out both sides itself and Spark may split a digest that very many chunks share.
+    # The key of one side is spelled anew, so the join deals out both sides itself and Spark may split a digest that very many runs share.
     seen = seen.select(F.col("high").bitwiseXOR(F.lit(0).cast("long")).alias("s_high"), F.col("low").bitwiseXOR(F.lit(0).cast("long")).alias("s_low"), "copies", "at")
-    hits = every.join(seen, (F.col("high") == F.col("s_high")) & (F.col("low") == F.col("s_low"))).repartition("doc_id")
-    hits = hits.select("doc_id", "number", "word", "words", "copies", ((F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.number") == F.col("number"))).alias("first"))
-    by_doc = W.partitionBy("doc_id").orderBy("number", "first")
-    runs = hits.dropDuplicates(["doc_id", "number"]).withColumn("island", F.col("number") - F.row_number().over(by_doc))
-    whole = runs.groupBy("doc_id", "island").agg(F.sum("words").alias("run"), F.array_sort(F.collect_list(F.struct("number", "word", "words", "copies", "first"))).alias("parts")).where(F.col("run") >= run_words)
-    parts = whole.select("doc_id", "island", "run", F.explode("parts").alias("c")).select("doc_id", "island", "run", "c.*")
-    in_run = W.partitionBy("doc_id", "island").orderBy("number")
-    turned = parts.withColumn("turn", F.when(F.col("first") != F.lag("first").over(in_run), 1).otherwise(0)).withColumn("section", F.sum("turn").over(in_run))
-    return turned.groupBy("doc_id", "island", "section").agg(
-        F.min("word").alias("start"), F.sum("words").cast("int").alias("words"), F.count(F.lit(1)).cast("int").alias("chunks"), F.min("copies").alias("copies"), F.first("first").alias("first"), F.first("run").alias("run")
-    ).select("doc_id", "start", "words", "chunks", "copies", "first", "run")
+    hits = every.join(seen, (F.col("high") == F.col("s_high")) & (F.col("low") == F.col("s_low")))
+    hits = hits.select("doc_id", F.struct("word", "words", "copies", ((F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.word") == F.col("word"))).alias("first")).alias("run"))
+    return hits.groupBy("doc_id").agg(F.collect_list("run").alias("runs")).select("doc_id", F.inline(merged("runs")))
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
@@ -134,7 +172,8 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with the repeated passages cut out of the text wherever they don't stay. Words left over are joined by single spaces in changed texts; others stay as they were."""
+    """docs with the repeated passages cut out of the text wherever they don't stay. Words left over are joined by single spaces in changed texts; others stay as they were, as do all
+    other columns, whatever their names."""
 
     @F.arrow_udf("string")
     def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -150,6 +189,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", ru
             out.append(None if body is None else body.decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    marks = repeated(docs, text, key, run_words).where("dropped_words > 0").select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(marks, docs[key].cast("long") == F.col("__doc"), "left")
-    return joined.select(*[F.when(F.col("__spans").isNull(), docs[c]).otherwise(cut_out(utf8(docs[c]), F.col("__spans"))).alias(c) if c == text else docs[c] for c in docs.columns])
+    doc, spans = free_name(docs, "doc"), free_name(docs, "spans")
+    marks = repeated(docs, text, key, run_words).where("dropped_words > 0").select(F.col("doc_id").alias(doc), F.col("spans").alias(spans))
+    joined = docs.join(marks, docs[key].cast("long") == F.col(doc), "left")
+    return joined.select(*[F.when(F.col(spans).isNull(), docs[c]).otherwise(cut_out(utf8(docs[c]), F.col(spans))).alias(c) if c == text else docs[c] for c in docs.columns])
