@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, sized_broadcast
 
-SAMPLE_ROWS = 2_400  # bound of the training sample, shared evenly by the languages
+SAMPLE_ROWS, LEAST_SHARE = 2_400, 8  # bound of the training sample, shared evenly by the languages; rows that a language has a right to if there are very many
+LANGUAGES_BROADCAST = 100_000
 DIMENSIONS = 1 << 13
 PIECE = 1 << 20  # bytes of a text looked at at a time
 UNDETERMINED = "und"
@@ -148,22 +149,22 @@ def has_letter(text: str | Column) -> Column:
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits a model to a sample of at most sample_rows rows with a language and a letter, an even share for each language, chosen by the hash of the key."""
+    """Fits a model to a sample of rows with a language and a letter, an even share for each language, chosen by the hash of the key. The sample has at most sample_rows rows, or
+    LEAST_SHARE for each language if that is more: no language goes unlearned. Texts are turned into vectors where they are; only vectors move."""
     labelled = rows.where(F.col(lang).isNotNull() & has_letter(text)).select(F.col(lang).alias("lang"), F.col(text).alias("body"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(sample_rows // 8).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit([], np.zeros((0, DIMENSIONS), np.float32))
-    share = sample_rows // len(counts)
-    limit = F.lit(0.0)
-    for code, n in counts.items():
-        limit = F.when(F.col("lang") == code, F.lit(min(1.0, 1.3 * share / n))).otherwise(limit)
+    share = max(LEAST_SHARE, sample_rows // len(counts))
+    limits = rows.sparkSession.createDataFrame([(code, min(1.0, 1.3 * share / n)) for code, n in sorted(counts.items())], "known string, part double")
     unit = F.pmod("h", F.lit(1_000_003)) / 1_000_003
 
     @F.arrow_udf("binary")
     def vectors(texts: pa.Array) -> pa.Array:
         return pa.array([features(t.as_py()).astype(np.float16).tobytes() for t in texts], pa.binary())
 
-    sample = labelled.where(unit < limit).orderBy("h").limit(sample_rows).select("lang", vectors(F.col("body").cast("binary")).alias("v")).collect()
+    chosen = labelled.join(sized_broadcast(limits, len(counts), LANGUAGES_BROADCAST), F.col("lang") == F.col("known")).where(unit < F.col("part"))
+    sample = chosen.select("h", "lang", vectors(F.col("body").cast("binary")).alias("v")).orderBy("h", "lang", "v").limit(max(sample_rows, share * len(counts))).select("lang", "v").collect()
     x = np.empty((len(sample), DIMENSIONS), np.float32)
     for k, r in enumerate(sample):
         x[k] = np.frombuffer(r["v"], np.float16)
@@ -190,7 +191,8 @@ def held_out(key: str = "doc_id") -> Column:
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score. Learns from the rows that are not held out.
 
-    Without any labelled row every prediction is `und` with score 0. Repeated rows are returned each; an empty table gives an empty result.
+    Without any labelled row every prediction is `und` with score 0. Null texts and texts without a letter are `und` too; very long texts are read whole, a piece at a time.
+    Repeated rows are returned each; other columns are not looked at, whatever their names; an empty table gives an empty result.
     """
     model = train(docs.where(~held_out(key)), text, lang, key)
     out = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), predictions(model, F.col(text)).alias("told"))

@@ -3,7 +3,7 @@
 A link is a pair of texts whose fingerprints over the distinct words meet under a Golay key and differ in at most max_bits, and whose sets of
 five-word shingles have a cosine of at least the similarity. No such link is lost to the size of a group:
 
-* Under a key with up to CROWD texts all pairs within max_bits are listed. Of a text's pairs one is verified first; pairs inside a component that is known then are not verified.
+* Under a key with up to CROWD texts all pairs within max_bits are listed. They are verified a few a text at a time; pairs inside a component that is known by then need not be.
 * Under a crowded key each text is first compared with the key's hub, the text that shares the most keys with others (the original, if the crowd
   is one text with its edited copies). Of what the hubs leave apart, all pairs within max_bits are listed under keys with up to LISTED texts.
 * Beyond that an exact set-similarity join lists them: shingles are ordered from rare to common in the crowd, and two sets can only reach the
@@ -31,6 +31,7 @@ from .simhash import SEED, fingerprint, keyed
 CROWD = 64  # texts under one key up to which all pairs are listed at once
 LISTED = 512  # texts under one key up to which all pairs are listed that the hubs leave apart
 ROUNDS = 3  # of hubs under crowded keys
+STEPS = 3  # of verification, each of one pair a text but the last
 HUB_BITS = 16  # a hub may be so far: a text like it joins it whether or not the bits say so
 FEW_LINKS = 0.05  # share of links among a round's pairs from which another round is worth its cost
 SAMPLE = 128  # texts of a crowd, about, that tell which shingles are common in it
@@ -142,13 +143,21 @@ def listed_pairs(members: DataFrame, max_bits: int) -> DataFrame:
     return lists.select(F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp"), F.col("m.c").alias("c")).mapInArrow(expand, "a long, b long").distinct()
 
 
-def linked(near: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that join the same components as all verified pairs of near."""
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = cut(verified(first, held, similarity))
-    parts = connected_components(found)
-    rest = _with_components(_with_components(near.join(first, ["a", "b"], "left_anti"), parts, "c_a", "a"), parts, "c_b", "b")
-    return found.unionByName(verified(cut(rest.where("c_a != c_b").select("a", "b")), held, similarity))
+def linked(near: DataFrame, held: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that, with those known, join the same components as all verified pairs of near. In each step a text has one of its open pairs verified; a last step verifies all
+    that are still open. Pairs inside a component can't change it and are left out."""
+    found, parts = known, None if known is None else cut(connected_components(known))
+    for k in range(STEPS):
+        if parts is not None:
+            near = _with_components(_with_components(near, parts, "c_a", "a"), parts, "c_b", "b").where("c_a != c_b").select("a", "b")
+        near = cut(near)
+        now = near if k == STEPS - 1 else cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        new = cut(verified(now, held, similarity))
+        found = new if found is None else found.unionByName(new)
+        if k < STEPS - 1:
+            near = near.join(now, ["a", "b"], "left_anti")
+            parts = cut(connected_components(found))
+    return found
 
 
 def _with_components(rows: DataFrame, parts: DataFrame | None, name: str = "c", rep: str = "rep") -> DataFrame:
@@ -158,12 +167,11 @@ def _with_components(rows: DataFrame, parts: DataFrame | None, name: str = "c",
     return rows.join(told, F.col(rep) == F.col("_node"), "left").withColumn(name, F.coalesce("_part", rep)).drop("_node", "_part")
 
 
-def crowded_links(crowd: DataFrame, known: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """(a, b): links under crowded keys which, with those known, join the same components as all links there. crowd: (key, rep, fp, n)."""
+def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> tuple[DataFrame | None, DataFrame]:
+    """Links (a, b) that were found with the hubs of crowded keys, and the pairs under these keys that are left to verify. crowd: (key, rep, fp, n)."""
     degree = crowd.groupBy("rep").agg(F.sum("n").alias("degree"))
     rows = cut(crowd.select("key", "rep", "fp").join(degree, "rep"))
-    found, parts, hubs = known, connected_components(known), None
-    tried = None
+    found = parts = hubs = tried = None
     open_rows = rows
     for _ in range(ROUNDS):
         members = _with_components(open_rows, parts)
@@ -178,7 +186,7 @@ def crowded_links(crowd: DataFrame, known: DataFrame, held: DataFrame, max_bits:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = cut(verified(pairs, held, similarity))
-        found = found.unionByName(new)
+        found = new if found is None else found.unionByName(new)
         parts = cut(connected_components(found))
         now = _with_components(_with_components(open_rows, parts).join(best.select("key", "hub"), "key"), parts, "hub_now", "hub")
         open_rows = cut(now.where("c != hub_now").select("key", "rep", "fp", "degree"))
@@ -190,8 +198,7 @@ def crowded_links(crowd: DataFrame, known: DataFrame, held: DataFrame, max_bits:
     large = left.where(F.col("n") > LISTED).select("key")
     if large.count():
         rest = rest.unionByName(_prefix_pairs(rows.join(large, "key"), hubs, parts, held, max_bits, similarity)).distinct()
-    rest = cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
-    return found.unionByName(verified(rest, held, similarity))
+    return found, cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
 
 
 def _prefix_pairs(rows: DataFrame, hubs: DataFrame, parts: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> DataFrame:
@@ -219,11 +226,12 @@ def _prefix_pairs(rows: DataFrame, hubs: DataFrame, parts: DataFrame, held: Data
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                order = rare_first(np.frombuffer(row["bag"], np.int64), np.array(row["s"], np.int64), np.array(row["n"], np.int64))
-                for asks in (False, True) if row["asks"] else (False,):
+            column = {n: batch.column(k) for k, n in enumerate(("crowd", "rep", "fp", "c", "asks", "bag", "s", "n"))}
+            for i in range(batch.num_rows):
+                order = rare_first(np.frombuffer(column["bag"][i].as_py(), np.int64), *(column[n][i].values.to_numpy() for n in ("s", "n")))
+                for asks in (False, True) if column["asks"][i].as_py() else (False,):
                     where, classes = (asking if asks else answering)(order, similarity)
-                    ids = [pa.array(np.full(len(where), row[n], np.int64)) for n in ("crowd", "rep", "fp", "c")]
+                    ids = [pa.array(np.full(len(where), column[n][i].as_py(), np.int64)) for n in ("crowd", "rep", "fp", "c")]
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(where), pa.array(classes), pa.array(np.full(len(where), asks))], schema=schema)
 
     spread = cut(asked.mapInArrow(expand, "crowd long, rep long, fp long, c long, s long, class long, asks boolean"))
@@ -292,9 +300,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     crowd = cut(keys.join(sized_broadcast(hot, hot.count(), HOT_KEYS), "key"))
     ends = cut(near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct())
     held = cut(bags(docs, ends, text, key, shingle))
-    links = cut(linked(near, held, similarity))
+    known = None
     if crowd.count():
-        links = crowded_links(crowd, links, held, max_bits, similarity)
+        known, rest = crowded_links(crowd, held, max_bits, similarity)
+        near = near.unionByName(rest).distinct()
+    links = linked(near, held, similarity, known)
     parts = connected_components(links.unionByName(twins))
     gone = free_name(docs, "gone")
     losers = parts.where("node != component").select(F.col("node").alias(gone)).distinct()

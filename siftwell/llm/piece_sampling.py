@@ -61,7 +61,8 @@ def _extend_one(h: int, c: int) -> int:
 
 @cache
 def vocabulary(path: str = MODEL) -> Vocabulary:
-    """Read once for each Python worker. A piece's weight falls with its rank: 1 / (rank + 1), as frequencies by rank do."""
+    """Read once for each Python worker. A unigram vocabulary brings log weights. The scores of a BPE vocabulary are its merge order, no weights; there a piece's
+    weight falls with its rank, 1 / (rank + 2), as frequencies by rank do."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,8 +70,9 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     plain = [i for i in range(len(pieces)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     rank = {i: r for r, i in enumerate(plain)}
     logs = np.full(len(pieces), -np.log(len(plain) + 2.0))
+    merge_order = all(float(model.get_score(i)).is_integer() for i in plain)
     for i, r in rank.items():
-        logs[i] = -np.log(r + 2.0)
+        logs[i] = -np.log(r + 2.0) if merge_order else model.get_score(i)
     logs -= np.log(np.exp(logs).sum())
     bytes_at = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int64)
     prefixes: dict[int, int] = {}
@@ -282,7 +284,7 @@ def _sample(v: Vocabulary, codes: np.ndarray, begins: np.ndarray, lengths: np.nd
     odd = np.flatnonzero(piece < 0)
     if not len(odd):
         return piece, at
-    spelled = [v.bytes_at[np.frombuffer(chr(SPACE if c == LITERAL else int(c)).encode("utf-8", "surrogatepass"), np.uint8)] for c in codes[at[odd]]]
+    spelled = [v.bytes_at[np.frombuffer(_spelling(int(c)), np.uint8)] for c in codes[at[odd]]]
     times = np.ones(len(piece), np.int64)
     times[odd] = [len(s) for s in spelled]
     ids, where = np.repeat(piece, times), np.repeat(at, times)
@@ -290,18 +292,29 @@ def _sample(v: Vocabulary, codes: np.ndarray, begins: np.ndarray, lengths: np.nd
     return ids, where
 
 
+def _spelling(code: int) -> bytes:
+    """The bytes of a character without a piece; a byte that is no UTF-8 stands as a lone surrogate for itself."""
+    return chr(SPACE if code == LITERAL else code).encode("utf-8", "surrogateescape" if 0xDC80 <= code <= 0xDCFF else "surrogatepass")
+
+
 def _position_keys(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """An odd multiplier for each character's offset in its unit, so that a unit's print depends on order."""
     offset = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     return _mix((offset.astype(_U) + _U(1)) * _U(0xD1342543DE82EF95)) | _U(1)
 
 
-def decode(ids: np.ndarray | list[int] | None, path: str = MODEL) -> str | None:
-    """The text of piece ids: pieces and bytes joined, space marks as spaces, the added leading space taken off."""
+def decode_bytes(ids: np.ndarray | list[int] | None, path: str = MODEL) -> bytes | None:
+    """The bytes of piece ids: pieces and bytes joined, space marks as spaces, the added leading space taken off."""
     if ids is None:
         return None
     spelled, _ = _spellings(path)
-    return b"".join(map(spelled.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8")[1:]
+    return b"".join(map(spelled.__getitem__, np.asarray(ids, np.int64).tolist()))[1:]
+
+
+def decode(ids: np.ndarray | list[int] | None, path: str = MODEL) -> str | None:
+    """The text of piece ids. Bytes that are no UTF-8 become lone surrogates, as in encode."""
+    found = decode_bytes(ids, path)
+    return None if found is None else found.decode("utf-8", "surrogateescape")
 
 
 @cache
@@ -330,29 +343,30 @@ def round_trip(text: Column, key: Column, path: str = MODEL, alpha: float = ALPH
         ids, same = [], []
         for at in range(0, len(texts), SLICE_ROWS):
             part = texts.slice(at, SLICE_ROWS).to_pylist()
-            found = encode(part, keys.slice(at, SLICE_ROWS).to_pylist(), path, alpha)
+            found = encode([None if b is None else b.decode("utf-8", "surrogateescape") for b in part], keys.slice(at, SLICE_ROWS).to_pylist(), path, alpha)
             ids.append(pa.array(found, kind))
-            same += [decode(f, path) == t for f, t in zip(found, part, strict=True)]
+            same += [decode_bytes(f, path) == t for f, t in zip(found, part, strict=True)]
         return pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], kind), *ids]), pa.array(same, pa.bool_())], ["ids", "lossless"])
 
-    return compute(text, row_key(key, seed))
+    return compute(text.cast("binary"), row_key(key, seed))
 
 
 def decoded(ids: Column, path: str = MODEL) -> Column:
     """The text of an array of piece ids."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("binary")
     def compute(rows: pa.Array) -> pa.Array:
-        return pa.array([decode(r.values.to_numpy() if r.is_valid else None, path) for r in rows], pa.string())
+        return pa.array([decode_bytes(r.values.to_numpy() if r.is_valid else None, path) for r in rows], pa.binary())
 
-    return compute(ids)
+    return compute(ids).cast("string")
 
 
 def tokenize(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, ids, n_tokens, lossless (decoding the ids gives the text back).
 
-    The text may hold anything; a space mark U+2581 of its own is spelled by its bytes. Null texts have null ids; empty texts none. Rows that repeat an id and a text
-    get the same pieces. An empty table gives an empty result.
+    The text may hold anything: a space mark U+2581 of its own and bytes that are no UTF-8 are spelled by their bytes. Null texts have null ids; empty texts none. Rows
+    that repeat an id and a text get the same pieces, with a null id too. Very long texts are worked on in blocks, whole. Other columns are not looked at, whatever
+    their names. An empty table gives an empty result.
     """
     rows = docs.select(F.col(key).alias("doc_id"), round_trip(F.col(text), F.col(key), path, alpha, seed).alias("told"))
     return rows.select("doc_id", "told.ids", F.coalesce(F.size("told.ids"), F.lit(0)).alias("n_tokens"), "told.lossless")

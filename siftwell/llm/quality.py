@@ -175,11 +175,12 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ensemble:
-    """Fits an ensemble to at most sample_rows labelled rows (chosen by the hash of the id), whose ids are the only thing broadcast."""
+    """Fits an ensemble to at most sample_rows labelled rows (chosen by the hash of the id). Only their ids are broadcast, and at most sample_rows rows of statistics reach the driver."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).alias("known"), F.col(label).cast("double").alias("label"), F.xxhash64(F.col(key).cast("string"), F.lit("quality")).alias("h"))
     chosen = known.orderBy("h").limit(sample_rows)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), F.col("id") == F.col("known")).select("label", statistics_column(F.col("body")).alias("s"))
-    told = rows.select("label", "s.*").collect()
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), F.col("id") == F.col("known")).select("h", "label", statistics_column(F.col("body")).alias("s"))
+    # An id may stand at many rows: the bound holds for the rows that reach the driver, not for the ids alone.
+    told = rows.orderBy("h", "s", "label").limit(sample_rows).select("label", "s.*").collect()
     data = np.array([list(r) for r in told], np.float64).reshape(len(told), len(STATISTICS) + 1)
     data = data[np.lexsort(data.T)]
     return fit(data[:, 1:], data[:, 0])
@@ -188,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def assess(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted (1 if score >= threshold).
 
-    Null and empty texts have statistics of zero and are scored like any other. Repeated rows are returned each; an empty table gives an empty result.
+    Null and empty texts have statistics of zero and are scored like any other; rows with a null id are scored and held out. Repeated rows are returned each, and very long
+    texts are read whole, a piece at a time. Without labels every score is the same. Other columns are not looked at, whatever their names; an empty table gives an empty result.
     """
     ensemble = train(docs, labels, text, key, label)
     scored = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), statistics_column(F.col(text)).alias("s")).withColumn("score", ensemble.score("s"))

@@ -67,7 +67,7 @@ def run_rows(text: bytes | None, run_words: int) -> Iterator[tuple[int, int, int
     """(first word, words, upper and lower half of the digest) of the run that begins at each chunk of the lower-cased (A-Z) words of a text."""
     data = b" ".join(text.lower().split()) if text else b""
     ends = cuts(data).tolist()
-    begins = [0, *ends[:-1]]
+    begins = [0, *ends][: len(ends)]
     counts = [data.count(b" ", a, e) + (e == len(data)) for a, e in zip(begins, ends, strict=True)]
     word = last = held = 0
     for first, begin in enumerate(begins):

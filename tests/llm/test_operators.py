@@ -15,9 +15,16 @@ from ..oracle import connect, rows_of_spark, rows_of_sql
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+# Names that the operators use inside, and some in another case.
+CLASHES = (
+    "Digest gone told found row body ws w h low at base blocks u_host q_host q_path u_path best rank short doc spans Spans __doc __spans __row __text __base rep key fp "
+    "c n a b bag cells leak item_id start starts words shingles crowd s class asks hub label share first last section keep_id points group_size known id doc_id_ path_"
+).split()
+
+
 def docs(spark, rows, extra=False):
     df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], DOCS)
-    return df.withColumn("Digest", F.lit("clash")).withColumn("gone", F.lit(1)).withColumn("told", F.lit(2)).withColumn("found", F.lit(3)) if extra else df
+    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(dict.fromkeys(c.lower() for c in CLASHES))]) if extra else df
 
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one"), (None, "one two three"), (6, "x " * 30_000), (7, "ünï çødé 漢字 ▁ \U0001f600"), (4, "one")]
@@ -40,6 +47,7 @@ OPERATORS = {
     "passages": substring_dedup.passages,
     "without_repeats": substring_dedup.without_repeats,
     "components": simhash.near_components,
+    "license_blocks": license_scan.blocks,
     "near_keep": near_dedup.keep_one,
     "identify": langid.identify,
     "keep_identified": langid.keep_identified,
@@ -156,18 +164,70 @@ def kept_by_brute_force(rows):
     return {k for k in ids if find(k) == k}
 
 
-def test_near_copies_of_an_original_in_mid_order_are_all_found(spark):
-    rng = random.Random(8)
+def kept_by_cosine(rows):
+    """Ids that stay if all pairs of texts are compared, by shingles that few others hold (the prefix that a cosine of 0.8 can't do without)."""
+    bags = {k: near_dedup.shingle_set(t.encode().lower().split(), 5) for k, t in rows}
+    df, root, held = Counter(), {k: k for k in bags}, defaultdict(list)
+    for b in bags.values():
+        df.update(b.tolist())
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in sorted(bags, key=lambda k: len(bags[k])):
+        n = len(bags[k])
+        rare = sorted(bags[k].tolist(), key=lambda s: (df[s], s))[: n - int(np.ceil(0.64 * n - 1e-9)) + 1]
+        for other in {o for s in rare for o in held[s]}:
+            if find(other) != find(k) and near_dedup.cosine(bags[k], bags[other]) >= 0.8:
+                x, y = sorted((find(k), find(other)))
+                root[y] = x
+        for s in rare:
+            held[s].append(k)
+    return {k for k in bags if find(k) == k or not len(bags[k])}
+
+
+def edited(rng, n, least, most):
+    """An original of 300 words in mid-order and n copies with up to `most` edited words each."""
     base = prose(rng, 300).split()
-    rows = [(150, " ".join(base))]
-    for k in range(300):
+    rows = [(n // 2, " ".join(base))]
+    for k in range(n):
         copy = list(base)
-        for i in rng.sample(range(300), 9):
+        for i in rng.sample(range(300), rng.randint(least, most)):
             copy[i] = f"edit{rng.randrange(10**6)}"
-        rows.append((k if k < 150 else k + 1, " ".join(copy)))
-    rows = list({simhash.fingerprint(t.encode().split(), 1, True): (k, t) for k, t in reversed(rows)}.values())
-    want = kept_by_brute_force(rows)
-    assert {r.doc_id for r in near_dedup.keep_one(docs(spark, rows)).collect()} == want and len(want) < len(rows) / 4
+        rows.append((k if k < n // 2 else k + 1, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "least", "most", "crowd", "listed"), [(300, 9, 9, 64, 512), (500, 3, 24, 64, 512), (500, 3, 24, 8, 20), (250, 18, 18, 8, 20)])
+def test_near_copies_under_crowded_keys(spark, monkeypatch, n, least, most, crowd, listed):
+    """No link that the keys propose is lost, none is made up, and nearly all that is alike is found, whichever way a crowd goes."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    rows = edited(random.Random(8), n, least, most)
+    got, truth = {r.doc_id for r in near_dedup.keep_one(docs(spark, rows)).collect()}, kept_by_cosine(rows)
+    assert truth <= got <= kept_by_brute_force(rows) and len(rows) - len(got) >= 0.9 * (len(rows) - len(truth))
+
+
+def test_near_duplicates_of_the_test_table(spark):
+    rows = [(r.doc_id, " ".join(r.text.split())) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").collect()]
+    first = {}
+    for k, t in sorted(rows):
+        first.setdefault(t, k)
+    rows = [(k, t) for t, k in first.items() if t]
+    truth = kept_by_cosine(rows)
+    got = {r.doc_id for r in near_dedup.keep_one(docs(spark, rows)).collect()}
+    assert truth <= got and len(rows) - len(got) >= 0.9 * (len(rows) - len(truth))
+
+
+def test_ids_of_several_texts_are_left_alone(spark):
+    rng = random.Random(13)
+    a, b = prose(rng, 200), prose(rng, 200)
+    near = a.replace(a.split()[100], "edited")
+    rows = [(1, a), (2, near), (2, b), (3, a + " more"), (3, a + " more"), (None, a)]
+    assert sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_one(docs(spark, rows)).collect()) == sorted([(1, a), (2, near), (2, b), (0, a)])
 
 
 def test_texts_of_one_fingerprint_are_not_taken_for_one_text(spark):
@@ -232,15 +292,76 @@ def test_decontamination_against_all_windows(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(docs(spark, rows), df).collect()} == {k for k, _ in rows} - {k for k, _ in want}
 
 
+def weighted(a, b):
+    shared = sum((a & b).values())
+    return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+
+def test_a_full_leak_with_repeated_shingles_is_found(spark):
+    item, text = "a a b a a b a b a a", "b a b a a z a b a a b a b a a b a a b b a a a b b"
+    items = spark.createDataFrame([(1, item), (2, "x " * 3_000)], "item_id long, text string")
+    rows = docs(spark, [(1, text), (None, item), (2, "x " * 20_000), (3, "y " * 20_000)])
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(rows, items).collect()}
+    assert got == {(1, 1): 1.0, (None, 1): 1.0, (2, 2): 1.0}
+    assert [r.doc_id for r in decontaminate.keep_clean(rows, items).collect()] == [3]
+
+
+def test_windows_over_a_small_alphabet_lose_nothing(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(rng.choice("ab") for _ in range(rng.choice((3, 8, 10, 12))))) for k in range(12)]
+    rows = [(k, " ".join(rng.choice("aab" if k % 2 else "abc") for _ in range(rng.randrange(1, 40)))) for k in range(400)]
+    want = {}
+    for i, item in items:
+        n, k = len(item.split()), min(5, len(item.split()))
+        count = lambda w: Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))  # noqa: B023, E731
+        for d, text in rows:
+            w = text.split()
+            best = max(weighted(count(item.split()), b) if (b := count(w[j : j + n])) else 0 for j in range(max(1, len(w) - n + 1)))
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    found = decontaminate.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found.collect()} == want and len(want) > 20
+
+
+def brute_passages(rows, run_words):
+    """By each run of chunks: where it stands, and which words later occurrences alone cover."""
+    at = defaultdict(list)
+    for k, t in rows:
+        for word, words, high, low in substring_dedup.run_rows(t.encode(), run_words):
+            at[high, low].append((k, word, words))
+    stays, goes = set(), set()
+    for places in at.values():
+        if len(places) > 1:
+            for place in places:
+                (stays if place[:2] == min(p[:2] for p in places) else goes).update((place[0], place[1] + j) for j in range(place[2]))
+    return stays, goes - stays
+
+
 def test_repeated_passages(spark):
     rng = random.Random(2)
-    passage = prose(rng, 70)
+    passage, other = prose(rng, 70), prose(rng, 60)
     rows = [(k, f"{prose(rng, 50 + k)} {passage} {prose(rng, 40)}") for k in range(4)] + [(10 + k, prose(rng, 150)) for k in range(6)]
+    rows += [(20 + k, f"{prose(rng, 9 + k)} {other} {prose(rng, 5)} {passage if k else ''} {other if k == 2 else ''}") for k in range(3)]
     df = docs(spark, rows)
-    found = {r.doc_id: r.longest_run for r in substring_dedup.repeated(df).collect()}
-    assert set(found) == {0, 1, 2, 3} and min(found.values()) >= 40
+    stays, goes = brute_passages(rows, substring_dedup.RUN_WORDS)
+    got_stays, got_goes = set(), set()
+    for r in substring_dedup.passages(df).collect():
+        (got_stays if r.first else got_goes).update((r.doc_id, r.start + j) for j in range(r.words))
+    assert got_stays == stays and got_goes == goes
+    assert {k for k, _ in stays | goes} == {0, 1, 2, 3, 20, 21, 22}
     left = {r.doc_id: r.text for r in substring_dedup.without_repeats(df).collect()}
-    assert left[0] == rows[0][1] and all(len(left[k].split()) <= len(rows[k][1].split()) - 40 for k in (1, 2, 3)) and left[12] == rows[6][1]
+    for k, t in rows:
+        kept = [w for j, w in enumerate(t.split()) if (k, j) not in goes]
+        assert left[k].split() == kept and (left[k] == t or any(d == k for d, _ in goes))
+    assert left[0] == rows[0][1] and all(len(left[k].split()) <= len(dict(rows)[k].split()) - 40 for k in (1, 2, 3))
+
+
+def test_chunks_that_recur_one_by_one_are_no_passage(spark):
+    rng = random.Random(6)
+    lines = [prose(rng, 12) for _ in range(30)]
+    rows = [(k, " ".join(rng.sample(lines, 12))) for k in range(8)]
+    rows = [(k, t) for k, t in rows if not any(f"{a} {b}" in t and f"{a} {b}" in u for j, u in rows if j != k for a in lines for b in lines)]
+    assert len(rows) > 1 and not substring_dedup.repeated(docs(spark, rows)).collect()
 
 
 def test_language_and_quality_on_held_out_rows(spark):
@@ -253,6 +374,22 @@ def test_language_and_quality_on_held_out_rows(spark):
     assert np.mean([a == b for a, b in scored]) > 0.9
 
 
+def test_labels_of_an_id_with_many_rows_stay_within_the_bound(spark, monkeypatch):
+    rows = docs(spark, [(1, f"word {k}") for k in range(300)] + [(2, "a b")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, fit=quality.fit: (seen.append(len(y)), fit(x, y))[1])
+    quality.train(rows, labels, sample_rows=10)
+    assert seen == [10]
+
+
+def test_every_language_is_learned(spark):
+    codes = [f"q{a}{b}" for a in "abcdefghij" for b in "abcdef"]
+    rows = docs(spark, [(n, f"{code} {code}x{k} " * 6) for n, (code, k) in enumerate((c, k) for c in codes for k in range(3))]).withColumn("lang", F.substring("text", 1, 3))
+    model = langid.train(rows, sample_rows=100)
+    assert sorted(model.families) == sorted(codes)
+
+
 def test_texts_unlike_every_learned_language_go(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     junk = ["qzxv kjwq zzxq vvkq " * 20, "x9 1 2 3 $$$ 00 " * 10, "привет как дела сегодня хорошая погода " * 5, "漢字仮名交じり文を書く" * 10]
@@ -268,6 +405,16 @@ def test_space_marks_of_the_text_are_lossless(spark, body):
     assert row.lossless and piece_sampling.decode(row.ids) == body
 
 
+def test_bytes_that_are_no_utf8(spark):
+    bad = spark.createDataFrame([(1, bytearray(b"ok \xff\xfe caf\xc3 \xe2\x96\x81 end\nline \xf0\x9f")), (2, bytearray(b"fine"))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text", "'en' as lang")
+    got = {r.doc_id: r for r in piece_sampling.tokenize(bad).collect()}
+    assert got[1].lossless and got[2].lossless and piece_sampling.decode_bytes(got[1].ids) == b"ok \xff\xfe caf\xc3 \xe2\x96\x81 end\nline \xf0\x9f"
+    counted = [r for r in token_counts.count(bad).collect() if r.doc_id == 1]
+    assert [(r.first, r.last) for r in counted] == [(0, 19), (19, 26)] and sum(r.n_tokens for r in counted) == counted[0].of_document > 0
+    for one in (langid.identify(bad), exact_dedup.assign(bad), near_dedup.keep_one(bad), license_scan.scan(bad), simhash.near_components(bad)):
+        assert one.count() == 2
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"], exclude_characters="▁"), max_size=80), st.integers(-(2**62), 2**62))
 def test_pieces_are_lossless_and_reproducible(body, key):
@@ -297,19 +444,43 @@ def test_pieces_follow_the_weights():
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
-def test_token_counts_sum_up(spark, rule):
-    rows = [(1, "first line\n\nsecond  line, longer\n"), (2, "\n\nx"), (3, "no end 漢字")]
+def test_token_counts_against_brute_force(spark, rule):
+    rng = random.Random(1)
+    rows = [(1, "first line\n\nsecond  line, longer\n"), (2, "\n\nx"), (3, "no end 漢字"), (4, "a \n \n\t b\n\n\n\nc " * 20)] + [(5 + k, "".join(rng.choice(["word ", "\n", "\n\n", " ", "漢", "é\n", "...", "  x"]) for _ in range(80))) for k in range(20)]
     encoder, _ = token_counts._encoder(token_counts.RANKS)
-    found = token_counts.count(docs(spark, rows), rule=rule).collect()
+    found = defaultdict(list)
+    for r in token_counts.count(docs(spark, rows), rule=rule).collect():
+        found[r.doc_id].append(r)
     for k, t in rows:
-        mine = [r for r in found if r.doc_id == k]
-        assert sum(r.n_tokens for r in mine) == len(encoder.encode_ordinary(t)) == mine[0].of_document
-        assert sorted(mine, key=lambda r: r.first)[-1].last == len(t.encode())
+        data, mine = t.encode(), sorted(found[k], key=lambda r: r.section)
+        owner = [next(r.section for r in mine if r.first <= at < r.last) for at in range(len(data))]
+        counts, at = Counter(), 0
+        for token in encoder.encode_ordinary(t):
+            spans = owner[at : at + len(encoder.decode_single_token_bytes(token))]
+            at += len(spans)
+            counts[{"start": spans[0], "end": spans[-1], "majority": min(spans, key=lambda s: (-spans.count(s), s))}[rule]] += 1
+        assert [r.n_tokens for r in mine] == [counts[r.section] for r in mine] and {r.of_document for r in mine} == {sum(counts.values())}
+        assert [t[r.first_char : r.last_char] for r in mine] == [data[r.first : r.last].decode() for r in mine] and mine[-1].last == len(data)
 
 
 def test_token_rules_on_a_crossing_token():
     ends, starts = np.array([3, 8, 10]), np.array([0, 4])
     assert [token_counts.attribute(ends, starts, r)[0].tolist() for r in token_counts.RULES] == [[2, 1], [1, 2], [1, 2]]
+    assert token_counts.attribute(np.array([2, 6]), np.array([0, 4]), "majority")[0].tolist() == [2, 0]  # two bytes each: the earlier
+
+
+def test_license_blocks_cross_lines_and_have_the_length_of_their_template(spark):
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the Software)"
+    ordinary = "please read this text you and may not use this with any file of the other kind except where in doubt the compliance of it with all is a license or may obtain to copy at"
+    found = {r.doc_id: r for r in license_scan.scan(docs(spark, [(1, wrapped), (2, ordinary), (3, "ÄMIT under the mit license"), (4, None)])).collect()}
+    assert (found[1].labels, found[1].score, found[1].blocks[0].start) == ("mit", 1.0, 0)
+    assert (found[2].labels, found[2].score) == ("", 0.0) and (found[3].n_base, found[3].first_word, found[4].n_words) == (1, 1, 0)
+
+
+def test_equal_url_rules_of_both_kinds_block(spark):
+    rules = url_filter.rule_table(spark, [("allow", "a.org", "/x"), ("block", "a.org", "/x")])
+    (row,) = url_filter.judge(spark.createDataFrame([(1, "http://a.org/xy")], "page_id long, url string"), rules).collect()
+    assert (row.rule, row.verdict) == ("a.org/x", "block")
 
 
 def test_url_precedence(spark):
