@@ -3,7 +3,7 @@
 A link is a pair of texts whose fingerprints over the distinct words meet under a Golay key and differ in at most max_bits, and whose sets of
 five-word shingles have a cosine of at least the similarity. No such link is lost to the size of a group:
 
-* Under a key with up to CROWD texts all pairs within max_bits are listed. They are verified a few a text at a time; pairs inside a component that is known by then need not be.
+* Under a key with up to CROWD texts all pairs within max_bits are listed whose second fingerprints, by other hashes, are within MORE_BITS too. They are verified a few a text at a time; pairs inside a component that is known by then need not be.
 * Under a crowded key each text is first compared with the key's hub, the text that shares the most keys with others (the original, if the crowd
   is one text with its edited copies). Of what the hubs leave apart, all pairs within max_bits are listed under keys with up to LISTED texts.
 * Beyond that an exact set-similarity join lists them: shingles are ordered from rare to common in the crowd, and two sets can only reach the
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, sized_broadcast, utf8, words_of
 from .components import connected_components
-from .simhash import SEED, fingerprint, keyed
+from .simhash import SEED, keyed, majority
 
 CROWD = 64  # texts under one key up to which all pairs are listed at once
 LISTED = 512  # texts under one key up to which all pairs are listed that the hubs leave apart
-ROUNDS = 3  # of hubs under crowded keys
-STEPS = 3  # of verification, each of one pair a text but the last
+ROUNDS = 2  # of hubs under crowded keys
+STEPS = 2  # of verification, each of one pair a text but the last
+MORE_BITS = 16  # that the second fingerprints of a listed pair may differ in: a text with 5 bits to its copy has as many again but for chance, unrelated texts have far more
 HUB_BITS = 16  # a hub may be so far: a text like it joins it whether or not the bits say so
 FEW_LINKS = 0.05  # share of links among a round's pairs from which another round is worth its cost
 SAMPLE = 128  # texts of a crowd, about, that tell which shingles are common in it
@@ -42,16 +43,17 @@ HOT_KEYS = 500_000  # crowded keys that are broadcast
 
 
 def print_and_digest(text: str | Column) -> Column:
-    """struct<fp long, digest binary>: the fingerprint over the distinct words and a 128-bit digest of all words in order."""
+    """struct<fp long, more long, digest binary>: the fingerprint over the distinct words, a second one by other hashes, and a 128-bit digest of all words in order."""
 
-    @F.arrow_udf("struct<fp: long, digest: binary>")
+    @F.arrow_udf("struct<fp: long, more: long, digest: binary>")
     def compute(texts: pa.Array) -> pa.Array:
-        values, digests = np.zeros(len(texts), np.uint64), []
+        values, more, digests = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), []
         for k, t in enumerate(texts):  # one text's words at a time
             words = words_of(t.as_py())
-            values[k] = fingerprint(words, 1, True)
+            distinct = set(words)
+            values[k], more[k] = (majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))) for seed in (SEED, SEED + 1))
             digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-        return pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(digests, pa.binary())], ["fp", "digest"])
+        return pa.StructArray.from_arrays([pa.array(values.view(np.int64)), pa.array(more.view(np.int64)), pa.array(digests, pa.binary())], ["fp", "more", "digest"])
 
     return compute(utf8(text))
 
@@ -123,7 +125,7 @@ def _bits(x: str, y: str) -> Column:
 
 
 def listed_pairs(members: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): all pairs of different components within max_bits that meet under a key. members: (key, rep, fp, c), not more than LISTED for a key."""
+    """(a, b): all pairs of different components within max_bits that meet under a key. members: (key, rep, fp, more, c), not more than LISTED for a key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,19 +136,20 @@ def listed_pairs(members: DataFrame, max_bits: int) -> DataFrame:
                 i, j = np.triu_indices(n, 1)
                 for at in range(0, len(same), step):
                     part = batch.take(pa.array(same[at : at + step]))
-                    rep, fp, c = (part.column(k).flatten().to_numpy().reshape(-1, n) for k in (1, 2, 3))
+                    rep, fp, more, c = (part.column(k).flatten().to_numpy().reshape(-1, n) for k in (1, 2, 3, 4))
                     near = (np.bitwise_count((fp[:, i] ^ fp[:, j]).view(np.uint64)) <= max_bits) & (c[:, i] != c[:, j])
+                    near &= np.bitwise_count((more[:, i] ^ more[:, j]).view(np.uint64)) <= MORE_BITS
                     a, b = rep[:, i][near], rep[:, j][near]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
-    lists = members.groupBy("key").agg(F.collect_list(F.struct("rep", "fp", "c")).alias("m"))
-    return lists.select(F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp"), F.col("m.c").alias("c")).mapInArrow(expand, "a long, b long").distinct()
+    lists = members.groupBy("key").agg(F.collect_list(F.struct("rep", "fp", "more", "c")).alias("m"))
+    return lists.select(F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp"), F.col("m.more").alias("more"), F.col("m.c").alias("c")).mapInArrow(expand, "a long, b long").distinct()
 
 
-def linked(near: DataFrame, held: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
-    """(a, b): links that, with those known, join the same components as all verified pairs of near. In each step a text has one of its open pairs verified; a last step verifies all
+def linked(near: DataFrame, held: DataFrame, similarity: float, known: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that, with those known (whose components are parts), join the same components as all verified pairs of near. In each step a text has one of its open pairs verified; a last step verifies all
     that are still open. Pairs inside a component can't change it and are left out."""
-    found, parts = known, None if known is None else cut(connected_components(known))
+    found = known
     for k in range(STEPS):
         if parts is not None:
             near = _with_components(_with_components(near, parts, "c_a", "a"), parts, "c_b", "b").where("c_a != c_b").select("a", "b")
@@ -167,10 +170,10 @@ def _with_components(rows: DataFrame, parts: DataFrame | None, name: str = "c",
     return rows.join(told, F.col(rep) == F.col("_node"), "left").withColumn(name, F.coalesce("_part", rep)).drop("_node", "_part")
 
 
-def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> tuple[DataFrame | None, DataFrame]:
-    """Links (a, b) that were found with the hubs of crowded keys, and the pairs under these keys that are left to verify. crowd: (key, rep, fp, n)."""
+def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Links (a, b) that were found with the hubs of crowded keys, their components, and the pairs under these keys that are left to verify. crowd: (key, rep, fp, more, n)."""
     degree = crowd.groupBy("rep").agg(F.sum("n").alias("degree"))
-    rows = cut(crowd.select("key", "rep", "fp").join(degree, "rep"))
+    rows = cut(crowd.select("key", "rep", "fp", "more").join(degree, "rep"))
     found = parts = hubs = tried = None
     open_rows = rows
     for _ in range(ROUNDS):
@@ -198,7 +201,7 @@ def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity:
     large = left.where(F.col("n") > LISTED).select("key")
     if large.count():
         rest = rest.unionByName(_prefix_pairs(rows.join(large, "key"), hubs, parts, held, max_bits, similarity)).distinct()
-    return found, cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    return found, parts, cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
 
 
 def _prefix_pairs(rows: DataFrame, hubs: DataFrame, parts: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> DataFrame:
@@ -284,14 +287,14 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     null id and rows whose id stands at several different texts, as such an id names no single document. Repeated rows of a document stay or go together. Very long texts are
     worked on one at a time, whole. An empty table gives an empty result.
     """
-    told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), print_and_digest(text).alias("told")).select("doc_id", "told.fp", "told.digest")
-    one_text = told.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other and fp != 0")
-    prints = cut(one_text.select("doc_id", "fp", "digest"))
-    points = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    copied = points.where("copies > 1")
+    told = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), print_and_digest(text).alias("told")).select("doc_id", "told.fp", "told.more", "told.digest")
+    one_text = told.groupBy("doc_id").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other and fp != 0")
+    prints = cut(one_text.select("doc_id", "fp", "more", "digest"))
+    points = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("rep"), F.min("more").alias("more"), F.count(F.lit(1)).alias("copies")))
+    copied = points.where("copies > 1").select("fp", "digest", "rep")
     twins = prints.join(copied, ["fp", "digest"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    keys = keyed(points, max_bits)
+    keys = keyed(points, max_bits, "more")
     # A key's number of texts is combined before the shuffle, so a key with a third of all texts costs no more than others.
     sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     few = keys.join(sizes.where(F.col("n") <= CROWD).select("key"), "key").withColumn("c", F.col("rep"))
@@ -300,11 +303,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     crowd = cut(keys.join(sized_broadcast(hot, hot.count(), HOT_KEYS), "key"))
     ends = cut(near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct())
     held = cut(bags(docs, ends, text, key, shingle))
-    known = None
+    known = grown = None
     if crowd.count():
-        known, rest = crowded_links(crowd, held, max_bits, similarity)
+        known, grown, rest = crowded_links(crowd, held, max_bits, similarity)
         near = near.unionByName(rest).distinct()
-    links = linked(near, held, similarity, known)
+    links = linked(near, held, similarity, known, grown)
     parts = connected_components(links.unionByName(twins))
     gone = free_name(docs, "gone")
     losers = parts.where("node != component").select(F.col("node").alias(gone)).distinct()

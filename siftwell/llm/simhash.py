@@ -40,7 +40,11 @@ def fingerprint(words: list[bytes], shingle: int, distinct: bool = False) -> int
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
     if distinct:
         shingles = set(shingles)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = hashes[at : at + BLOCK]
@@ -82,19 +86,19 @@ def key_rows(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keyed(points: DataFrame, max_bits: int) -> DataFrame:
-    """(key, rep, fp): each distinct fingerprint under its keys."""
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("fp", pa.int64())])
+def keyed(points: DataFrame, max_bits: int, *more: str) -> DataFrame:
+    """(key, rep, fp, and more integer columns): each distinct fingerprint under its keys."""
+    names = ("rep", "fp", *more)
+    schema = pa.schema([(n, pa.int64()) for n in ("key", *names)])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                rep, fp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                row, key = key_rows(fp.view(np.uint64), max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep[row]), pa.array(fp[row])], schema=schema)
+                columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in whole.slice(at, 2048).columns]
+                row, key = key_rows(columns[1].view(np.uint64), max_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(c[row]) for c in columns]], schema=schema)
 
-    return points.select("rep", "fp").mapInArrow(expand, "key long, rep long, fp long")
+    return points.select(*names).mapInArrow(expand, ", ".join(f"{n} long" for n in ("key", *names)))
 
 
 def flip_rows(fp: np.ndarray) -> np.ndarray:
