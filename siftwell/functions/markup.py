@@ -29,6 +29,7 @@ def strip_html(html: Column) -> Column:
 
 def csv_text(text: str) -> str:
     """Cells joined by single spaces, rows by line ends."""
+    csv.field_size_limit(max(len(text), 1) + 1)  # a cell may be as long as the text
     rows = csv.reader(io.StringIO(text.replace("\r\n", "\n").replace("\r", "\n"), newline="\n"))
     return "\n".join(" ".join(row) for row in rows)
 

@@ -68,11 +68,10 @@ def response_issues(prompt: Column, response: Column, least_tokens: int, markers
     return F.filter(F.array(F.when(empty, "empty"), F.when(short, "short"), F.when(lost, "memory")), lambda x: x.isNotNull())
 
 
-def path_class(path: Column, sensitive: Sequence[str], public: Sequence[str] = ("public",)) -> Column:
-    """confidential if any path component is a sensitive department, public if any is public, else internal."""
-    parts = F.split(path, "/")
-    hit = lambda names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
-    return F.when(hit(sensitive), "confidential").when(hit(public), "public").otherwise("internal")
+def path_class(path: Column, sensitive: Sequence[str]) -> Column:
+    """confidential if any path component is a sensitive department, else internal for a file without a folder and public for all others."""
+    parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
+    return F.when(F.arrays_overlap(parts, F.array(*map(F.lit, sensitive))), "confidential").when(F.size(parts) == 1, "internal").when(path.isNotNull(), "public")
 
 
 def glob_regex(pattern: str) -> str:

@@ -96,9 +96,15 @@ def exact_file_sets(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def shred(relations: dict[str, DataFrame], tenant: int) -> dict[str, DataFrame]:
-    """All relations without a tenant's rows; those without tenant_id go by the documents that go."""
+    """All relations without a tenant's rows; those without tenant_id go by the documents that go, and those without either stay. Rows of no tenant stay."""
     lost = relations["documents"].where(F.col("tenant_id") == tenant).select("document_id")
-    return {name: df.where(F.col("tenant_id") != tenant) if "tenant_id" in df.columns else df.join(lost, "document_id", "left_anti") for name, df in relations.items()}
+
+    def without(df: DataFrame) -> DataFrame:
+        if "tenant_id" in df.columns:
+            return df.where(~F.col("tenant_id").eqNullSafe(tenant))
+        return df.join(lost, "document_id", "left_anti") if "document_id" in df.columns else df
+
+    return {name: without(df) for name, df in relations.items()}
 
 
 def tombstone(tenants: DataFrame, tenant: int, as_of: str) -> DataFrame:

@@ -39,7 +39,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the documents. The first five of a document have the ids of its vectors, so that both arms can find the same chunk."""
     docs = documents(spark, d)
     split = chunking.chunk(docs.select("document_id", "file_id", "page_no", "text"))
-    chunk_id = F.when(F.col("idx") < 5, F.col("document_id") * 5 + F.col("idx")).otherwise(F.lit(1_000_000_000).cast("long") + F.col("document_id") * 1000 + F.col("idx"))
+    chunk_id = F.when(F.col("idx") < 5, F.col("document_id") * 5 + F.col("idx")).otherwise(F.lit(1_000_000_000_000).cast("long") + F.col("document_id") * 1_000_000 + F.col("idx"))
     return split.withColumn("chunk_id", chunk_id)
 
 
@@ -65,7 +65,7 @@ CHUNKS = f"""{DOCUMENTS}, spelled AS (
 ), chunks AS (
     SELECT document_id, document_id AS file_id, 1 AS page_no, idx, start,
            decode(unhex(substr(hx, CAST(2 * start + 1 AS INTEGER), CAST(2 * ({_back("least(start + 2048, n)")} - start) AS INTEGER)))) AS content,
-           CASE WHEN idx < 5 THEN document_id * 5 + idx ELSE 1000000000 + document_id * 1000 + idx END AS chunk_id
+           CASE WHEN idx < 5 THEN document_id * 5 + idx ELSE 1000000000000 + document_id * 1000000 + idx END AS chunk_id
     FROM walked
 )"""
 

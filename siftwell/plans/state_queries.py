@@ -299,3 +299,10 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return limits.circuit_breaker(_calls(spark, d), 2, 600)
+
+
+@query(_sql("SELECT document_id, nullif(tenant_id, 2) AS tenant_id FROM docs WHERE nullif(tenant_id, 2) IS DISTINCT FROM 1", fx.DOCUMENTS))
+def tenant_shred(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay when tenant 1 goes; those of no tenant (2 stands for none here) are not its own."""
+    rows = fx.documents(spark, d).select("document_id", F.nullif("tenant_id", F.lit(2)).alias("tenant_id"))
+    return lifecycle.shred({"documents": rows}, 1)["documents"]

@@ -207,3 +207,14 @@ def action_items(spark: SparkSession, d: str) -> DataFrame:
 def response_checks(spark: SparkSession, d: str) -> DataFrame:
     issues = notes.response_issues(F.lit("Remember what was said about this"), F.col("text"), 30, ("remember",))
     return fx.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(issues, ",").alias("issues"))
+
+
+@query("""
+    SELECT doc_id, path, CASE WHEN list_has_any(string_split(path, '/'), ['de', 'src3']) THEN 'confidential' WHEN contains(path, '/') THEN 'public' ELSE 'internal' END AS class
+    FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'note.md' WHEN 1 THEN coalesce(lang, 'xx') || '/note.md' ELSE coalesce(source, 'none') || '/team/note.md' END AS path FROM documents)
+""")
+def path_class(spark: SparkSession, d: str) -> DataFrame:
+    """How confidential the place of each document's file is."""
+    at = F.col("doc_id") % 3
+    path = F.when(at == 0, "note.md").when(at == 1, F.concat(F.coalesce("lang", F.lit("xx")), F.lit("/note.md"))).otherwise(F.concat(F.coalesce("source", F.lit("none")), F.lit("/team/note.md")))
+    return fx.read(spark, d, "documents").select("doc_id", path.alias("path")).select("doc_id", "path", notes.path_class(F.col("path"), ("de", "src3")).alias("class"))

@@ -126,6 +126,14 @@ def archive_text(entries: DataFrame) -> DataFrame:
     return lines.select("file_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"))
 
 
+def _body(part: email.message.EmailMessage) -> str:
+    """The text of a part; one in a character set that nobody knows is read as UTF-8 with replacements."""
+    try:
+        return part.get_content()
+    except LookupError:
+        return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+
+
 def parse_email(data: bytes) -> dict:
     """Headers of interest, plain and HTML bodies, attachment names of a message."""
     m = email.message_from_bytes(data, policy=email.policy.default)
@@ -136,7 +144,7 @@ def parse_email(data: bytes) -> dict:
         if part.get_filename():
             names.append(part.get_filename())
         elif part.get_content_type() in ("text/plain", "text/html"):
-            (plain if part.get_content_type() == "text/plain" else html).append(part.get_content())
+            (plain if part.get_content_type() == "text/plain" else html).append(_body(part))
     head = {f"email:{k}": str(m[k]) for k in ("from", "to", "cc", "subject", "date", "message-id") if m[k]}
     return {"meta": list(head.items()), "plain": "\n".join(plain), "html": "\n".join(html), "attachments": names}
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwell.functions import files, markup, notes, quota, schedule, tags, text, vectors
-from siftwell.operators import chunking, limits, search, tagging
+from siftwell.operators import chunking, lifecycle, limits, search, tagging
 from siftwell.sources import catalog, uploads
 from siftwell.streaming import job_stream, usage_stream
 
@@ -181,3 +181,27 @@ def test_empty_corpus(spark):
 @pytest.mark.parametrize("job, event, want", [(("queued", 0, 5.0), "claim", "queued"), (("running", 4, 0.0), "fail", "dead"), (("dead", 5, 0.0), "retry", "queued"), (("done", 0, 0.0), "fail", "done")])
 def test_job_transitions(job, event, want):
     assert job_stream.advance(*job, event, 1.0)[0] == want
+
+
+def test_vector_ids_are_whole_numbers(spark):
+    rows = spark.createDataFrame([(2**62 + 1, 9007199254740993, [1.0, 0.0])], "document_id long, chunk_id long, embedding array<double>")
+    (hit,) = search.vector_arm(rows, spark.createDataFrame([(1, [1.0, 0.5])], "query_id long, embedding array<double>"), 3).collect()
+    assert (hit.document_id, hit.chunk_id) == (2**62 + 1, 9007199254740993)
+
+
+def test_path_classes(spark):
+    paths = ["a.md", "docs/a.md", "x/hr/a.md", "hr", "docs/", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r.c for r in df.select(notes.path_class(F.col("path"), ("hr",)).alias("c")).collect()] == ["internal", "public", "confidential", "confidential", "internal", None]
+
+
+def test_shred_leaves_what_is_not_the_tenants(spark):
+    docs = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "document_id long, tenant_id long")
+    left = lifecycle.shred({"documents": docs, "pages": docs.select("document_id"), "plans": docs.select(F.col("document_id").alias("plan_id"))}, 1)
+    assert {n: df.count() for n, df in left.items()} == {"documents": 2, "pages": 2, "plans": 3}
+
+
+def test_long_csv_cells_and_unknown_charsets():
+    assert markup.csv_text('a,"' + "b" * 200_000 + '"') == "a " + "b" * 200_000
+    told = uploads.parse_email(b"Subject: x\nContent-Type: text/plain; charset=no-such-set\n\nbody caf\xc3\xa9\n")
+    assert told["plain"].strip() == "body café"
