@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import BLANKS, free_name, scratch, slices, utf8
 
-TABLE_BYTES = 64 << 20  # content that one task's table may hold before it flushes or spills
+TABLE_BYTES = 24 << 20  # content that one task's table may hold before it flushes or spills
 FAN_OUT = 16  # bucket files of one spill level
 
 

@@ -150,7 +150,7 @@ def has_letter(text: str | Column) -> Column:
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model to a sample of rows with a language and a letter, an even share for each language, chosen by the hash of the key. The sample has at most sample_rows rows, or
-    LEAST_SHARE for each language if that is more: no language goes unlearned. Texts are turned into vectors where they are; only vectors move."""
+    LEAST_SHARE for each language if that is more: no language goes unlearned. An id that stands at many rows is learned from once."""
     labelled = rows.where(F.col(lang).isNotNull() & has_letter(text)).select(F.col(lang).alias("lang"), F.col(text).alias("body"), F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("h"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -164,7 +164,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         return pa.array([features(t.as_py()).astype(np.float16).tobytes() for t in texts], pa.binary())
 
     chosen = labelled.join(sized_broadcast(limits, len(counts), LANGUAGES_BROADCAST), F.col("lang") == F.col("known")).where(unit < F.col("part"))
-    sample = chosen.select("h", "lang", vectors(F.col("body").cast("binary")).alias("v")).orderBy("h", "lang", "v").limit(max(sample_rows, share * len(counts))).select("lang", "v").collect()
+    # The smallest hashes are found by themselves; then only the chosen texts move, one for each id, and become vectors.
+    cutoff = chosen.select("h").distinct().orderBy("h").limit(max(sample_rows, share * len(counts))).agg(F.max("h")).first()[0]
+    sample = chosen.where(F.col("h") <= cutoff).dropDuplicates(["h"]).select("lang", vectors(F.col("body").cast("binary")).alias("v")).collect()
     x = np.empty((len(sample), DIMENSIONS), np.float32)
     for k, r in enumerate(sample):
         x[k] = np.frombuffer(r["v"], np.float16)
