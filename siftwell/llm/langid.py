@@ -167,6 +167,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     # The smallest hashes are found by themselves; then only the chosen texts move, one for each id, and become vectors.
     cutoff = chosen.select("h").distinct().orderBy("h").limit(max(sample_rows, share * len(counts))).agg(F.max("h")).first()[0]
     sample = chosen.where(F.col("h") <= cutoff).dropDuplicates(["h"]).select("lang", vectors(F.col("body").cast("binary")).alias("v")).collect()
+    sample.sort(key=lambda r: (r["lang"], r["v"]))  # rows arrive in any order; the fit is to be the same
     x = np.empty((len(sample), DIMENSIONS), np.float32)
     for k, r in enumerate(sample):
         x[k] = np.frombuffer(r["v"], np.float16)
