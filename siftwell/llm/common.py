@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: What the contracts call white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -80,6 +82,20 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows and bytes while the body runs its jobs. Batches of whole texts are held several times over, on both sides of a Python worker's pipe and outside the heap;
+    what crosses and what comes out is the same at any batch size."""
+    before = {name: spark.conf.get(name, None) for name in BATCHES}
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def scratch(prefix: str) -> tempfile.TemporaryDirectory:
     """Spill space of one task. No other task or process ever reads it and it goes with the task."""
     return tempfile.TemporaryDirectory(prefix=prefix, dir=os.environ.get("TMPDIR"))

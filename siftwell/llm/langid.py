@@ -7,6 +7,7 @@ trained on the driver from a bounded sample; the feature extraction for training
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from itertools import combinations
 from typing import NamedTuple
@@ -38,13 +39,14 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 # Bytes other than ASCII letters and multi-byte characters count as one separator.
 _FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_RUNS = re.compile(rb"  +")
 
 
 def grams(text: bytes | None) -> Iterable[np.ndarray]:
     """Feature numbers of a text's n-grams, piece by piece; runs of separators count once."""
     if not text:
         return
-    folded = b" " + b" ".join(text.decode("utf-8", "replace").lower().encode().translate(_FOLD).split()) + b" "
+    folded = _RUNS.sub(b" ", b" " + text.decode("utf-8", "replace").lower().encode().translate(_FOLD) + b" ")  # no list of words: a very long text would make it many times its size
     for at in range(0, len(folded), PIECE):
         b = np.frombuffer(folded[at : at + PIECE + 3], np.uint8).astype(np.uint32)
         code = np.zeros(len(b), np.uint32)
@@ -139,7 +141,7 @@ def _bound(weights: np.ndarray, x: np.ndarray, family: np.ndarray) -> float:
     """BOUND_SHARE of the BOUND_QUANTILE of the margins with which learned rows are rightly given to their family."""
     if len(weights) < 2:
         return 0.0
-    told = x @ weights[:, :-1].T + weights[:, -1]
+    told = np.concatenate([x[at : at + 256] @ weights[:, :-1].T + weights[:, -1] for at in range(0, len(x), 256)])  # a product widens its rows
     right = told.max(axis=1)[told.argmax(axis=1) == family]
     return BOUND_SHARE * max(0.0, float(np.quantile(right, BOUND_QUANTILE))) if len(right) else 0.0
 
@@ -171,7 +173,9 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     x = np.empty((len(sample), DIMENSIONS), np.float32)
     for k, r in enumerate(sample):
         x[k] = np.frombuffer(r["v"], np.float16)
-    return fit([r["lang"] for r in sample], x)
+    langs = [r["lang"] for r in sample]
+    sample.clear()  # the driver needn't hold the rows beside the matrix
+    return fit(langs, x)
 
 
 def predictions(model: Model, text: Column) -> Column:
