@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontaminate, exact_dedup, langid, near_dedup, piece_sampling
-from siftwell.llm.common import shared_folder, table
+from siftwell.llm.common import shared_folder, small_batches, table
 
 #: SQL can't express the model stages; tests/llm hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
@@ -52,7 +52,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    with small_batches(spark):  # every stage is written in here; what is returned only reads
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
