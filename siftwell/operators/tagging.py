@@ -10,18 +10,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import vectors
-
 MERGE_THRESHOLD = 0.85
+TILE = 16_384  # names or tags that one task holds as a matrix, about
+GROUP = ["tenant_id", "width"]
 
 
 def nearest(names: DataFrame, tags: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
     """(name_id, tag_id, similarity): the tag of the same tenant with the greatest cosine similarity of threshold or more, the smaller id on ties.
-    names: (tenant_id, name_id, embedding); tags: (tenant_id, tag_id, embedding). Tags of one tenant are what a person would list; they meet its names by tenant."""
-    met = names.alias("n").join(tags.alias("t"), "tenant_id")
-    scored = met.select("n.name_id", "t.tag_id", vectors.cosine_similarity(F.col("n.embedding"), F.col("t.embedding")).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("name_id").agg(F.max_by(F.struct("tag_id", "similarity"), F.struct(F.round("similarity", 9), -F.col("tag_id"))).alias("b"))
-    return best.select("name_id", "b.tag_id", "b.similarity")
+    names: (tenant_id, name_id, embedding); tags: (tenant_id, tag_id, embedding), with whole numbers as ids. Vectors without length match nothing, and only vectors of one width meet.
+
+    A tenant's names and tags are dealt to the rows and columns of a grid with about TILE of either to a cell; a cell multiplies two matrices and hands on one tag
+    for each of its names. A tenant of any size is so many cells, and a name crosses the shuffle once for every TILE tags.
+    """
+    left, right = _sized(names, "name_id"), _sized(tags, "tag_id")
+    grid = _tiles(left, "n_rows").join(_tiles(right, "n_columns"), GROUP)
+    x = _dealt(left.join(grid, GROUP), "tile_row", "n_rows", "tile_column", "n_columns")
+    y = _dealt(right.join(grid, GROUP), "tile_column", "n_columns", "tile_row", "n_rows")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        (name, a), (tag, b) = _units(left), _units(right)
+        found = []
+        for at in range(0, len(name) if len(tag) else 0, 1024):
+            sims = np.clip(a[at : at + 1024] @ b.T, -1, 1)
+            first = np.round(sims, 9).argmax(axis=1)  # the first of equal ones has the smallest id
+            top = sims[np.arange(len(sims)), first]
+            near = np.flatnonzero(top >= threshold)
+            found.append((name[at + near], tag[first[near]], top[near]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(columns, names=["name_id", "tag_id", "similarity"])
+
+    cell = [*GROUP, "tile_row", "tile_column"]
+    met = x.groupBy(*cell).cogroup(y.groupBy(*cell)).applyInArrow(best, "name_id long, tag_id long, similarity double")
+    most = met.groupBy("name_id").agg(F.max_by(F.struct("tag_id", "similarity"), F.struct(F.round("similarity", 9), -F.col("tag_id"))).alias("b"))
+    return most.select("name_id", "b.tag_id", "b.similarity")
+
+
+def _sized(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.col(key).isNotNull() & (F.size("embedding") > 0)).select("tenant_id", F.size("embedding").alias("width"), F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _tiles(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
+
+
+def _dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+    spot = F.pmod(F.xxhash64("id", "embedding"), F.col(own_count)).cast("int")
+    return rows.select(*GROUP, "id", "embedding", spot.alias(own), F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(other))
+
+
+def _units(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in ascending order and their vectors at length one, without those that have no length."""
+    if not rows.num_rows:
+        return np.empty(0, np.int64), np.empty((0, 0))
+    rows = rows.sort_by("id").combine_chunks()
+    ids = rows.column("id").to_numpy()
+    flat = rows.column("embedding").combine_chunks()
+    matrix = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    length = np.linalg.norm(matrix, axis=1)
+    fine = length > 0
+    return ids[fine], matrix[fine] / length[fine, None]
 
 
 def canonicalize(names: DataFrame, tags: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:

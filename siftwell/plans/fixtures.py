@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from ..operators import chunking, search
+from ..sources import shared
 
 AS_OF = "2024-01-31 00:00:00"
 JOBS_AS_OF = "2001-08-02 00:00:00"
@@ -43,6 +46,19 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return split.withColumn("chunk_id", chunk_id)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}  # keyword indexes that this session has written
+
+
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword index of all chunks. The first search of a session writes it, later ones read it."""
+    place = (spark.sparkContext.applicationId, d)
+    if place not in _INDEXES:
+        path = f"{shared.folder(spark)}/postings-{uuid.uuid4().hex}"
+        search.write_index(chunks(spark, d), path)
+        _INDEXES[place] = path
+    return spark.read.parquet(_INDEXES[place])
+
+
 _CONT = "substr(hx, 2 * CAST({p} AS INTEGER) + 1, 1) IN ('8', '9', 'A', 'B')"
 
 
@@ -102,10 +118,24 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, expected_ids): the documents that hold a benchmark item word for word. The items are a bounded set that every scan task gets."""
-    docs, asked = read(spark, d, "documents"), items(spark, d)
-    found = docs.join(F.broadcast(asked.withColumnRenamed("text", "passage")), F.contains("text", "passage"))
-    return found.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected_ids"))
+    """(query_id, expected_ids): the documents that hold a benchmark item word for word.
+
+    Words inside an item, all but its first and last, stand whole in any text that holds it, so four of them in a row find the candidates in an equi-join. Items of
+    fewer than six words are compared with every text.
+    """
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    asked = items(spark, d).withColumnRenamed("text", "passage").withColumn("words", _words("passage"))
+    anchors = asked.where(F.size("words") >= 6).select("query_id", F.xxhash64(F.slice("words", 2, 4)).alias("anchor"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - 3), lambda i: F.xxhash64(F.slice("words", i, 4)))
+    places = docs.select("doc_id", _words("text").alias("words")).where(F.size("words") >= 4).select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
+    pairs = places.join(anchors, "anchor").select("doc_id", "query_id").distinct()
+    held = docs.join(pairs, "doc_id").join(asked.select("query_id", "passage"), "query_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = docs.join(asked.where(F.size("words") < 6), F.contains("text", "passage")).select("query_id", "doc_id")
+    return held.unionByName(short).groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("expected_ids"))
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 EXPECTED = "expected AS (SELECT item_id AS query_id, list(DISTINCT doc_id) AS expected_ids FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id)"

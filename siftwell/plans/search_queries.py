@@ -81,12 +81,12 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     asked = _both(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
-    return search.hybrid(fx.chunks(spark, d), fx.vectors(spark, d), asked, TOP)
+    return search.hybrid(fx.postings(spark, d), fx.vectors(spark, d), asked, TOP)
 
 
 @query(_sql(RANKED + f"bm25 WHERE rank <= {TOP}", fx.CHUNKS, fx.TEXT_QUERIES, _bm25("text_queries")))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(search.bm25(fx.chunks(spark, d), fx.text_queries(spark, d), TOP))
+    return _ranked(search.bm25(fx.postings(spark, d), fx.text_queries(spark, d), TOP))
 
 
 @query(_sql(RANKED + f"vec WHERE rank <= {TOP}", fx.VECTORS, fx.QUERY_VECTORS, _vec()))
@@ -101,13 +101,13 @@ def best_chunk_per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_sql(RANKED + "rolled", fx.CHUNKS, fx.TEXT_QUERIES, _bm25("text_queries"), _per_document("bm25", "best_bm25"), "fused AS (SELECT query_id, document_id, chunk_id, 1.0::DOUBLE / rank AS score, rank FROM best_bm25)", _rolled("fused")))
 def keyword_degrade(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(search.keyword_only(fx.chunks(spark, d), fx.text_queries(spark, d), TOP))
+    return _ranked(search.keyword_only(fx.postings(spark, d), fx.text_queries(spark, d), TOP))
 
 
 @query(_sql(RANKED + "fused", fx.CHUNKS, *HYBRID[:-1]))
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     left = search.one_per_document(search.vector_arm(fx.vectors(spark, d), fx.query_vectors(spark, d), SEEN), TOP)
-    right = search.one_per_document(search.bm25(fx.chunks(spark, d), fx.text_queries(spark, d), SEEN), TOP)
+    right = search.one_per_document(search.bm25(fx.postings(spark, d), fx.text_queries(spark, d), SEEN), TOP)
     return _ranked(search.rrf(left, right))
 
 
@@ -132,7 +132,7 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     tagged = fx.document_tag_names(spark, d).join(tags, "name")
     picked = search.with_all_tags(docs, tagged, tags, ["en", "long", "no such tag"])
     asked = _both(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
-    return _ranked(search.hybrid(search.only_documents(fx.chunks(spark, d), picked), search.only_documents(fx.vectors(spark, d), picked), asked, TOP))
+    return _ranked(search.hybrid(search.only_documents(fx.postings(spark, d), picked), search.only_documents(fx.vectors(spark, d), picked), asked, TOP))
 
 
 RERANKED = f"""told AS (
@@ -167,7 +167,7 @@ SCORES = """scores AS (
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.one_per_document(search.bm25(fx.chunks(spark, d), fx.items(spark, d), SEEN), TOP)
+    hits = search.one_per_document(search.bm25(fx.postings(spark, d), fx.items(spark, d), SEEN), TOP)
     return evaluation.per_query(fx.expected(spark, d), hits)
 
 

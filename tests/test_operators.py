@@ -175,7 +175,7 @@ def test_roll_up_stream_matches_batch(spark, tmp_path):
 
 def test_empty_corpus(spark):
     chunks = spark.createDataFrame([], "document_id long, chunk_id long, content string")
-    assert search.bm25(chunks, spark.createDataFrame([(1, "a")], "query_id long, text string"), 5).count() == 0
+    assert search.bm25(search.postings(chunks), spark.createDataFrame([(1, "a")], "query_id long, text string"), 5).count() == 0
 
 
 @pytest.mark.parametrize("job, event, want", [(("queued", 0, 5.0), "claim", "queued"), (("running", 4, 0.0), "fail", "dead"), (("dead", 5, 0.0), "retry", "queued"), (("done", 0, 0.0), "fail", "done")])
