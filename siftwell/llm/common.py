@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: What the contracts call white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.parquet.columnarReaderBatchSize": "256"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -84,8 +84,8 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few rows and bytes while the body runs its jobs. Batches of whole texts are held several times over, on both sides of a Python worker's pipe and outside the heap;
-    what crosses and what comes out is the same at any batch size."""
+    """Arrow and Parquet batches of few rows and bytes while the body runs its jobs. Batches of whole texts are held several times over, on both sides of a Python worker's pipe and
+    outside the heap, and a reader's batch grows as one array; what comes out is the same at any batch size."""
     before = {name: spark.conf.get(name, None) for name in BATCHES}
     for name, value in BATCHES.items():
         spark.conf.set(name, value)
