@@ -39,7 +39,7 @@ def nearest(names: DataFrame, tags: DataFrame, threshold: float = MERGE_THRESHOL
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(columns, names=["name_id", "tag_id", "similarity"])
 
-    cell = [*GROUP, "tile_row", "tile_column"]
+    cell = ["tenant", "size", "tile_row", "tile_column"]  # aliases, as names and tags may come from one table
     met = x.groupBy(*cell).cogroup(y.groupBy(*cell)).applyInArrow(best, "name_id long, tag_id long, similarity double")
     most = met.groupBy("name_id").agg(F.max_by(F.struct("tag_id", "similarity"), F.struct(F.round("similarity", 9), -F.col("tag_id"))).alias("b"))
     return most.select("name_id", "b.tag_id", "b.similarity")
@@ -55,7 +55,7 @@ def _tiles(rows: DataFrame, name: str) -> DataFrame:
 
 def _dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
     spot = F.pmod(F.xxhash64("id", "embedding"), F.col(own_count)).cast("int")
-    return rows.select(*GROUP, "id", "embedding", spot.alias(own), F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(other))
+    return rows.select(F.col("tenant_id").alias("tenant"), F.col("width").alias("size"), "id", "embedding", spot.alias(own), F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(other))
 
 
 def _units(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
