@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, free_name, scratch, slices, utf8
+from .common import BLANKS, cut, free_name, scratch, sized_broadcast, slices, utf8
 
 TABLE_BYTES = 24 << 20  # content that one task's table may hold before it flushes or spills
 FAN_OUT = 16  # bucket files of one spill level
+DROPPED_BROADCAST = 200_000  # rows to drop, of 48 bytes each, that are broadcast so that documents needn't be dealt out
 
 
 class Group(NamedTuple):
@@ -172,9 +173,27 @@ def assign(docs: DataFrame, text: str = "text", key: str = "doc_id", table_bytes
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """docs with one row left of each group of equal texts, all columns as they were. Rows are matched by id and digest, so an id that occurs with several texts is safe."""
-    digest, points = free_name(docs, "digest"), free_name(docs, "points")
-    best = classes(docs, text, key, table_bytes).select(F.col("keep_id"), F.col("digest").alias("keep_digest"), F.col("points").alias("keep_points"))
-    tagged = docs.withColumn(digest, content_digest(utf8(text))).withColumn(points, F.coalesce(F.length(text), F.lit(0)).cast("long"))
-    match = tagged[key].cast("long").eqNullSafe(best["keep_id"]) & (tagged[digest] == best["keep_digest"]) & (tagged[points] == best["keep_points"])
-    return tagged.join(best, match, "left_semi").dropDuplicates([key, digest]).drop(digest, points)
+    """docs with one row left of each group of equal texts, all columns as they were, whatever their names.
+
+    Null text counts as empty. Rows are matched by id, digest and code points, so an id that occurs with several texts is safe; of a row repeated under the id that stays one is left.
+    Only ids and digests are compared and sorted: whole rows are read where they lie, and moved only if they are repeats or if there are over DROPPED_BROADCAST rows to drop.
+    Very long texts are read whole; an empty table gives an empty result.
+    """
+    mark = free_name(docs, "mark")
+    tagged = docs.withColumn(mark, F.struct(F.col(key).cast("long").alias("id"), content_digest(utf8(text)).alias("digest"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("points")))
+    seen = tagged.groupBy(*[F.col(f"{mark}.{c}").alias(c) for c in ("id", "digest", "points")]).agg(F.count(F.lit(1)).alias("n"))
+    best = classes(docs, text, key, table_bytes).select(F.col("keep_id").alias("b_id"), F.col("digest").alias("b_digest"), F.col("points").alias("b_points"), F.lit(True).alias("stays"))
+    match = F.col("id").eqNullSafe(F.col("b_id")) & (F.col("digest") == F.col("b_digest")) & (F.col("points") == F.col("b_points"))
+    told = seen.join(best, match, "left").select("id", "digest", "points", F.col("stays").isNotNull().alias("stays"), "n")
+    told = cut(told.where("not stays or n > 1"))
+    sizes = {r["stays"]: r["rows"] for r in told.groupBy("stays").agg(F.count(F.lit(1)).alias("rows")).collect()}
+
+    def at(rows: DataFrame, stays: bool, how: str) -> DataFrame:
+        few = told.where(F.col("stays") == stays).select(F.col("id").alias("t_id"), F.col("digest").alias("t_digest"), F.col("points").alias("t_points"))
+        same = rows[mark]["id"].eqNullSafe(few["t_id"]) & (rows[mark]["digest"] == few["t_digest"]) & (rows[mark]["points"] == few["t_points"])
+        return rows.join(sized_broadcast(few, sizes[stays], DROPPED_BROADCAST), same, how)
+
+    left = at(tagged, False, "left_anti") if False in sizes else tagged
+    if True in sizes:
+        left = at(left, True, "left_anti").unionByName(at(left, True, "left_semi").dropDuplicates([mark]))
+    return left.drop(mark)

@@ -258,6 +258,15 @@ def test_exact_dedup_spills_and_matches(spark):
         assert {r.doc_id for r in exact_dedup.keep_one(docs(spark, rows), table_bytes=size).collect()} == {k for k, _ in want.values()}
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_exact_dedup_keeps_one_of_repeated_rows(spark, monkeypatch, bound):
+    monkeypatch.setattr(exact_dedup, "DROPPED_BROADCAST", bound)
+    rows = [(1, "a b"), (1, "a b"), (1, "ab"), (2, "a  b"), (2, "a  b"), (2, "c"), (3, "c"), (3, "d"), (None, "d"), (None, "e"), (None, "e"), (4, None), (5, "")]
+    got = exact_dedup.keep_one(docs(spark, rows).withColumn("mark", F.lit(1)).withColumn("stays", F.lit(2)))
+    assert got.columns[-2:] == ["mark", "stays"]
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == [(0, "e"), (2, "a  b"), (2, "c"), (3, "d"), (4, "")]
+
+
 def shingles(words):
     return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
