@@ -82,13 +82,17 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow and Parquet batches of few rows and bytes while the body runs its jobs. Batches of whole texts are held several times over, on both sides of a Python worker's pipe and
+def use_small_batches(spark: SparkSession) -> None:
+    """Arrow and Parquet batches of few rows and bytes from now on in this session. Batches of whole texts are held several times over, on both sides of a Python worker's pipe and
     outside the heap, and a reader's batch grows as one array; what comes out is the same at any batch size."""
-    before = {name: spark.conf.get(name, None) for name in BATCHES}
     for name, value in BATCHES.items():
         spark.conf.set(name, value)
+
+
+@contextmanager
+def settings_kept(spark: SparkSession) -> Iterator[None]:
+    """Gives the session its batch sizes back after the body."""
+    before = {name: spark.conf.get(name, None) for name in BATCHES}
     try:
         yield
     finally:
