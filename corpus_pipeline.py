@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontaminate, exact_dedup, langid, near_dedup, piece_sampling
-from siftwell.llm.common import shared_folder, small_batches, table
+from siftwell.llm.common import settings_kept, shared_folder, table, use_small_batches
 
 #: SQL can't express the model stages; tests/llm hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
@@ -40,19 +42,30 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", "told.ids", F.coalesce(F.size("told.ids"), F.lit(0)).alias("n_tokens"), "told.lossless")
 
 
+def _whole_texts(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session with small batches. They are read when its result is written, so whoever calls a stage by itself has them until the session says otherwise."""
+
+    @wraps(stage)
+    def ready(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        use_small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return ready
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_duplicates),
-    ("near_dedup", near_duplicates),
-    ("decontamination", benchmark_leaks),
-    ("sentencepiece", pieces),
+    ("language_id", _whole_texts(language_id)),
+    ("exact_dedup", _whole_texts(exact_duplicates)),
+    ("near_dedup", _whole_texts(near_duplicates)),
+    ("decontamination", _whole_texts(benchmark_leaks)),
+    ("sentencepiece", _whole_texts(pieces)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    with small_batches(spark):  # every stage is written in here; what is returned only reads
+    with settings_kept(spark):  # every stage is written in here; what is returned only reads
         for k, (name, stage) in enumerate(STAGES):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
