@@ -45,7 +45,93 @@ def _license_sql() -> str:
     """
 
 
+def _audit_sql() -> str:
+    """Every order is spelled out by joins of the letters; what a step does is counted over the documents of each failure mask."""
+    letters = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+    names = "abcde"
+    joins = " ".join(f"JOIN l {n} ON {' AND '.join(f'{n}.x <> {m}.x' for m in names[:k])}" if k else f"l {n}" for k, n in enumerate(names))
+    steps = " UNION ALL ".join(f"SELECT o, {k + 1} AS step, {n} AS bit, {' + '.join(names[:k]) or '0'} AS before FROM orders" for k, n in enumerate(names))
+    return rf"""
+        WITH known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+        d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+            FROM documents
+        ), m AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+                   (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+                   + 4 * (100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask
+            FROM d LEFT JOIN known USING (doc_id)
+        ), cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY part, mask),
+        l(x, b) AS (FROM {letters}),
+        orders AS (SELECT {' || '.join(f'{n}.x' for n in names)} AS o, {', '.join(f'{n}.b AS {n}' for n in names)} FROM {joins}),
+        steps AS ({steps}),
+        told AS (
+            SELECT part, o AS filter_order, step, bit,
+                   coalesce(sum(n) FILTER (mask & (before + bit) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(bad) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+            FROM cells CROSS JOIN steps GROUP BY part, o, step, bit
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM told
+    """
+
+
+LEAF_LEVELS, ROOT_LEVELS = 14, 8  # levels that the SQL of op12 unrolls: enough for 3 ** 14 documents of a source and 3 ** 8 sources
+
+
+def _merkle_sql() -> str:
+    """Levels are unrolled; a group whose tree has fewer repeats its subroot on the levels above, which add nothing to a proof."""
+
+    def encoded(column: str, text: str | None = None) -> str:
+        text = text or f"{column}::VARCHAR"
+        return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join([*(encoded(c) for c in ("doc_id", "source", "lang", "n_chars")), encoded("text", text)]) + ")"
+
+    # CRC-32 of an id's decimal digits, bit by bit; only its last bit is asked for.
+    crc = "list_reduce(list_prepend(4294967295::UBIGINT, [ascii(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x // 2, (x % 2) * 3988292384::UBIGINT)))"
+    parts = [f"""
+        t AS MATERIALIZED (SELECT *, row_number() OVER () AS k FROM documents),
+        d AS MATERIALIZED (
+            SELECT k, doc_id, source, {leaf('text')} AS leaf, CASE WHEN ({crc}) % 2 = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS now FROM t
+        ),
+        s0 AS MATERIALIZED (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS i, leaf AS h, k FROM d)"""]
+
+    def tree(name: str, group: str, levels: int) -> None:
+        for n in range(levels):
+            last = f"count(*) OVER (PARTITION BY {group}) = 1"
+            parts.append(f"""{name}x{n} AS MATERIALIZED (SELECT *, {last} AS done FROM {name}{n}),
+        {name}{n + 1} AS MATERIALIZED (SELECT {group}, i // 3 AS i, CASE WHEN bool_or(done) THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}x{n} GROUP BY {group}, i // 3)""")
+
+    tree("s", "source", LEAF_LEVELS)
+    parts.append(f"r0 AS MATERIALIZED (SELECT 1 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h, source FROM s{LEAF_LEVELS})")
+    tree("r", "one", ROOT_LEVELS)
+    # Down again: every node knows what stands before and after it in its run.
+    parts.append(f"""p0 AS MATERIALIZED (
+            SELECT d.k, d.doc_id, d.leaf, s{LEAF_LEVELS}.h AS subroot, r{ROOT_LEVELS}.h AS root, d.source, s0.i, r0.i AS ri, d.now AS folded, '' AS proof
+            FROM d JOIN s0 USING (k) JOIN s{LEAF_LEVELS} ON s{LEAF_LEVELS}.source IS NOT DISTINCT FROM d.source JOIN r0 ON r0.source IS NOT DISTINCT FROM d.source CROSS JOIN r{ROOT_LEVELS})""")
+    at = 0
+    for name, levels, match, i in (("s", LEAF_LEVELS, "x.source IS NOT DISTINCT FROM p.source AND ", "i"), ("r", ROOT_LEVELS, "", "ri")):
+        for n in range(levels):
+            parts.append(f"""p{at + 1} AS MATERIALIZED (
+            WITH y AS (
+                SELECT p.k, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < p.{i}), '') AS lo, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > p.{i}), '') AS hi, bool_or(x.done) AS done
+                FROM p{at} p JOIN {name}x{n} x ON {match}x.i // 3 = p.{i} // 3 GROUP BY p.k
+            )
+            SELECT p.* REPLACE (p.{i} // 3 AS {i}, CASE WHEN done THEN folded ELSE sha256(lo || folded || hi) END AS folded, proof || lo || hi AS proof) FROM p{at} p JOIN y USING (k))""")
+            at += 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM p{at}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": _audit_sql(),
+    "op12_merkle_manifest": _merkle_sql(),
     "op10_license_scan": _license_sql(),
     "op9_url_filter": r"""
         WITH r(action, host, path) AS (VALUES

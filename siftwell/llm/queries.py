@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, license_scan, piece_sampling, quality, simhash, substring_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, filter_audit, langid, license_scan, merkle, piece_sampling, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -76,4 +76,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_simhash, op4_langid, op5_sentencepiece, op6_quality, op7_exact_dedup, op8_token_counts, op9_url_filter, op10_license_scan)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of each order of them, for each source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and roots; half of the documents are verified without their line breaks."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    bare = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    changed = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    presented = F.when(changed, merkle.leaf_digest(*(bare if f == "text" else F.col(f) for f in fields)))
+    proved = merkle.manifest(table(spark, sf_dir, "documents", *fields), fields, presented=presented)
+    told = proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"), merkle.folded("presented", "proof").alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.assess(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_decontaminate, op2_substring_dedup, op3_simhash, op4_langid, op5_sentencepiece, op6_quality, op7_exact_dedup, op8_token_counts, op9_url_filter, op10_license_scan,
+    op11_filter_audit, op12_merkle_manifest, op13_toxicity,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

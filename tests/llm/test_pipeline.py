@@ -26,6 +26,6 @@ def test_stages_against_the_operators(spark, sf):
 
 
 def test_run_is_registered_and_repeatable(spark, sf):
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
     a, b = (sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, sf).collect()) for _ in range(2))
     assert a == b and a
