@@ -177,8 +177,10 @@ class Forest:
                         yield whole[at], what, path + rest
                         at += 1
 
-        told = self.paths(seeds).partitionBy(self.parts, int)
-        return rows.glom().zip(told.glom()).mapPartitionsWithIndex(joined)
+        told, whole = self.paths(seeds).partitionBy(self.parts, int), rows.glom()
+        if more := told.getNumPartitions() - self.parts:  # a session may deal keys to more partitions than it is asked for; those at the end are empty
+            whole = whole.union(rows.context.parallelize([[]] * more, more))
+        return whole.zip(told.glom()).mapPartitionsWithIndex(joined)
 
 
 def climb(top: int, given: Iterable[tuple[int, int, str, int]]) -> tuple[str, list[tuple[int, int, Path]], int]:
