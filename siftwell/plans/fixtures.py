@@ -194,7 +194,8 @@ def jobs(spark: SparkSession, d: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 20).alias("tenant_id"), (F.col("o_orderkey") % 1000).alias("document_id"), kind.alias("kind"), (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("priority"),
         status.alias("status"), attempts.alias("attempts"), (F.col("o_orderdate") + F.make_dt_interval(hours=attempts)).alias("run_after"),
-        F.when(status == "running", F.col("o_orderdate") + F.make_dt_interval(days=F.lit(1))).alias("lease_expires_at"), F.col("o_orderdate").alias("created_at"),
+        F.when(status == "running", F.col("o_orderdate") + F.make_dt_interval(days=F.lit(1))).alias("lease_expires_at"),
+        F.when(status == "running", F.concat(F.lit("worker:"), (F.col("o_orderkey") % 4).cast("string"))).alias("locked_by"), F.col("o_orderdate").alias("created_at"),
     )
 
 
@@ -203,7 +204,8 @@ JOBS = """jobs AS (
            6 - CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority,
            CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'running' ELSE 'done' END WHEN 'O' THEN 'queued' ELSE CASE WHEN o_orderkey % 6 = 5 THEN 'dead' ELSE 'failed' END END AS status,
            CAST(o_orderkey % 6 AS INTEGER) AS attempts, o_orderdate + to_hours(CAST(o_orderkey % 6 AS INTEGER)) AS run_after,
-           CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 1 DAY END AS lease_expires_at, o_orderdate AS created_at
+           CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 1 DAY END AS lease_expires_at,
+           CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN 'worker:' || o_orderkey % 4 END AS locked_by, o_orderdate AS created_at
     FROM orders
 )"""
 

@@ -28,23 +28,68 @@ def queue_stats(spark: SparkSession, d: str) -> DataFrame:
     return queue.depth(fx.jobs(spark, d), fx.JOBS_AS_OF)
 
 
-@query(_sql(f"""
-    SELECT job_id, CASE WHEN status <> 'running' THEN status WHEN job_id % 7 = 0 OR attempts + 1 >= 5 THEN 'dead' ELSE 'failed' END AS status,
-           CASE WHEN status = 'running' THEN attempts + 1 ELSE attempts END AS attempts,
-           CASE WHEN status = 'running' AND NOT (job_id % 7 = 0 OR attempts + 1 >= 5) THEN {NOW} + to_seconds(30 * CAST(pow(2, attempts) AS BIGINT)) ELSE run_after END AS run_after,
-           CASE WHEN status <> 'running' THEN lease_expires_at END AS lease_expires_at
-    FROM jobs""", fx.JOBS))
+JOB_COLUMNS = ("job_id", "status", "attempts", "run_after", "lease_expires_at", "locked_by")
+
+
+def _changed(mark: str, status: str, attempts: str = "attempts", run_after: str = "run_after", lease: str = "NULL", lock: str = "NULL", source: str = "jobs") -> str:
+    """SQL of all jobs with new values where the mark holds."""
+    put = {"status": status, "attempts": attempts, "run_after": run_after, "lease_expires_at": lease, "locked_by": lock}
+    return f"SELECT job_id, {', '.join(f'CASE WHEN {mark} THEN {v} ELSE {c} END AS {c}' if v != c else c for c, v in put.items())} FROM {source}"
+
+
+@query(_sql(_changed("status = 'running'", "CASE WHEN job_id % 7 = 0 OR attempts + 1 >= 5 THEN 'dead' ELSE 'failed' END", "attempts + 1", f"CASE WHEN job_id % 7 = 0 OR attempts + 1 >= 5 THEN run_after ELSE {NOW} + to_seconds(30 * CAST(pow(2, attempts) AS BIGINT)) END"), fx.JOBS))
 def job_backoff(spark: SparkSession, d: str) -> DataFrame:
-    """All running jobs fail, every seventh for good."""
+    """All jobs are told to fail, every seventh for good; those that run do."""
+    jobs = fx.jobs(spark, d)
+    return queue.fail(jobs, jobs.select("job_id", (F.col("job_id") % 7 == 0).alias("permanent")), fx.JOBS_AS_OF).select(*JOB_COLUMNS)
+
+
+@query(_sql(_changed("taken.job_id IS NOT NULL", "'running'", lease=f"{NOW} + INTERVAL 600 SECOND", lock="'worker:9'", source=f"jobs LEFT JOIN (SELECT job_id FROM jobs WHERE status IN ('queued', 'failed') AND run_after <= {NOW} AND kind IN ('ingest', 'export') ORDER BY CAST(floor({PRIORITY}) AS BIGINT) DESC, run_after, job_id LIMIT 100) taken USING (job_id)"), fx.JOBS))
+def job_claim(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred jobs of two kinds are claimed; other workers' jobs keep their locks."""
+    return queue.claim(fx.jobs(spark, d), fx.JOBS_AS_OF, 100, "worker:9", 600, ["ingest", "export"]).select(*JOB_COLUMNS)
+
+
+@query(_sql(_changed("status = 'running' AND job_id % 2 = 0", "'done'", lease="lease_expires_at", lock="locked_by"), fx.JOBS))
+def job_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Every second job is reported as done; only running ones are."""
     jobs = fx.jobs(spark, d)
-    lost = jobs.where("status = 'running'").select("job_id", (F.col("job_id") % 7 == 0).alias("permanent"))
-    return queue.fail(jobs, lost, fx.JOBS_AS_OF).select("job_id", "status", "attempts", "run_after", "lease_expires_at")
+    return queue.complete(jobs, jobs.where("job_id % 2 = 0").select("job_id")).select(*JOB_COLUMNS)
+
+
+@query(_sql(_changed("status = 'running' AND locked_by = 'worker:1'", "status", lease=f"{NOW} + INTERVAL 600 SECOND", lock="locked_by"), fx.JOBS))
+def job_extend_lease(spark: SparkSession, d: str) -> DataFrame:
+    """One worker extends the leases of all jobs that it ever had; its own running ones are extended."""
+    jobs = fx.jobs(spark, d)
+    return queue.extend_lease(jobs, jobs.select("job_id"), "worker:1", fx.JOBS_AS_OF, 600).select(*JOB_COLUMNS)
+
+
+@query(_sql(_changed("status = 'running' AND locked_by IS NOT NULL AND locked_by <> 'worker:1'", "'failed'", run_after=NOW), fx.JOBS))
+def job_orphan_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A worker starts anew: what runs under other names is requeued."""
+    return queue.orphan_sweep(fx.jobs(spark, d), fx.JOBS_AS_OF, "worker:1").select(*JOB_COLUMNS)
+
+
+DEAD = "SELECT document_id, tenant_id FROM jobs WHERE kind = 'ingest' AND status = 'dead'"
+
+
+def _staged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and files before the transitions: a third of the documents is ready, files are pending or failed or ready. Tenants are those of the document's jobs."""
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 20).alias("tenant_id"))
+    status = F.element_at(F.array(F.lit("ready"), F.lit("pending"), F.lit("failed")), (F.col("document_id") % 3 + 1).cast("int"))
+    file_status = F.element_at(F.array(F.lit("pending"), F.lit("failed"), F.lit("ready")), (F.floor(F.col("document_id") / 3) % 3 + 1).cast("int"))
+    return docs.withColumn("status", status), docs.withColumn("file_id", F.col("document_id")).withColumn("status", file_status)
 
 
-@query(_sql("SELECT document_id, CASE WHEN document_id % 3 <> 0 AND document_id IN (SELECT document_id FROM jobs WHERE kind = 'ingest' AND status = 'dead') THEN 'failed' WHEN document_id % 3 = 0 THEN 'ready' ELSE 'pending' END AS status FROM docs", fx.DOCUMENTS, fx.JOBS))
+STAGED = """staged AS (SELECT doc_id AS document_id, doc_id % 20 AS tenant_id, ['ready', 'pending', 'failed'][doc_id % 3 + 1] AS status, ['pending', 'failed', 'ready'][doc_id // 3 % 3 + 1] AS file_status FROM documents)"""
+
+
+@query(_sql(f"SELECT document_id, CASE WHEN status <> 'ready' AND (document_id, tenant_id) IN ({DEAD}) THEN 'failed' ELSE status END AS status, CASE WHEN file_status = 'pending' AND (document_id, tenant_id) IN ({DEAD}) THEN 'failed' ELSE file_status END AS file_status FROM staged", STAGED, fx.JOBS))
 def dead_letter_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.documents(spark, d).select("document_id", F.when(F.col("document_id") % 3 == 0, "ready").otherwise("pending").alias("status"))
-    return queue.dead_letters(fx.jobs(spark, d), docs).select("document_id", "status")
+    """Documents and files whose ingest job died."""
+    docs, files = _staged(spark, d)
+    jobs = fx.jobs(spark, d)
+    return queue.dead_letters(jobs, docs).join(queue.dead_letter_files(jobs, files).select("document_id", F.col("status").alias("file_status")), "document_id").select("document_id", "status", "file_status")
 
 
 @query(_sql("SELECT document_id, max(job_id) AS job_id, arg_max(status, job_id) AS status FROM jobs GROUP BY document_id", fx.JOBS))
@@ -57,20 +102,40 @@ def admission(spark: SparkSession, d: str) -> DataFrame:
     return queue.admission(fx.jobs(spark, d))
 
 
-@query(_sql(f"""
-    SELECT job_id, CASE WHEN lost.job_id IS NOT NULL THEN 'queued' ELSE status END AS status, CASE WHEN lost.job_id IS NOT NULL THEN {NOW} ELSE run_after END AS run_after
-    FROM jobs LEFT JOIN (SELECT job_id FROM jobs WHERE status = 'running' AND lease_expires_at < {NOW} ORDER BY lease_expires_at, job_id LIMIT 50) lost USING (job_id)""", fx.JOBS))
+@query(_sql(_changed("lost.job_id IS NOT NULL", "'failed'", run_after=NOW, source=f"jobs LEFT JOIN (SELECT job_id FROM jobs WHERE status = 'running' AND lease_expires_at < {NOW} ORDER BY lease_expires_at, job_id LIMIT 50) lost USING (job_id)"), fx.JOBS))
 def reap_expired(spark: SparkSession, d: str) -> DataFrame:
-    """The fifty jobs whose lease ran out first are queued again."""
-    return queue.reap(fx.jobs(spark, d), fx.JOBS_AS_OF).select("job_id", "status", "run_after")
+    """The fifty jobs whose lease ran out first may be claimed again: the limit is the feature."""
+    return queue.reap(fx.jobs(spark, d), fx.JOBS_AS_OF).select(*JOB_COLUMNS)
 
 
-@query(_sql("""
-    SELECT job_id, CASE WHEN again THEN 'queued' ELSE status END AS status, CASE WHEN again THEN 0 ELSE attempts END AS attempts
-    FROM (SELECT *, status IN ('dead', 'failed') AND document_id % 2 = 0 AND job_id = max(job_id) OVER (PARTITION BY document_id) AS again FROM jobs)""", fx.JOBS))
+ASKED = """latest AS (SELECT tenant_id, document_id, max(job_id) AS job_id, arg_max(status, job_id) AS last FROM jobs WHERE kind = 'ingest' GROUP BY ALL),
+    asked AS (SELECT DISTINCT tenant_id, document_id FROM jobs WHERE document_id % 2 = 0),
+    requeued AS (SELECT * FROM asked JOIN latest USING (tenant_id, document_id) WHERE last IN ('dead', 'failed'))"""
+
+
+def _asked(jobs: DataFrame) -> DataFrame:
+    return jobs.where("document_id % 2 = 0").select("tenant_id", "document_id").distinct()
+
+
+@query(_sql(_changed("job_id IN (SELECT job_id FROM requeued)", "'queued'", "0", NOW), fx.JOBS, ASKED))
 def retry_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every second document of every tenant is asked for again: its latest ingest job starts anew if it failed or died."""
     jobs = fx.jobs(spark, d)
-    return queue.retry(jobs, jobs.where("document_id % 2 = 0").select("document_id").distinct()).select("job_id", "status", "attempts")
+    return queue.retry(jobs, _asked(jobs), fx.JOBS_AS_OF).select(*JOB_COLUMNS)
+
+
+@query(_sql("SELECT tenant_id, document_id, job_id, CASE WHEN job_id IS NULL THEN 'no job' WHEN last IN ('dead', 'failed') THEN 'requeued' ELSE 'not retryable' END AS outcome FROM asked LEFT JOIN latest USING (tenant_id, document_id)", fx.JOBS, ASKED))
+def retry_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    jobs = fx.jobs(spark, d)
+    return queue.retry_outcomes(jobs, _asked(jobs))
+
+
+@query(_sql("SELECT document_id, CASE WHEN status <> 'ready' AND r THEN 'pending' ELSE status END AS status, CASE WHEN file_status = 'failed' AND r THEN 'pending' ELSE file_status END AS file_status FROM (SELECT *, (document_id, tenant_id) IN (SELECT document_id, tenant_id FROM requeued) AS r FROM staged)", STAGED, fx.JOBS, ASKED))
+def retry_staged(spark: SparkSession, d: str) -> DataFrame:
+    """What a retry does to documents and files."""
+    jobs = fx.jobs(spark, d)
+    docs, files = queue.retried(jobs, _asked(jobs), *_staged(spark, d))
+    return docs.join(files.select("document_id", F.col("status").alias("file_status")), "document_id").select("document_id", "status", "file_status")
 
 
 @query(_sql("SELECT shard, key, size FROM (SELECT tenant_id AS shard, sha256 AS key, size_bytes AS size, document_id, sum(size_bytes) OVER (PARTITION BY tenant_id ORDER BY document_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM docs) WHERE coalesce(before, 0) < 20000", fx.DOCUMENTS))
@@ -207,7 +272,25 @@ def tag_nearest(spark: SparkSession, d: str) -> DataFrame:
     return tagging.nearest(names, tags, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query("""
+    WITH RECURSIVE v AS (SELECT label % 4 AS tenant_id, vec_id AS id, 'tag ' || vec_id AS name, vec_id % 5 = 0 AS given, embedding::DOUBLE[] AS e FROM embeddings),
+    near AS MATERIALIZED (
+        SELECT a.tenant_id, a.id, b.id AS other, b.given, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.tenant_id = b.tenant_id AND NOT a.given AND (b.given OR b.id < a.id)
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.3
+    ), asked AS MATERIALIZED (
+        SELECT v.tenant_id, v.id, row_number() OVER (PARTITION BY v.tenant_id ORDER BY v.id) AS nth, coalesce(bool_or(n.given), false) AS covered, coalesce(list(n.other) FILTER (NOT n.given), []) AS earlier
+        FROM v LEFT JOIN near n ON n.id = v.id WHERE NOT v.given GROUP BY v.tenant_id, v.id
+    ), walk AS (
+        SELECT DISTINCT tenant_id, 0::BIGINT AS nth, []::BIGINT[] AS made FROM asked
+        UNION ALL
+        SELECT w.tenant_id, a.nth, CASE WHEN a.covered OR list_has_any(w.made, a.earlier) THEN w.made ELSE list_append(w.made, a.id) END FROM walk w JOIN asked a ON a.tenant_id = w.tenant_id AND a.nth = w.nth + 1
+    ), made AS (SELECT unnest(arg_max(made, nth)) AS id FROM walk GROUP BY tenant_id),
+    best AS (
+        SELECT id, other FROM (SELECT n.*, row_number() OVER (PARTITION BY n.id ORDER BY s DESC, n.given DESC, CASE WHEN n.given THEN 'tag ' || n.other END, n.other) AS k FROM near n WHERE n.given OR n.other IN (SELECT id FROM made)) WHERE k = 1
+    )
+    SELECT a.tenant_id, a.id AS seq, 'tag ' || a.id AS name, 'tag ' || CASE WHEN m.id IS NOT NULL THEN a.id ELSE best.other END AS tag, m.id IS NOT NULL AS is_new
+    FROM asked a LEFT JOIN made m USING (id) LEFT JOIN best ON best.id = a.id
+""")
 def tag_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     names, tags = fx.tag_vectors(spark, d)
     return tagging.canonicalize(names.withColumnRenamed("name_id", "seq"), tags, 0.3)

@@ -15,7 +15,7 @@ OUT = "job_id long, seq long, event string, status string, attempts int, run_aft
 
 
 def advance(status: str, attempts: int, run_after: float, event: str, at: float) -> tuple[str, int, float]:
-    """The next state. Events that the state doesn't allow change nothing; a lost lease queues the job again without an attempt."""
+    """The next state. Events that the state doesn't allow change nothing; a job that lost its lease may be claimed again at once, without an attempt."""
     if event == "enqueue":
         return ("queued", 0, at) if status == "" else (status, attempts, run_after)
     if event == "claim" and status in ("queued", "failed") and run_after <= at:
@@ -23,7 +23,7 @@ def advance(status: str, attempts: int, run_after: float, event: str, at: float)
     if event == "complete" and status == "running":
         return "done", attempts, run_after
     if event == "lose" and status == "running":
-        return "queued", attempts, at
+        return "failed", attempts, at
     if event in ("fail", "reject") and status == "running":
         n = attempts + 1
         if event == "reject" or n >= MAX_RETRIES:

@@ -39,31 +39,80 @@ def test_insert_new_and_snapshots_happen_once(spark):
     assert rows(moved, "document_id", "current_version") == [(1, 4), (2, 2)]
 
 
+JOB = "job_id long, tenant_id long, document_id long, kind string, status string, priority int, attempts int, run_after timestamp_ntz, created_at timestamp_ntz, lease_expires_at timestamp_ntz, locked_by string"
+PAST, LATER, LEASE = datetime(2024, 1, 9), datetime(2024, 1, 11), datetime(2024, 1, 10, 0, 1)
+
+
 def jobs_of(spark, *given):
-    return spark.createDataFrame(list(given), "job_id long, kind string, status string, priority int, attempts int, run_after timestamp_ntz, created_at timestamp_ntz, lease_expires_at timestamp_ntz")
+    """(job_id, kind, status, priority, attempts, run_after, locked_by, lease); the document is the job's tenth."""
+    return spark.createDataFrame([(j, 1, j // 10, k, s, p, a, r, PAST, lease, by) for j, k, s, p, a, r, by, lease in given], JOB)
+
+
+def state(df, job):
+    r = df.where(F.col("job_id") == job).first()
+    return r.status, r.attempts, r.run_after, r.locked_by, r.lease_expires_at
+
+
+def ids(spark, *given):
+    return spark.createDataFrame([(k,) for k in given], "job_id long")
 
 
-def test_claim_complete_extend(spark):
-    past, later = datetime(2024, 1, 9), datetime(2024, 1, 11)
+def test_claims_leave_other_workers_jobs(spark):
     jobs = jobs_of(
-        spark,
-        (1, "ingest", "queued", 1, 0, past, past, None),
-        (2, "ingest", "queued", 5, 0, past, past, None),
-        (3, "export", "failed", 5, 1, past, past, None),
-        (4, "ingest", "queued", 9, 0, later, past, None),
-        (5, "ingest", "done", 9, 0, past, past, None),
-    )
+        spark, (1, "ingest", "running", 1, 0, PAST, "w0", LATER), (2, "ingest", "queued", 5, 0, PAST, None, None), (3, "export", "failed", 5, 1, PAST, None, None),
+        (4, "ingest", "queued", 9, 0, LATER, None, None), (5, "ingest", "done", 9, 0, PAST, "w0", PAST), (6, "ingest", "queued", 1, 0, PAST, None, None),
+    )
     taken = queue.claim(jobs, NOW, 2, "w1", 60)
-    assert rows(taken.where("status = 'running'"), "job_id", "locked_by", "lease_expires_at") == [(2, "w1", datetime(2024, 1, 10, 0, 1)), (3, "w1", datetime(2024, 1, 10, 0, 1))]
-    assert rows(queue.claim(jobs, NOW, 2, "w1", 60, ["export"]).where("status = 'running'"), "job_id") == [(3,)]
+    assert rows(taken.where("status = 'running'"), "job_id", "locked_by", "lease_expires_at") == [(1, "w0", LATER), (2, "w1", LEASE), (3, "w1", LEASE)]
+    assert state(taken, 5) == ("done", 0, PAST, "w0", PAST)
+    assert rows(queue.claim(jobs, NOW, 2, "w1", 60, ["export"]).where("locked_by = 'w1'"), "job_id") == [(3,)]
     again = queue.claim(taken, NOW, 9, "w2", 60)
-    assert rows(again.where("locked_by = 'w2'"), "job_id") == [(1,)]
-    held = spark.createDataFrame([(2,), (2,), (5,)], "job_id long")
-    longer = queue.extend_lease(taken, held, NOW, 600)
-    assert {r.job_id: r.lease_expires_at for r in longer.collect() if r.lease_expires_at} == {2: datetime(2024, 1, 10, 0, 10), 3: datetime(2024, 1, 10, 0, 1)}
-    done = queue.complete(taken, spark.createDataFrame([(2,), (2,)], "job_id long"))
-    assert rows(done.where("status = 'done'"), "job_id") == [(2,), (5,)] and done.count() == 5
-    assert done.where("job_id = 2").first().lease_expires_at is None
+    assert rows(again.where("status = 'running'"), "job_id", "locked_by") == [(1, "w0"), (2, "w1"), (3, "w1"), (6, "w2")]
+
+
+def test_leases_of_own_running_jobs_only_are_extended(spark):
+    jobs = queue.claim(jobs_of(spark, (1, "ingest", "queued", 1, 0, PAST, None, None), (2, "ingest", "running", 1, 0, PAST, "w0", LATER)), NOW, 1, "w1", 60)
+    longer = queue.extend_lease(jobs, ids(spark, 1, 1, 2), "w1", NOW, 600)
+    assert state(longer, 1)[4] == datetime(2024, 1, 10, 0, 10) and state(longer, 2)[4] == LATER
+    assert state(queue.extend_lease(jobs, ids(spark, 1), "other:1", NOW, 600), 1)[4] == LEASE
+    done = queue.complete(jobs, ids(spark, 1))
+    assert state(queue.extend_lease(done, ids(spark, 1), "w1", NOW, 600), 1)[4] == LEASE
+
+
+def test_only_running_jobs_complete_or_fail(spark):
+    jobs = jobs_of(spark, (1, "ingest", "queued", 1, 0, PAST, None, None), (2, "ingest", "running", 1, 0, PAST, "w0", LATER), (3, "ingest", "running", 1, 4, PAST, "w0", LATER), (4, "ingest", "running", 1, 0, PAST, "w0", LATER))
+    assert rows(queue.complete(jobs, ids(spark, 1, 2, 2)), "job_id", "status") == [(1, "queued"), (2, "done"), (3, "running"), (4, "running")]
+    told = spark.createDataFrame([(1, True), (2, False), (2, False), (3, False), (4, True), (4, None)], "job_id long, permanent boolean")
+    failed = queue.fail(jobs, told, NOW)
+    assert state(failed, 1) == ("queued", 0, PAST, None, None)
+    assert state(failed, 2) == ("failed", 1, datetime(2024, 1, 10, 0, 0, 30), None, None)
+    assert state(failed, 3) == ("dead", 5, PAST, None, None) and state(failed, 4) == ("dead", 1, PAST, None, None)
+
+
+def test_crashed_workers_jobs_are_claimed_again_without_an_attempt(spark):
+    jobs = jobs_of(spark, (1, "ingest", "running", 1, 2, PAST, "w0", PAST), (2, "ingest", "running", 1, 0, PAST, "w0", LATER), (3, "ingest", "running", 1, 0, PAST, "w1", None), (4, "ingest", "dead", 1, 5, PAST, "w0", PAST))
+    reaped = queue.reap(jobs, NOW)
+    assert state(reaped, 1) == ("failed", 2, AT, None, None) and state(reaped, 2)[0] == state(reaped, 3)[0] == "running" and state(reaped, 4)[0] == "dead"
+    assert rows(queue.reap(jobs_of(spark, *[(k, "x", "running", 1, 0, PAST, "w", datetime(2024, 1, 1, k)) for k in range(5)]), NOW, 2).where("status = 'failed'"), "job_id") == [(0,), (1,)]
+    assert rows(queue.claim(reaped, NOW, 5, "w2", 60).where("locked_by = 'w2'"), "job_id", "attempts") == [(1, 2)]
+    swept = queue.orphan_sweep(jobs, NOW, "w1")
+    assert rows(swept, "job_id", "status", "locked_by") == [(1, "failed", None), (2, "failed", None), (3, "running", "w1"), (4, "dead", "w0")]
+    assert state(queue.requeue_crashed(jobs, ids(spark, 1, 4), NOW), 4)[0] == "dead"
+
+
+def test_a_retry_restarts_the_latest_ingest_job_and_its_document(spark):
+    jobs = jobs_of(spark, (10, "ingest", "dead", 1, 5, PAST, None, None), (11, "ingest", "dead", 1, 5, LATER, "w", PAST), (12, "export", "done", 1, 0, PAST, None, None), (20, "ingest", "done", 1, 0, PAST, None, None), (30, "export", "dead", 1, 5, PAST, None, None))
+    asked = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, 3), (2, 1)], "tenant_id long, document_id long")
+    assert rows(queue.retry_outcomes(jobs, asked).fillna(0), "tenant_id", "document_id", "job_id", "outcome") == [(1, 1, 11, "requeued"), (1, 2, 20, "not retryable"), (1, 3, 0, "no job"), (2, 1, 0, "no job")]
+    after = queue.retry(jobs, asked, NOW)
+    assert state(after, 11) == ("queued", 0, AT, None, None) and state(after, 10)[0] == "dead" and state(after, 30)[0] == "dead"
+    docs = spark.createDataFrame([(1, 1, "failed"), (1, 2, "failed"), (2, 1, "failed")], "tenant_id long, document_id long, status string")
+    files = spark.createDataFrame([(1, 1, 7, "failed"), (1, 1, 8, "ready"), (2, 1, 9, "failed")], "tenant_id long, document_id long, file_id long, status string")
+    new_docs, new_files = queue.retried(jobs, asked, docs, files)
+    assert rows(new_docs, "tenant_id", "document_id", "status") == [(1, 1, "pending"), (1, 2, "failed"), (2, 1, "failed")]
+    assert rows(new_files, "file_id", "status") == [(7, "pending"), (8, "ready"), (9, "failed")]
+    assert rows(queue.dead_letters(jobs, docs.replace("failed", "pending")), "tenant_id", "document_id", "status") == [(1, 1, "failed"), (1, 2, "pending"), (2, 1, "pending")]
+    assert rows(queue.dead_letter_files(jobs, files.replace("failed", "pending")), "file_id", "status") == [(7, "failed"), (8, "ready"), (9, "pending")]
 
 
 def test_pages_are_merged_in_order(spark):
