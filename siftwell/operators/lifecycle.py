@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import schedule
+from ..sources.snapshots import Store
 
 
 def upsert_last(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -35,6 +36,22 @@ def ingest_snapshot(chunks: DataFrame, files: DataFrame, new_chunks: DataFrame,
     return after(files, new_files), after(chunks, new_chunks)
 
 
+INGEST_PARTS = 64
+
+
+def commit_ingest(store: Store, new_files: DataFrame, new_chunks: DataFrame, as_of: str, writer: str | None = None, batch: int | None = None) -> int:
+    """ingest_snapshot of a store's relations files and chunks as one commit: readers see both as they were or both as they are now. Only the parts that the documents lie in are read and
+    written; two ingests of one part are a Conflict for the later one; a writer's batch that is repeated changes nothing. Returns the number of the version."""
+    t = store.begin()
+    if writer is not None and batch is not None and t.base["writers"].get(writer, -1) >= batch:
+        return t.base["number"]
+    part = F.pmod(F.xxhash64("document_id"), F.lit(INGEST_PARTS)).cast("int")
+    parts = sorted(r["p"] for r in new_files.select(part.alias("p")).distinct().collect())  # INGEST_PARTS at most
+    old_files, old_chunks = (t.read(name, parts) if t.has(name) else new.limit(0) for name, new in (("files", new_files), ("chunks", new_chunks)))
+    files, chunks = ingest_snapshot(old_chunks, old_files, new_chunks, new_files, as_of)
+    return t.replace("files", files, part, parts).replace("chunks", chunks, part, parts).commit(writer, batch)
+
+
 def snapshot_version(versions: DataFrame, documents: DataFrame, tags: DataFrame, chunk_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(versions, documents) with the current state of documents written down under their version, unless it is there, and their version one up."""
     state = documents.join(tags, "document_id", "left").join(chunk_counts, "document_id", "left")
