@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources import shared
+
 MERGE_THRESHOLD = 0.85
-TILE = 16_384  # names or tags that one task holds as a matrix, about
+TILE_BYTES = 64 << 20  # bytes of vectors that one task holds as a matrix of either side, about
+TILE = 16_384  # and rows at most
+BLOCK = 2_048  # names of a tenant that one round settles
 GROUP = ["tenant_id", "width"]
 
 
-def nearest(names: DataFrame, tags: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
+def nearest(names: DataFrame, tags: DataFrame, threshold: float = MERGE_THRESHOLD, earlier: bool = False) -> DataFrame:
     """(name_id, tag_id, similarity): the tag of the same tenant with the greatest cosine similarity of threshold or more, the smaller id on ties.
     names: (tenant_id, name_id, embedding); tags: (tenant_id, tag_id, embedding), with whole numbers as ids. Vectors without length match nothing, and only vectors of one width meet.
+    With earlier, only tags whose id is smaller than the name's count.
 
-    A tenant's names and tags are dealt to the rows and columns of a grid with about TILE of either to a cell; a cell multiplies two matrices and hands on one tag
-    for each of its names. A tenant of any size is so many cells, and a name crosses the shuffle once for every TILE tags.
+    A tenant's names and tags are dealt to the rows and columns of a grid with about a tile of either to a cell; a cell multiplies two matrices and hands on one tag
+    for each of its names. A tenant of any size is so many cells, and a name crosses the shuffle once for every tile of tags.
     """
     left, right = _sized(names, "name_id"), _sized(tags, "tag_id")
     grid = _tiles(left, "n_rows").join(_tiles(right, "n_columns"), GROUP)
@@ -32,6 +38,8 @@ def nearest(names: DataFrame, tags: DataFrame, threshold: float = MERGE_THRESHOL
         found = []
         for at in range(0, len(name) if len(tag) else 0, 1024):
             sims = np.clip(a[at : at + 1024] @ b.T, -1, 1)
+            if earlier:
+                sims[tag[None, :] >= name[at : at + 1024, None]] = -2
             first = np.round(sims, 9).argmax(axis=1)  # the first of equal ones has the smallest id
             top = sims[np.arange(len(sims)), first]
             near = np.flatnonzero(top >= threshold)
@@ -50,7 +58,9 @@ def _sized(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
+    """How many tiles a group's vectors make, by their bytes."""
+    most = F.least(F.lit(TILE), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (8 * F.col("width")))))
+    return rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).select(*GROUP, F.ceil(F.col("n") / most).cast("int").alias(name))
 
 
 def _dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
@@ -71,43 +81,69 @@ def _units(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[fine], matrix[fine] / length[fine, None]
 
 
+def _settle(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Of a block of names in order: those that become tags, each unless an earlier one of the block is near it."""
+
+    def settled(block: pa.Table) -> pa.Table:
+        ids, units = _units(block)
+        open_, new = np.ones(len(ids), bool), []
+        for k in range(len(ids)):
+            if open_[k]:
+                new.append(ids[k])
+                open_[k + 1 :] &= np.clip(units[k + 1 :] @ units[k], -1, 1) < threshold
+        return pa.table({"id": pa.array(new, pa.int64())})
+
+    return settled
+
+
+def new_tags(names: DataFrame, threshold: float = MERGE_THRESHOLD, block: int | None = None) -> DataFrame:
+    """(id): which of the names (tenant_id, id, embedding), in order of id, become tags: those that no earlier tag of the tenant is near to.
+
+    In each round the first block of every tenant's open names is settled, by one task a tenant, and all other open names that are near a tag made there are no longer open; that
+    search is dealt out in tiles. A round takes at least a block of names from each tenant, and as many more as resemble them; no pair of names is ever written.
+    """
+    block = block or BLOCK
+    open_, made = _sized(names, "id"), []
+    while True:
+        order = W.partitionBy(*GROUP).orderBy("id")
+        first = shared.cut(open_.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= block).drop("nth"))
+        if first.isEmpty():
+            break
+        tags = shared.cut(first.groupBy(*GROUP).applyInArrow(_settle(threshold), "id long"))
+        made.append(tags)
+        last = first.groupBy(*GROUP).agg(F.max("id").alias("last"))
+        rest = open_.join(last, GROUP).where("id > last").drop("last")
+        near = nearest(rest.withColumnRenamed("id", "name_id"), first.join(tags, "id", "left_semi").withColumnRenamed("id", "tag_id"), threshold)
+        open_ = shared.cut(rest.join(near.select(F.col("name_id").alias("id")), "id", "left_anti"))
+    return reduce(DataFrame.unionByName, made) if made else names.select("id").limit(0)
+
+
 def canonicalize(names: DataFrame, tags: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
-    """(tenant_id, seq, name, tag, is_new): names (tenant_id, seq, name, embedding) in order of seq take a known tag's name by equality, then by similarity, or become
+    """(tenant_id, seq, name, tag, is_new): names (tenant_id, seq, name, embedding) in order of seq and name take a known tag's name by equality, then by similarity, or become
     tags themselves that later names can take. tags: (tenant_id, name, embedding).
 
-    The order within a tenant is part of the meaning, so a tenant's rows pass one task in order, batch by batch; only its tags are held.
+    Rows get numbers in that order by a range sort over all tenants, so one tenant may have any share of them. What a name is told depends on the set of tags before it only: the
+    names near no given tag are settled by new_tags, then every other name looks for the nearest tag with a smaller number. Similarities that agree to nine digits are ties, which the
+    earlier tag wins. Names without a usable vector match by equality only.
     """
-    rows = tags.select("tenant_id", F.lit(-1).cast("long").alias("seq"), "name", "embedding").unionByName(names.select("tenant_id", F.col("seq").cast("long"), "name", "embedding"))
-    schema = pa.schema([("tenant_id", pa.int64()), ("seq", pa.int64()), ("name", pa.string()), ("tag", pa.string()), ("is_new", pa.bool_())])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tenant, known, unit, labels = None, {}, [], []
-        for batch in batches:
-            out = []
-            for t, seq, name, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != tenant:
-                    tenant, known, unit, labels = t, {}, [], []
-                v = np.array(vector or [], np.float64)
-                size = np.linalg.norm(v)
-                v = v / size if size > 0 else None
-                tag = known.get(name)
-                if tag is None and seq >= 0 and v is not None and unit:
-                    sims = np.array([u @ v if len(u) == len(v) else -2 for u in unit])
-                    if sims.max() >= threshold:
-                        tag = labels[int(sims.argmax())]
-                new = tag is None
-                tag = name if new else tag
-                if new and v is not None:
-                    unit.append(v)
-                    labels.append(name)
-                known.setdefault(name, tag)
-                if seq >= 0:
-                    out.append((t, seq, name, tag, new))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)], schema=schema)
-
-    ordered = rows.repartition("tenant_id").sortWithinPartitions("tenant_id", "seq", "name")
-    return ordered.mapInArrow(walk, "tenant_id long, seq long, name string, tag string, is_new boolean")
+    given = tags.select("tenant_id", F.lit(-1).cast("long").alias("seq"), "name", "embedding").dropDuplicates(["tenant_id", "name"])
+    rows = given.unionByName(names.select("tenant_id", F.col("seq").cast("long"), "name", "embedding"))
+    numbered = shared.cut(rows.orderBy("tenant_id", "seq", "name").withColumn("id", F.monotonically_increasing_id()))
+    # Equal names of a tenant share the fate of their first.
+    firsts = numbered.groupBy("tenant_id", "name").agg(F.min("id").alias("id"))
+    heads = shared.cut(numbered.join(firsts.select("id"), "id", "left_semi"))
+    known, asked = heads.where("seq < 0"), heads.where("seq >= 0")
+    near_known = nearest(asked.withColumnRenamed("id", "name_id"), known.withColumnRenamed("id", "tag_id"), threshold).select(F.col("name_id").alias("id"))
+    usable = asked.where(F.exists("embedding", lambda v: v != 0))
+    new = new_tags(usable.join(near_known, "id", "left_anti").select("tenant_id", "id", "embedding"), threshold)
+    new = shared.cut(new.unionByName(asked.join(usable.select("id"), "id", "left_anti").select("id")))
+    settled = known.unionByName(heads.join(new, "id", "left_semi"))
+    taken = nearest(asked.join(new, "id", "left_anti").withColumnRenamed("id", "name_id"), settled.withColumnRenamed("id", "tag_id"), threshold, earlier=True)
+    told = settled.select(F.col("id").alias("head"), F.col("id").alias("to")).unionByName(taken.select(F.col("name_id").alias("head"), F.col("tag_id").alias("to")))
+    labelled = told.join(settled.select(F.col("id").alias("to"), F.col("name").alias("tag")), "to").join(new.select(F.col("id").alias("head"), F.lit(True).alias("fresh")), "head", "left")
+    fates = labelled.join(heads.select(F.col("id").alias("head"), "tenant_id", "name"), "head").select("tenant_id", "name", "head", "tag", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    asked_rows = numbered.where("seq >= 0").select("tenant_id", "seq", "name", "id")
+    return asked_rows.join(fates, ["tenant_id", "name"]).select("tenant_id", "seq", "name", "tag", (F.col("fresh") & (F.col("id") == F.col("head"))).alias("is_new"))
 
 
 def resolve_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:

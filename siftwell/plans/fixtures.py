@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, search
+from ..operators import chunking
+from ..operators.keyword_index import Index
+from ..operators.vector_index import VectorIndex
 from ..sources import shared
 
 AS_OF = "2024-01-31 00:00:00"
@@ -46,17 +48,53 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return split.withColumn("chunk_id", chunk_id)
 
 
-_INDEXES: dict[tuple[str, str], str] = {}  # keyword indexes that this session has written
+_BUILT: dict[tuple[str, str, str], str] = {}  # index folders that this session has written, by what they were made from
 
 
-def postings(spark: SparkSession, d: str) -> DataFrame:
-    """The keyword index of all chunks. The first search of a session writes it, later ones read it."""
-    place = (spark.sparkContext.applicationId, d)
-    if place not in _INDEXES:
-        path = f"{shared.folder(spark)}/postings-{uuid.uuid4().hex}"
-        search.write_index(chunks(spark, d), path)
-        _INDEXES[place] = path
-    return spark.read.parquet(_INDEXES[place])
+def _mark(spark: SparkSession, path: str) -> str:
+    """What a table consists of now: names, lengths and times of its files."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = fs.listFiles(there, True), []
+    while found.hasNext():
+        file = found.next()
+        files.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return str(sorted(files))
+
+
+def _folder(spark: SparkSession, d: str, table: str, kind: str) -> tuple[str, bool]:
+    """The folder of an index over a table as it is now, and whether it must be written first. It goes when the session ends."""
+    place = (spark.sparkContext.applicationId, kind, _mark(spark, f"{d}/{table}.parquet"))
+    if fresh := place not in _BUILT:
+        _BUILT[place] = f"{shared.folder(spark)}/{kind}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_BUILT[place])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _BUILT[place], fresh
+
+
+def write_keyword_index(spark: SparkSession, d: str) -> Index:
+    """A new keyword index of all chunks."""
+    index = Index(spark, f"{shared.folder(spark)}/keywords-{uuid.uuid4().hex}")
+    index.update(chunks(spark, d))
+    return index
+
+
+def keyword_index(spark: SparkSession, d: str) -> Index:
+    """The keyword index of all chunks. The first search writes it, later ones read it until the table changes."""
+    folder, fresh = _folder(spark, d, "documents", "keywords")
+    index = Index(spark, folder)
+    if fresh or not index.store.version()["number"]:
+        index.update(chunks(spark, d))
+    return index
+
+
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The vector index of all vectors, written by the first search."""
+    folder, fresh = _folder(spark, d, "embeddings", "vectors")
+    index = VectorIndex(spark, folder)
+    if fresh or not index.store.version()["number"]:
+        index.build(vectors(spark, d))
+    return index
 
 
 _CONT = "substr(hx, 2 * CAST({p} AS INTEGER) + 1, 1) IN ('8', '9', 'A', 'B')"

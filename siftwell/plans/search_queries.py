@@ -81,12 +81,32 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     asked = _both(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
-    return search.hybrid(fx.postings(spark, d), fx.vectors(spark, d), asked, TOP)
+    return search.hybrid(fx.keyword_index(spark, d), fx.vectors(spark, d), asked, TOP)
 
 
 @query(_sql(RANKED + f"bm25 WHERE rank <= {TOP}", fx.CHUNKS, fx.TEXT_QUERIES, _bm25("text_queries")))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(search.bm25(fx.postings(spark, d), fx.text_queries(spark, d), TOP))
+    return _ranked(search.bm25(fx.keyword_index(spark, d), fx.text_queries(spark, d), TOP))
+
+
+@query(_sql("SELECT count(*) AS chunks, CAST(sum(len(words)) AS BIGINT) AS words, (SELECT count(DISTINCT term) FROM (SELECT unnest(words) AS term FROM bag)) AS terms FROM bag", fx.CHUNKS, f"bag AS (SELECT regexp_extract_all(lower(content), {WORDS}) AS words FROM chunks)"))
+def write_keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """Writes a keyword index of all chunks and counts what is in it."""
+    t = fx.write_keyword_index(spark, d).store.begin()
+    whole = t.read("stats").agg(F.sum("n").alias("chunks"), F.sum("words").alias("words"))
+    return whole.crossJoin(t.read("blocks").agg(F.count_distinct("term").alias("terms")))
+
+
+CHANGED = """kept AS (SELECT document_id, chunk_id, CASE WHEN document_id % 5 = 1 THEN content || ' the and' ELSE content END AS content FROM chunks WHERE document_id % 7 <> 0)"""
+
+
+@query(_sql(RANKED + f"bm25 WHERE rank <= {TOP}", fx.CHUNKS, CHANGED, fx.TEXT_QUERIES, _bm25("text_queries", "kept")))
+def keyword_index_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """Searches an index after a seventh of the documents was removed and a fifth was written anew."""
+    index, chunks = fx.write_keyword_index(spark, d), fx.chunks(spark, d)
+    index.update(chunks.where("document_id % 5 = 1").withColumn("content", F.concat("content", F.lit(" the and"))))
+    index.update(remove=chunks.where("document_id % 7 = 0").select("chunk_id"))
+    return _ranked(index.search(fx.text_queries(spark, d), TOP))
 
 
 @query(_sql(RANKED + f"vec WHERE rank <= {TOP}", fx.VECTORS, fx.QUERY_VECTORS, _vec()))
@@ -94,6 +114,28 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(search.vector_arm(fx.vectors(spark, d), fx.query_vectors(spark, d), TOP))
 
 
+@query()
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search: the cells nearest to each query, candidates by their codes, exact scores."""
+    return _ranked(fx.vector_index(spark, d).search(fx.query_vectors(spark, d), TOP))
+
+
+@query(_sql(RANKED + f"vec WHERE rank <= {TOP}", fx.VECTORS, fx.QUERY_VECTORS, _vec()))
+def vector_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same search through all cells and with every row as a candidate: nothing is lost by the index itself."""
+    index = fx.vector_index(spark, d)
+    return _ranked(index.search(fx.query_vectors(spark, d), TOP, probes=1 << 30, depth=1 << 30))
+
+
+@query(_sql(f"SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS enough FROM vec WHERE rank <= {TOP}", fx.VECTORS, fx.QUERY_VECTORS, _vec()))
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate search finds nine tenths of the exact neighbours of all queries."""
+    exact = search.vector_arm(fx.vectors(spark, d), fx.query_vectors(spark, d), TOP).select("query_id", "chunk_id")
+    found = fx.vector_index(spark, d).search(fx.query_vectors(spark, d), TOP).select("query_id", "chunk_id", F.lit(True).alias("hit"))
+    told = exact.join(found, ["query_id", "chunk_id"], "left")
+    return told.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query(_sql(RANKED + "best_vec", fx.VECTORS, fx.QUERY_VECTORS, _vec(), _per_document("vec", "best_vec")))
 def best_chunk_per_doc(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(search.one_per_document(search.vector_arm(fx.vectors(spark, d), fx.query_vectors(spark, d), SEEN), TOP))
@@ -101,13 +143,13 @@ def best_chunk_per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_sql(RANKED + "rolled", fx.CHUNKS, fx.TEXT_QUERIES, _bm25("text_queries"), _per_document("bm25", "best_bm25"), "fused AS (SELECT query_id, document_id, chunk_id, 1.0::DOUBLE / rank AS score, rank FROM best_bm25)", _rolled("fused")))
 def keyword_degrade(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(search.keyword_only(fx.postings(spark, d), fx.text_queries(spark, d), TOP))
+    return _ranked(search.keyword_only(fx.keyword_index(spark, d), fx.text_queries(spark, d), TOP))
 
 
 @query(_sql(RANKED + "fused", fx.CHUNKS, *HYBRID[:-1]))
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     left = search.one_per_document(search.vector_arm(fx.vectors(spark, d), fx.query_vectors(spark, d), SEEN), TOP)
-    right = search.one_per_document(search.bm25(fx.postings(spark, d), fx.text_queries(spark, d), SEEN), TOP)
+    right = search.one_per_document(search.bm25(fx.keyword_index(spark, d), fx.text_queries(spark, d), SEEN), TOP)
     return _ranked(search.rrf(left, right))
 
 
@@ -132,7 +174,7 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     tagged = fx.document_tag_names(spark, d).join(tags, "name")
     picked = search.with_all_tags(docs, tagged, tags, ["en", "long", "no such tag"])
     asked = _both(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
-    return _ranked(search.hybrid(search.only_documents(fx.postings(spark, d), picked), search.only_documents(fx.vectors(spark, d), picked), asked, TOP))
+    return _ranked(search.hybrid(search.only_documents(fx.keyword_index(spark, d).postings(), picked), search.only_documents(fx.vectors(spark, d), picked), asked, TOP))
 
 
 RERANKED = f"""told AS (
@@ -167,7 +209,7 @@ SCORES = """scores AS (
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.one_per_document(search.bm25(fx.postings(spark, d), fx.items(spark, d), SEEN), TOP)
+    hits = search.one_per_document(search.bm25(fx.keyword_index(spark, d), fx.items(spark, d), SEEN), TOP)
     return evaluation.per_query(fx.expected(spark, d), hits)
 
 

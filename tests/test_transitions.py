@@ -142,17 +142,6 @@ def test_requests(spark):
     assert rows(search.embed_once(queries, embed), "query_id", "embedding") == [(1, [3.0]), (2, [3.0]), (3, [1.0])] and sorted(seen) == ["a b", "c"]
 
 
-def test_a_written_index_gives_what_the_chunks_give(spark, tmp_path):
-    words = ["red", "green", "blue", "Grün", "1st"]
-    chunks = spark.createDataFrame([(k // 2, k, " ".join(words[(k * j) % 5] for j in range(k % 7))) for k in range(40)] + [(99, 99, None)], "document_id long, chunk_id long, content string")
-    queries = spark.createDataFrame([(1, "red blue"), (2, "grün 'grün' 1st"), (3, " ")], "query_id long, text string")
-    search.write_index(chunks, str(tmp_path / "index"))
-    index = spark.read.parquet(str(tmp_path / "index"))
-    assert index.where("term = ''").count() == 41
-    got = rows(search.bm25(index, queries), "query_id", "chunk_id", "rank")
-    assert got == rows(search.bm25(search.postings(chunks), queries), "query_id", "chunk_id", "rank") and {q for q, *_ in got} == {1, 2}
-
-
 def test_nearest_tags_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(tagging, "TILE", 16)  # several cells a tenant
     rng = np.random.default_rng(3)
