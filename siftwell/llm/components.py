@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+STARS = 2  # rounds between two checkpoints
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node that has a link; component is the smallest node id that can be reached.
 
     links holds pairs of non-null integer ids in any direction, repeats and self-links included; an empty input gives an empty result.
@@ -26,7 +28,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        pairs = cut(_small_star(_large_star(pairs)))
+        for _ in range(STARS):
+            pairs = _small_star(_large_star(pairs))
+        pairs = cut(pairs)
         before, state = state, _mark(pairs)
         if state == before:
             break

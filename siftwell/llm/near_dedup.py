@@ -1,11 +1,11 @@
 """Near-duplicate documents: Golay keys propose pairs, shingle sets decide, and one document of each group stays.
 
-A link is a pair of texts whose fingerprints over the distinct words meet under a Golay key and differ in at most max_bits, and whose sets of
-five-word shingles have a cosine of at least the similarity. No such link is lost to the size of a group:
+A link is a pair of texts whose fingerprints over the distinct words meet under a Golay key and differ in at most max_bits, whose second fingerprints, by other hashes, differ in at most
+MORE_BITS, and whose sets of five-word shingles have a cosine of at least the similarity. That holds under every key, and no link is lost to the size of a group:
 
-* Under a key with up to CROWD texts all pairs within max_bits are listed whose second fingerprints, by other hashes, are within MORE_BITS too. They are verified a few a text at a time; pairs inside a component that is known by then need not be.
+* Under a key with up to CROWD texts all pairs within these bits are listed and verified at once.
 * Under a crowded key each text is first compared with the key's hub, the text that shares the most keys with others (the original, if the crowd
-  is one text with its edited copies). Of what the hubs leave apart, all pairs within max_bits are listed under keys with up to LISTED texts.
+  is one text with its edited copies). Of what the hubs leave apart, all pairs within the bits are listed under keys with up to LISTED texts.
 * Beyond that an exact set-similarity join lists them: shingles are ordered from rare to common in the crowd, and two sets can only reach the
   similarity if they share one of the first few (prefix filter, with the prefix as short as the other set's size allows). An edited copy
   that is unlike the hub has so many shingles of its own that these alone are its prefix, so it meets nothing but its own kind. The order
@@ -30,11 +30,7 @@ from .simhash import SEED, keyed, majority
 
 CROWD = 64  # texts under one key up to which all pairs are listed at once
 LISTED = 512  # texts under one key up to which all pairs are listed that the hubs leave apart
-ROUNDS = 2  # of hubs under crowded keys
-STEPS = 2  # of verification, each of one pair a text but the last
 MORE_BITS = 16  # that the second fingerprints of a listed pair may differ in: a text with 5 bits to its copy has as many again but for chance, unrelated texts have far more
-HUB_BITS = 16  # a hub may be so far: a text like it joins it whether or not the bits say so
-FEW_LINKS = 0.05  # share of links among a round's pairs from which another round is worth its cost
 SAMPLE = 128  # texts of a crowd, about, that tell which shingles are common in it
 CELLS = 256  # of the count sketch
 STEP = 1.05  # ratio of the sizes in one class of set sizes
@@ -146,23 +142,6 @@ def listed_pairs(members: DataFrame, max_bits: int) -> DataFrame:
     return lists.select(F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp"), F.col("m.more").alias("more"), F.col("m.c").alias("c")).mapInArrow(expand, "a long, b long").distinct()
 
 
-def linked(near: DataFrame, held: DataFrame, similarity: float, known: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
-    """(a, b): links that, with those known (whose components are parts), join the same components as all verified pairs of near. In each step a text has one of its open pairs verified; a last step verifies all
-    that are still open. Pairs inside a component can't change it and are left out."""
-    found = known
-    for k in range(STEPS):
-        if parts is not None:
-            near = _with_components(_with_components(near, parts, "c_a", "a"), parts, "c_b", "b").where("c_a != c_b").select("a", "b")
-        near = cut(near)
-        now = near if k == STEPS - 1 else cut(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        new = cut(verified(now, held, similarity))
-        found = new if found is None else found.unionByName(new)
-        if k < STEPS - 1:
-            near = near.join(now, ["a", "b"], "left_anti")
-            parts = cut(connected_components(found))
-    return found
-
-
 def _with_components(rows: DataFrame, parts: DataFrame | None, name: str = "c", rep: str = "rep") -> DataFrame:
     if parts is None:
         return rows.withColumn(name, F.col(rep))
@@ -170,38 +149,29 @@ def _with_components(rows: DataFrame, parts: DataFrame | None, name: str = "c",
     return rows.join(told, F.col(rep) == F.col("_node"), "left").withColumn(name, F.coalesce("_part", rep)).drop("_node", "_part")
 
 
-def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
-    """Links (a, b) that were found with the hubs of crowded keys, their components, and the pairs under these keys that are left to verify. crowd: (key, rep, fp, more, n)."""
+def _near(x: str, y: str, max_bits: int) -> Column:
+    """Whether both fingerprints of two rows are near. x, y: what stands before their columns' names."""
+    return (_bits(f"{x}fp", f"{y}fp") <= max_bits) & (_bits(f"{x}more", f"{y}more") <= MORE_BITS)
+
+
+def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of texts to the hubs of their crowded keys, and the pairs under these keys that are left to verify. crowd: (key, rep, fp, more, n)."""
     degree = crowd.groupBy("rep").agg(F.sum("n").alias("degree"))
     rows = cut(crowd.select("key", "rep", "fp", "more").join(degree, "rep"))
-    found = parts = hubs = tried = None
-    open_rows = rows
-    for _ in range(ROUNDS):
-        members = _with_components(open_rows, parts)
-        best = members.groupBy("key").agg(F.max(F.struct("degree", "rep", "fp", "c")).alias("hub"))  # a maximum is combined before the shuffle, so hot keys cost little
-        best = cut(best.select("key", F.col("hub.degree").alias("h_degree"), F.col("hub.rep").alias("hub"), F.col("hub.fp").alias("h_fp"), F.col("hub.c").alias("hub_c")))
-        hubs = best.select("key", "hub") if hubs is None else hubs
-        asked = members.join(best, "key").where((F.col("c") != F.col("hub_c")) & (_bits("fp", "h_fp") <= HUB_BITS)).groupBy("rep").agg(F.max(F.struct("h_degree", "hub")).alias("h"))
-        pairs = asked.select(*_pairs("rep", "h.hub")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        n = pairs.count()
-        if not n:
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(verified(pairs, held, similarity))
-        found = new if found is None else found.unionByName(new)
-        parts = cut(connected_components(found))
-        now = _with_components(_with_components(open_rows, parts).join(best.select("key", "hub"), "key"), parts, "hub_now", "hub")
-        open_rows = cut(now.where("c != hub_now").select("key", "rep", "fp", "degree"))
-        if new.count() < FEW_LINKS * n:
-            break
+    # A maximum is combined before the shuffle, so hot keys cost little.
+    best = rows.groupBy("key").agg(F.max(F.struct("degree", "rep", "fp", "more")).alias("hub"))
+    best = cut(best.select("key", F.col("hub.degree").alias("h_degree"), F.col("hub.rep").alias("hub"), F.col("hub.fp").alias("h_fp"), F.col("hub.more").alias("h_more")))
+    asked = rows.join(best, "key").where((F.col("rep") != F.col("hub")) & _near("", "h_", max_bits)).groupBy("rep").agg(F.max(F.struct("h_degree", "hub")).alias("h"))
+    tried = cut(asked.select(*_pairs("rep", "h.hub")).distinct())
+    found = cut(verified(tried, held, similarity))
+    parts = cut(connected_components(found))
     members = _with_components(rows, parts)
     left = cut(members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n"))
     rest = listed_pairs(members.join(left.where(F.col("n") <= LISTED).select("key"), "key"), max_bits)
     large = left.where(F.col("n") > LISTED).select("key")
-    if large.count():
-        rest = rest.unionByName(_prefix_pairs(rows.join(large, "key"), hubs, parts, held, max_bits, similarity)).distinct()
-    return found, parts, cut(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    if not large.isEmpty():
+        rest = rest.unionByName(_prefix_pairs(rows.join(large, "key"), best.select("key", "hub"), parts, held, max_bits, similarity))
+    return found, rest.join(tried, ["a", "b"], "left_anti")
 
 
 def _prefix_pairs(rows: DataFrame, hubs: DataFrame, parts: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> DataFrame:
@@ -210,7 +180,7 @@ def _prefix_pairs(rows: DataFrame, hubs: DataFrame, parts: DataFrame, held: Data
     The crowd of a key is the component of its hub. Texts of other components ask, all texts of the crowd answer.
     """
     told = _with_components(_with_components(rows.join(hubs, "key"), parts), parts, "crowd", "hub")
-    texts = cut(told.groupBy("crowd", "rep").agg(F.first("fp").alias("fp"), F.first("c").alias("c")).withColumn("asks", F.col("c") != F.col("crowd")))
+    texts = cut(told.groupBy("crowd", "rep").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("c").alias("c")).withColumn("asks", F.col("c") != F.col("crowd")))
     shape = texts.groupBy("crowd").agg(F.count(F.lit(1)).alias("texts"), F.max("asks").alias("open")).where("open").select("crowd", "texts")
     texts = texts.join(cut(shape), "crowd")
     sample = texts.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("texts") / SAMPLE)) == 0).select("crowd", "rep").join(held.select("rep", "bag"), "rep")
@@ -222,25 +192,25 @@ def _prefix_pairs(rows: DataFrame, hubs: DataFrame, parts: DataFrame, held: Data
     counts = sample.select("crowd", F.explode(shingles("bag")).alias("s")).groupBy("crowd", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     common = counts.groupBy("crowd").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("common"))
     asked = texts.join(held.select("rep", "bag"), "rep").join(common, "crowd", "left")
-    asked = asked.select("crowd", "rep", "fp", "c", "asks", "bag", F.coalesce(F.col("common.s"), F.array().cast("array<long>")).alias("s"), F.coalesce(F.col("common.n"), F.array().cast("array<long>")).alias("n"))
+    asked = asked.select("crowd", "rep", "fp", "more", "c", "asks", "bag", F.coalesce(F.col("common.s"), F.array().cast("array<long>")).alias("s"), F.coalesce(F.col("common.n"), F.array().cast("array<long>")).alias("n"))
 
-    names = ("crowd", "rep", "fp", "c", "s", "class")
+    names = ("crowd", "rep", "fp", "more", "c", "s", "class")
     schema = pa.schema([*((n, pa.int64()) for n in names), ("asks", pa.bool_())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = {n: batch.column(k) for k, n in enumerate(("crowd", "rep", "fp", "c", "asks", "bag", "s", "n"))}
+            column = {n: batch.column(k) for k, n in enumerate(("crowd", "rep", "fp", "more", "c", "asks", "bag", "s", "n"))}
             for i in range(batch.num_rows):
                 order = rare_first(np.frombuffer(column["bag"][i].as_py(), np.int64), *(column[n][i].values.to_numpy() for n in ("s", "n")))
                 for asks in (False, True) if column["asks"][i].as_py() else (False,):
                     where, classes = (asking if asks else answering)(order, similarity)
-                    ids = [pa.array(np.full(len(where), column[n][i].as_py(), np.int64)) for n in ("crowd", "rep", "fp", "c")]
+                    ids = [pa.array(np.full(len(where), column[n][i].as_py(), np.int64)) for n in ("crowd", "rep", "fp", "more", "c")]
                     yield pa.RecordBatch.from_arrays([*ids, pa.array(where), pa.array(classes), pa.array(np.full(len(where), asks))], schema=schema)
 
-    spread = cut(asked.mapInArrow(expand, "crowd long, rep long, fp long, c long, s long, class long, asks boolean"))
+    spread = cut(asked.mapInArrow(expand, "crowd long, rep long, fp long, more long, c long, s long, class long, asks boolean"))
     x, y = spread.where("asks").alias("x"), spread.where("not asks").alias("y")
     same = (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.class") == F.col("y.class"))
-    return x.join(y, same & (F.col("x.c") != F.col("y.c")) & (_bits("x.fp", "y.fp") <= max_bits)).select(*_pairs("x.rep", "y.rep")).distinct()
+    return x.join(y, same & (F.col("x.c") != F.col("y.c")) & _near("x.", "y.", max_bits)).select(*_pairs("x.rep", "y.rep")).distinct()
 
 
 def rare_first(bag: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -303,12 +273,11 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     crowd = cut(keys.join(sized_broadcast(hot, hot.count(), HOT_KEYS), "key"))
     ends = cut(near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct())
     held = cut(bags(docs, ends, text, key, shingle))
-    known = grown = None
-    if crowd.count():
-        known, grown, rest = crowded_links(crowd, held, max_bits, similarity)
-        near = near.unionByName(rest).distinct()
-    links = linked(near, held, similarity, known, grown)
-    parts = connected_components(links.unionByName(twins))
+    links = twins
+    if not crowd.isEmpty():
+        known, rest = crowded_links(crowd, held, max_bits, similarity)
+        near, links = cut(near.unionByName(rest).distinct()), links.unionByName(known)
+    parts = connected_components(links.unionByName(verified(near, held, similarity)))
     gone = free_name(docs, "gone")
     losers = parts.where("node != component").select(F.col("node").alias(gone)).distinct()
     return docs.join(losers.join(prints.select(F.col("doc_id").alias(gone)), gone, "left_semi"), docs[key].cast("long") == F.col(gone), "left_anti")
