@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..operators import export, lifecycle, limits, queue, routing, search, tagging
+from ..operators import alerts, export, lifecycle, limits, queue, routing, search, tagging
 from . import fixtures as fx
 from .registry import query
 
@@ -369,17 +370,37 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
     return fx.usage_events(spark, d).select(F.col("tenant_id").cast("string").alias("key"), F.col("created_at").alias("ts"), "event_id", F.col("role"), (F.col("value") / 100).alias("cost"), (F.col("role") != "code").alias("ok"))
 
 
-@query()
+CALLS = """calls AS MATERIALIZED (
+        SELECT CAST(tenant_id AS VARCHAR) AS key, event_id, epoch_us(created_at) / 1000000.0::DOUBLE AS s, value / 100 AS cost, role <> 'code' AS ok,
+               row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, event_id) AS nth
+        FROM usage
+    )"""
+
+
+def _walked(start: str, step: str, told: str) -> str:
+    """SQL that walks each key's calls one by one. step: a SELECT over w, the state so far, and e, the next call."""
+    return f"WITH RECURSIVE {fx.USAGE}, {CALLS}, walk AS (SELECT DISTINCT key, 0::BIGINT AS nth, -1::BIGINT AS event_id, {start} FROM calls UNION ALL {step}) SELECT key, event_id, {told} FROM walk WHERE nth > 0"
+
+
+@query(_walked("[]::DOUBLE[] AS passed, true AS allowed, 0::BIGINT AS retry_after", """
+    SELECT key, nth, event_id, CASE WHEN len(p) < 5 THEN list_append(p, s) ELSE p END, len(p) < 5, CASE WHEN len(p) < 5 THEN 0 ELSE greatest(1, CAST(trunc(3600 - (s - p[1])) AS BIGINT)) END
+    FROM (SELECT e.key, e.nth, e.event_id, e.s, list_filter(w.passed, lambda t: e.s - t < 3600) AS p FROM walk w JOIN calls e ON e.key = w.key AND e.nth = w.nth + 1)""", "allowed, retry_after"))
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return limits.sliding_log(_calls(spark, d), 5, 3600)
 
 
-@query()
+@query(_walked("10.0::DOUBLE AS have, NULL::DOUBLE AS last, true AS allowed, 0.0::DOUBLE AS left_", """
+    SELECT key, nth, event_id, CASE WHEN cost <= b THEN least(10.0::DOUBLE, b - cost) ELSE b END, s, cost <= b, round(CASE WHEN cost <= b THEN least(10.0::DOUBLE, b - cost) ELSE b END, 9)
+    FROM (SELECT e.*, least(10.0::DOUBLE, w.have + greatest(0.0::DOUBLE, e.s - coalesce(w.last, e.s)) * 0.001::DOUBLE) AS b FROM walk w JOIN calls e ON e.key = w.key AND e.nth = w.nth + 1)""", 'allowed, left_ AS "left"'))
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     return limits.token_bucket(_calls(spark, d), 10, 0.001)
 
 
-@query()
+@query(_walked("0::BIGINT AS failures, -1.0::DOUBLE AS until, '' AS state", """
+    SELECT e.key, e.nth, e.event_id, CASE WHEN e.s < w.until THEN w.failures WHEN e.ok THEN 0 ELSE w.failures + 1 END,
+           CASE WHEN e.s < w.until THEN w.until WHEN e.ok OR w.failures + 1 < 2 THEN -1.0::DOUBLE ELSE e.s + 600 END,
+           CASE WHEN e.s < w.until THEN 'open' WHEN e.ok OR w.failures + 1 < 2 THEN 'closed' ELSE 'open' END
+    FROM walk w JOIN calls e ON e.key = w.key AND e.nth = w.nth + 1""", "state, failures"))
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return limits.circuit_breaker(_calls(spark, d), 2, 600)
 
@@ -389,3 +410,62 @@ def tenant_shred(spark: SparkSession, d: str) -> DataFrame:
     """The documents that stay when tenant 1 goes; those of no tenant (2 stands for none here) are not its own."""
     rows = fx.documents(spark, d).select("document_id", F.nullif("tenant_id", F.lit(2)).alias("tenant_id"))
     return lifecycle.shred({"documents": rows}, 1)["documents"]
+
+
+def _counters(spark: SparkSession, d: str) -> DataFrame:
+    """A counter for each type of event and parity of user, which starts anew every day; (series, kind, ts, value)."""
+    e = fx.read(spark, d, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "event_id", F.col("event_type").alias("kind"), F.concat_ws(" ", "event_type", (F.col("user_id") % 2).cast("string")).alias("series"))
+    day = W.partitionBy("series", F.floor(F.col("ts") / 86400)).orderBy("ts", "event_id")
+    return e.withColumn("value", F.row_number().over(day).cast("double")).groupBy("series", "kind", "ts").agg(F.max("value").alias("value"))
+
+
+COUNTERS = """samples AS MATERIALIZED (
+        SELECT series, kind, ts, max(value) AS value FROM (
+            SELECT event_type || ' ' || user_id % 2 AS series, event_type AS kind, epoch_us(ts) / 1000000.0::DOUBLE AS ts, row_number() OVER (PARTITION BY event_type, user_id % 2, date_trunc('day', ts) ORDER BY ts, event_id)::DOUBLE AS value FROM events
+        ) GROUP BY ALL
+    )"""
+
+
+def _alert_sql(rule: alerts.Rule, step: int) -> str:
+    """The rule over all times of the grid, by a join of every time with the samples of its range."""
+    label = rule.by or "series"
+    scale = {"rate": f" / {rule.range_seconds}", "increase": ""}.get(rule.kind)
+    if scale is None:
+        values = f"SELECT {label} AS label, t, sum(v) AS value FROM (SELECT series, kind, t, arg_max(value, ts) AS v FROM met GROUP BY ALL) GROUP BY ALL"
+    else:
+        values = f"""SELECT {label} AS label, t, sum(grown * (span + least(CASE WHEN a >= 1.1 * mean THEN mean / 2 ELSE a END, CASE WHEN grown > 0 AND first >= 0 THEN span * first / grown ELSE 1e300 END)
+                   + CASE WHEN b >= 1.1 * mean THEN mean / 2 ELSE b END) / span{scale}) AS value
+            FROM (SELECT series, kind, t, arg_max(value, ts) - arg_min(value, ts) + coalesce(sum(before) FILTER (before_ts > t - {rule.range_seconds} AND value < before), 0) AS grown, arg_min(value, ts) AS first,
+                         max(ts) - min(ts) AS span, (max(ts) - min(ts)) / (count(*) - 1) AS mean, min(ts) - (t - {rule.range_seconds}) AS a, t - max(ts) AS b
+                  FROM met GROUP BY series, kind, t HAVING count(*) >= 2 AND max(ts) > min(ts)) GROUP BY ALL"""
+    return f"""
+        WITH {COUNTERS}, told AS (SELECT *, lag(value) OVER w AS before, lag(ts) OVER w AS before_ts FROM samples WINDOW w AS (PARTITION BY series ORDER BY ts)),
+        grid AS (SELECT unnest(range((SELECT min(ts)::BIGINT // {step} * {step} FROM samples), (SELECT max(ts)::BIGINT + {rule.range_seconds + step} FROM samples), {step})) AS t),
+        met AS (SELECT told.*, t FROM grid JOIN told ON told.ts > t - {rule.range_seconds} AND told.ts <= t), compared AS ({values}),
+        hot AS (SELECT *, t - {step} * row_number() OVER (PARTITION BY label ORDER BY t) AS run FROM compared WHERE value > {rule.above}),
+        since AS (SELECT *, min(t) OVER (PARTITION BY label, run) AS active_since FROM hot)
+        SELECT '{rule.name}' AS rule, label, t, round(value, 6) AS value, active_since, CASE WHEN t - active_since >= {rule.for_seconds} THEN 'firing' ELSE 'pending' END AS state FROM since"""
+
+
+ALERT_STEP = 1800
+RATE_RULE = alerts.Rule("RejectionSpike", "rate", 4 * 3600, 0.00025, 2 * 3600, "kind")
+INCREASE_RULE = alerts.Rule("ReapSpike", "increase", 6 * 3600, 2.0, 0)
+GAUGE_RULE = alerts.Rule("DepthHigh", "value", 2 * 3600, 4.0, 3600)
+
+
+@query(_alert_sql(RATE_RULE, ALERT_STEP))
+def alert_rate(spark: SparkSession, d: str) -> DataFrame:
+    """A rate summed over the series of a label, pending and firing."""
+    return alerts.alerts(_counters(spark, d), RATE_RULE, ALERT_STEP).withColumn("value", F.round("value", 6))
+
+
+@query(_alert_sql(INCREASE_RULE, ALERT_STEP))
+def alert_increase(spark: SparkSession, d: str) -> DataFrame:
+    """The increase of each counter over its resets, firing at once."""
+    return alerts.alerts(_counters(spark, d), INCREASE_RULE, ALERT_STEP).withColumn("value", F.round("value", 6))
+
+
+@query(_alert_sql(GAUGE_RULE, ALERT_STEP))
+def alert_gauge(spark: SparkSession, d: str) -> DataFrame:
+    """The newest value of each series against a bound."""
+    return alerts.alerts(_counters(spark, d), GAUGE_RULE, ALERT_STEP).withColumn("value", F.round("value", 6))
