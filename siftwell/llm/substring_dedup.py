@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, utf8
+from .common import free_name, sized_broadcast, utf8
 
 MASK_BITS = 2  # one word end in four is a cut
 LEAST_CHUNK, MOST_CHUNK = 12, 96  # bytes of the normalised text
@@ -82,19 +82,31 @@ def run_rows(text: bytes | None, run_words: int) -> Iterator[tuple[int, int, int
         held -= counts[first]
 
 
-RUN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("word", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
+RUN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("word", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
+
+
+IDS_BROADCAST = 500_000
+
+
+def named_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, text_id, text): every text under a name of its own. text_id is 0 for texts whose id stands at no other text, and a hash of the text for those of other ids and of null ids."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), utf8(text).alias("text"))
+    several = rows.groupBy(F.col("doc_id").alias("id")).agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo != hi or id is null").select("id")
+    marked = rows.join(sized_broadcast(several, several.count(), IDS_BROADCAST).withColumn("mixed", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return marked.select("doc_id", F.when(F.col("mixed"), F.col("hash")).otherwise(F.lit(0).cast("long")).alias("text_id"), "text")
 
 
 def runs(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """Every run of every row with a non-null id: doc_id, word, words, high, low."""
+    """Every run of every row: doc_id, text_id, word, words, high, low."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[int]] = [[] for _ in RUN_SCHEMA]
         for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, told, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for row in run_rows(body.as_py(), run_words):
                     columns[0].append(doc)
-                    for c, v in zip(columns[1:], row, strict=True):
+                    columns[1].append(told)
+                    for c, v in zip(columns[2:], row, strict=True):
                         c.append(v)
                     if len(columns[0]) >= 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUN_SCHEMA, strict=True)], schema=RUN_SCHEMA)
@@ -102,8 +114,7 @@ def runs(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: in
         if columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUN_SCHEMA, strict=True)], schema=RUN_SCHEMA)
 
-    spelled = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text"))
-    return spelled.mapInArrow(expand, "doc_id long, word int, words int, high long, low long")
+    return named_texts(docs, text, key).mapInArrow(expand, "doc_id long, text_id long, word int, words int, high long, low long")
 
 
 def sections(found: list[tuple[int, int, int, bool]]) -> list[dict]:
@@ -139,12 +150,12 @@ PASSAGE = "start: int, words: int, copies: long, first: boolean, run: int"
 
 
 def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """Repeated passages: doc_id, start and words (position and length in words), copies (fewest occurrences of a run in it), first (it stays here), run (words of
+    """Repeated passages: doc_id, text_id (0, or a hash of the text where the id alone doesn't name one), start and words (position and length in words), copies (fewest occurrences of a run in it), first (it stays here), run (words of
     the whole repeated stretch it is part of).
 
-    Null and empty texts and texts of fewer than run_words words have no runs; rows with a null id are left out; repeated rows repeat
-    their text and are reported under their one id, of which the text stays; an id with several texts is reported as one. Very long texts are cut a piece at a time, whole; the passages of one document are
-    put together in one row. Other columns are not looked at, whatever their names. An empty table gives an empty result.
+    Null and empty texts and texts of fewer than run_words words have no runs. An id with several texts is reported for each of them, and so are null ids, which come after all others; rows of
+    equal id and text are one text, which stays. Very long texts are cut a piece at a time, whole; the passages of one text are put together in one row. Other columns are not looked
+    at, whatever their names. An empty table gives an empty result.
     """
 
     @F.arrow_udf(f"array<struct<{PASSAGE}>>")
@@ -153,27 +164,32 @@ def passages(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words
         return pa.array([sections([(r["word"], r["words"], r["copies"], r["first"]) for r in found.as_py()]) for found in words], kind)
 
     every = runs(docs, text, key, run_words)
-    first = F.min(F.struct("doc_id", "word"))
-    seen = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("copies"), first.alias("at")).where("copies > 1")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_id", "word")
+    seen = every.groupBy("high", "low").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")).where("copies > 1")
     # The key of one side is spelled anew, so the join deals out both sides itself and Spark may split a digest that very many runs share.
     seen = seen.select(F.col("high").bitwiseXOR(F.lit(0).cast("long")).alias("s_high"), F.col("low").bitwiseXOR(F.lit(0).cast("long")).alias("s_low"), "copies", "at")
     hits = every.join(seen, (F.col("high") == F.col("s_high")) & (F.col("low") == F.col("s_low")))
-    hits = hits.select("doc_id", F.struct("word", "words", "copies", ((F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.word") == F.col("word"))).alias("first")).alias("run"))
-    return hits.groupBy("doc_id").agg(F.collect_list("run").alias("runs")).select("doc_id", F.inline(merged("runs")))
+    here = F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_id") == F.col("text_id")) & (F.col("at.word") == F.col("word"))
+    hits = hits.select("doc_id", "text_id", F.struct("word", "words", "copies", here.alias("first")).alias("run"))
+    # Rows that are repeated have the same runs: a set holds them once, in every task before the shuffle.
+    return hits.groupBy("doc_id", "text_id").agg(F.collect_set("run").alias("runs")).select("doc_id", "text_id", F.inline(merged("runs")))
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """One row for each document that holds a repeated passage: doc_id, n_passages, repeated_words, dropped_words, longest_run (words), spans (start, words, dropped)."""
+    """One row for each document that holds a repeated passage, for each such text if its id has several or is null: doc_id, n_passages, repeated_words, dropped_words, longest_run (words),
+    spans (start, words, dropped), text_id. Rows are taken as passages() says."""
     found = passages(docs, text, key, run_words)
     spans = F.array_sort(F.collect_list(F.struct("start", "words", (~F.col("first")).alias("dropped"))))
-    return found.groupBy("doc_id").agg(
+    told = found.groupBy("doc_id", "text_id").agg(
         F.count(F.lit(1)).alias("n_passages"), F.sum("words").alias("repeated_words"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("words"))).alias("dropped_words"), F.max("run").alias("longest_run"), spans.alias("spans")
     )
+    return told.select("doc_id", "n_passages", "repeated_words", "dropped_words", "longest_run", "spans", "text_id")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with the repeated passages cut out of the text wherever they don't stay. Words left over are joined by single spaces in changed texts; others stay as they were, as do all
-    other columns, whatever their names."""
+    """docs with the repeated passages cut out of the text wherever they don't stay. Words left over are joined by single spaces in changed texts; others stay as they were, null and empty ones
+    too, as do all other columns, whatever their names. Rows are taken as passages() says: a text is cut by its own passages, whatever else its id stands at; rows that are
+    repeated stay, with the same text each. Bytes that are no UTF-8 become replacement characters in changed texts. An empty table gives an empty result."""
 
     @F.arrow_udf("string")
     def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -189,7 +205,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", ru
             out.append(None if body is None else body.decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
-    doc, spans = free_name(docs, "doc"), free_name(docs, "spans")
-    marks = repeated(docs, text, key, run_words).where("dropped_words > 0").select(F.col("doc_id").alias(doc), F.col("spans").alias(spans))
-    joined = docs.join(marks, docs[key].cast("long") == F.col(doc), "left")
+    doc, name, spans = (free_name(docs, n) for n in ("doc", "name", "spans"))
+    marks = repeated(docs, text, key, run_words).where("dropped_words > 0").select(F.col("doc_id").alias(doc), F.col("text_id").alias(name), F.col("spans").alias(spans))
+    joined = docs.join(marks, docs[key].cast("long").eqNullSafe(F.col(doc)) & ((F.col(name) == 0) | (F.col(name) == F.xxhash64(docs[text]))), "left")
     return joined.select(*[F.when(F.col(spans).isNull(), docs[c]).otherwise(cut_out(utf8(docs[c]), F.col(spans))).alias(c) if c == text else docs[c] for c in docs.columns])

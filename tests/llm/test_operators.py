@@ -366,6 +366,55 @@ def test_repeated_passages(spark):
     assert left[0] == rows[0][1] and all(sum(d == k for d, _ in stays | goes) >= 40 and any(d == k for d, _ in goes) for k in (1, 2, 3))
 
 
+def word_runs(rows, n):
+    """Places (row, word) of words in runs of n words that stand at two places or more, over all rows with distinct (id, text)."""
+    places = defaultdict(set)
+    for k, (_, t) in enumerate(rows):
+        w = (t or "").lower().split()
+        for i in range(len(w) - n + 1):
+            places[tuple(w[i : i + n])].add((k, i))
+    return {(k, i + j) for p in places.values() if len(p) > 1 for k, i in p for j in range(n)}
+
+
+def test_ids_of_several_texts_and_null_ids_keep_their_own_words(spark):
+    rng = random.Random(21)
+    shared, alone = prose(rng, 80), prose(rng, 120)
+    rows = [(1, f"{shared} {prose(rng, 30)}"), (2, f"{prose(rng, 20)} {shared}"), (2, alone), (None, f"{prose(rng, 15)} {shared}"), (None, prose(rng, 90)), (3, prose(rng, 50)), (3, None), (3, "")]
+    rows += [(5, f"{shared} tail"), (5, f"{shared} tail")]  # a repeated row
+    df = docs(spark, rows)
+    found = substring_dedup.passages(df).collect()
+    assert {r.doc_id for r in found} == {1, 2, None, 5} and len({(r.doc_id, r.text_id) for r in found}) == 4
+    left = [(r.doc_id, r.text) for r in substring_dedup.without_repeats(df).collect()]
+    assert len(left) == len(rows)
+    kept = Counter(t for _, t in left)
+    assert kept[alone] == kept[rows[4][1]] == kept[rows[5][1]] == kept[""] == kept[None] == 1  # nothing is cut where nothing repeats
+    assert (1, rows[0][1]) in left  # the first occurrence stays
+    may_go = word_runs(list(dict.fromkeys(rows)), 1)
+    for (k, t), (j, u) in zip(sorted(rows, key=repr), sorted(left, key=repr), strict=True):
+        assert k == j and len((u or "").split()) <= len((t or "").split())
+    assert may_go and sum(len((t or "").split()) for _, t in left) < sum(len((t or "").split()) for _, t in rows) - 100
+
+
+def test_what_goes_stands_elsewhere_and_most_of_a_long_passage_goes(spark):
+    """Against all runs of words: nothing goes that isn't in a repeated run of RUN_WORDS words, and of long repeated passages most words of later copies go."""
+    rng = random.Random(22)
+    passages = [prose(rng, n) for n in (60, 120, 300)]
+    rows = [(k, " ".join(x for p in rng.sample(passages, rng.randrange(3)) for x in (prose(rng, rng.randrange(5, 60)), p)) + " " + prose(rng, 40)) for k in range(24)]
+    may = word_runs(rows, substring_dedup.RUN_WORDS)
+    gone = {(r.doc_id, r.start + j) for r in substring_dedup.passages(docs(spark, rows)).collect() if not r.first for j in range(r.words)}
+    assert gone <= may
+    first = {p: min(k for k, t in rows if p in t) for p in passages if any(p in t for _, t in rows)}
+    total = hit = 0
+    for p, k0 in first.items():
+        for k, t in rows:
+            if p in t and k != k0:
+                at = len(t[: t.index(p)].split())
+                here = range(at, at + len(p.split()))
+                total += len(here)
+                hit += sum((k, i) in gone for i in here)
+    assert total and hit >= 0.75 * total
+
+
 def test_chunks_that_recur_one_by_one_are_no_passage(spark):
     rng = random.Random(6)
     lines = [prose(rng, 12) for _ in range(30)]
