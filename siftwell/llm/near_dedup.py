@@ -30,7 +30,7 @@ from .simhash import SEED, keyed, majority
 
 CROWD = 64  # texts under one key up to which all pairs are listed at once
 LISTED = 512  # texts under one key up to which all pairs are listed that the hubs leave apart
-MORE_BITS = 16  # that the second fingerprints of a listed pair may differ in: a text with 5 bits to its copy has as many again but for chance, unrelated texts have far more
+MORE_BITS = 16  # that the second fingerprints may differ in: a text with some bits to its copy has as many again but for chance, unrelated texts have far more in one of the two
 SAMPLE = 128  # texts of a crowd, about, that tell which shingles are common in it
 CELLS = 256  # of the count sketch
 STEP = 1.05  # ratio of the sizes in one class of set sizes
@@ -250,7 +250,7 @@ def asking(order: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out), np.concatenate(classes)
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_bits: int = 10) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_bits: int = 16) -> DataFrame:
     """docs with one document left of each group of near-duplicates, the one with the smallest id. All columns as they were, whatever their names.
 
     Texts of the same words (A-Z lower-cased) in the same order are one text. Null and empty texts and texts without words are all kept, and so are rows with a
