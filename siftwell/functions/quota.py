@@ -59,3 +59,13 @@ def degraded(states: dict[str, Column]) -> Column:
     """Names of the subsystems that are down, joined by commas; null if none is."""
     names = F.array(*[F.when(down, F.lit(name)) for name, down in states.items()])
     return F.nullif(F.array_join(F.filter(names, lambda n: n.isNotNull()), ", "), F.lit(""))
+
+
+def upsell_message(plan: Column, upgrade: Column) -> Column:
+    """What a tenant at its limit is told, by the codes of its plan and of the next one; null if neither is known."""
+    more = F.lit(" for more capacity")
+    return (
+        F.when(plan.isNotNull() & upgrade.isNotNull(), F.concat(F.lit("Upgrade from "), plan, F.lit(" to "), upgrade, more))
+        .when(plan.isNotNull(), "Consider upgrading your plan for more capacity")
+        .when(upgrade.isNotNull(), F.concat(F.lit("Upgrade to "), upgrade, more))
+    )

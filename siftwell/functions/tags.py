@@ -43,6 +43,11 @@ def note_is_injection(note: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def clean_note(note: Column) -> Column:
+    """The note, or null where it reads like instructions: a note that tries to steer the tagger is left out."""
+    return F.when(~note_is_injection(note), note)
+
+
 def guard(tags: Column, note: Column) -> Column:
     """At most 20 tags; with a note, those go that are in capitals, hold an underscore, or hold or are held by a word that the note has in capitals."""
     words = F.filter(F.split(note, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(r"\p{L}") & w.rlike(r"^[\p{Lu}_0-9]+$") & (F.octet_length(w) >= 3))

@@ -196,6 +196,35 @@ def rough_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
+# The sections of an enriched prompt in their order.
+SECTIONS = ("USER TASK LIST", "USER DECISIONS", "RELEVANT PAST CONTEXT", "THREAD CONTINUITY")
+
+
+def pack_context(prompt: Column, tasks: Column, decisions: Column, context: Column, thread: Column, most_tokens: Column, percent: int = 85) -> Column:
+    """A prompt with its sections, those that aren't empty, before it. Where that is over the share of the window, every section has an equal part of the characters that are left beside the prompt; where
+    the prompt alone fills it, there are no sections."""
+    bodies = F.array(*[F.struct(F.lit(f"# [{name}]\n").alias("head"), F.coalesce(body, F.lit("")).alias("body")) for name, body in zip(SECTIONS, (tasks, decisions, context, thread), strict=True)])
+    sections = F.filter(bodies, lambda s: s["body"] != "")
+    budget = F.floor(most_tokens * (min(100, max(1, percent)) / 100)).cast("long")
+    tail = F.concat(F.lit("---\n\n"), prompt)
+
+    def block(p: Column, width: Column) -> Column:
+        return F.array_join(F.transform(p["some"], lambda s: F.concat(s["head"], F.left(s["body"], width), F.lit("\n\n"))), "")
+
+    def sized(some: Column) -> Column:
+        """The sections with the characters of the whole prompt, of the prompt alone, and of each section if they don't all fit."""
+        n = F.size(some)
+        whole = F.aggregate(some, F.length(prompt) + F.when(n > 0, 9).otherwise(0), lambda a, s: a + F.length(s["head"]) + F.length(s["body"]) + 2)
+        return F.struct(some.alias("some"), F.ceil(whole / 4).alias("whole"), F.ceil(F.length(tail) / 4).alias("own"), n.alias("n"))
+
+    def packed(p: Column) -> Column:
+        fits = p["whole"] <= budget
+        width = F.when(fits, F.lit(2**31 - 1).cast("long")).otherwise(F.call_function("div", (budget - p["own"]) * 4, F.greatest(p["n"], F.lit(1)).cast("long"))).cast("int")
+        return F.when((p["n"] == 0) | (~fits & (p["own"] >= budget)), prompt).otherwise(F.concat(F.when(fits, F.lit("---\n")).otherwise(""), block(p, width), tail))
+
+    return let(let(sections, sized), packed)
+
+
 def truncate_words(text: Column, most: int) -> Column:
     """Within most bytes, back to a word end where there is one, with an ellipsis if anything was cut."""
     head = truncate_bytes(text, most)

@@ -157,6 +157,16 @@ def merge(document_tags: DataFrame, source: int, target: int) -> DataFrame:
     return moved.groupBy("document_id", "tag_id").agg(F.max("source").alias("source"), F.max("locked").alias("locked"))
 
 
+def merge_tags(tags: DataFrame, aliases: DataFrame, document_tags: DataFrame, source: int, target: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tags, aliases, document_tags) after one tag was merged into another: its documents and aliases go over, its name becomes an alias, its row is gone. aliases: (alias, tag_id); an alias that the
+    target has already stays once. A tag merged into itself changes nothing."""
+    if source == target:
+        return tags, aliases, document_tags
+    own = tags.where(F.col("tag_id") == source).select(F.col("name").alias("alias"), F.lit(target).cast("long").alias("tag_id"))
+    moved = aliases.select("alias", F.when(F.col("tag_id") == source, target).otherwise(F.col("tag_id")).alias("tag_id"))
+    return tags.where(F.col("tag_id") != source), moved.unionByName(own).distinct(), merge(document_tags, source, target)
+
+
 def of_documents(document_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """(document_id, tags): sorted names."""
     return document_tags.join(tags.select("tag_id", "name"), "tag_id").groupBy("document_id").agg(F.array_sort(F.collect_set("name")).alias("tags"))

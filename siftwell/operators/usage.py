@@ -89,12 +89,11 @@ def quota_status(used: DataFrame, tenants: DataFrame, plans: DataFrame) -> DataF
     return full.select("tenant_id", cap.alias("cap"), u.cast("long").alias("used"), quota.usage_level(u, cap).alias("level"), quota.exceeds(cap, u, F.lit(1)).alias("exceeded"))
 
 
-def upsell(plans: DataFrame) -> DataFrame:
-    """(plan_id, next_plan): the cheapest plan that costs more; null at the top. Plans are a price list of a few rows, so a range over their prices does."""
-    higher = W.orderBy("price_cents", "plan_id")
-    prices = plans.select("price_cents", "plan_id").groupBy("price_cents").agg(F.min("plan_id").alias("plan"))
-    step = prices.withColumn("next_plan", F.lead("plan").over(W.orderBy("price_cents"))).select("price_cents", "next_plan")
-    return plans.join(step, "price_cents").select("plan_id", "next_plan")
+def upsell(plans: DataFrame, *groups: str) -> DataFrame:
+    """(*groups, plan_id, next_plan): the cheapest plan of the group that costs more, the smaller id of equal ones; null at the top. plans: (*groups, plan_id, price_cents)."""
+    prices = plans.groupBy(*groups, "price_cents").agg(F.min("plan_id").alias("plan"))
+    step = prices.withColumn("next_plan", F.lead("plan").over(W.partitionBy(*groups).orderBy("price_cents"))).select(*groups, "price_cents", "next_plan")
+    return plans.join(step, [*groups, "price_cents"]).select(*groups, "plan_id", "next_plan")
 
 
 def gate(stored: DataFrame, tenants: DataFrame, as_of: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import files, markup, notes, tags
 from ..functions import text as tx
 from ..operators import chat, chunking
+from ..sources import fetch
 from . import fixtures as fx
 from .registry import query
 
@@ -218,3 +219,36 @@ def path_class(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("doc_id") % 3
     path = F.when(at == 0, "note.md").when(at == 1, F.concat(F.coalesce("lang", F.lit("xx")), F.lit("/note.md"))).otherwise(F.concat(F.coalesce("source", F.lit("none")), F.lit("/team/note.md")))
     return fx.read(spark, d, "documents").select("doc_id", path.alias("path")).select("doc_id", "path", notes.path_class(F.col("path"), ("de", "src3")).alias("class"))
+
+
+@query(r"""
+    WITH t AS (
+        SELECT doc_id, split_part(text, chr(10), 1) AS prompt, CAST(floor((400 + doc_id % 5 * 300) * 0.85) AS BIGINT) AS budget,
+               list_filter([{'h': '# [USER TASK LIST]' || chr(10), 'b': CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 2000) ELSE '' END}, {'h': '# [RELEVANT PAST CONTEXT]' || chr(10), 'b': text},
+                            {'h': '# [THREAD CONTINUITY]' || chr(10), 'b': CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 400) ELSE '' END}], lambda x: x.b <> '') AS s
+        FROM documents
+    ), w AS (
+        SELECT *, '---' || chr(10) || array_to_string(list_transform(s, lambda x: x.h || x.b || chr(10) || chr(10)), '') || '---' || chr(10) || chr(10) || prompt AS whole, (length(prompt) + 5 + 3) // 4 AS own FROM t
+    ), p AS (
+        SELECT doc_id, CASE WHEN (length(whole) + 3) // 4 <= budget THEN whole WHEN own >= budget THEN prompt
+                            ELSE array_to_string(list_transform(s, lambda x: x.h || substr(x.b, 1, CAST((budget - own) * 4 // len(s) AS BIGINT)) || chr(10) || chr(10)), '') || '---' || chr(10) || chr(10) || prompt END AS packed FROM w
+    )
+    SELECT doc_id AS document_id, length(packed) AS n_chars, md5(packed) AS digest FROM p
+""")
+def context_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the context of their own first lines, in windows of several sizes."""
+    docs, k, text = fx.read(spark, d, "documents"), F.col("doc_id"), F.col("text")
+    packed = tx.pack_context(F.split_part("text", F.lit("\n"), F.lit(1)), F.when(k % 3 == 0, F.substring(text, 1, 2000)), F.lit(""), text, F.when(k % 2 == 0, F.substring(text, 1, 400)), 400 + k % 5 * 300)
+    return docs.select(k.alias("document_id"), packed.alias("p")).select("document_id", F.length("p").alias("n_chars"), F.md5(F.col("p").cast("binary")).alias("digest"))
+
+
+@query(r"""
+    WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN replace(url, 'https://', 'ftp://') WHEN 1 THEN replace(url, '://', '://me@') WHEN 2 THEN replace(url, '://', '://10.0.0.1/') WHEN 3 THEN 'http://localhost:80/' || page_id ELSE url END AS url FROM pages)
+    SELECT page_id, CASE WHEN NOT regexp_matches(url, '^(?i)https?://[^/?#]') THEN 'unsupported_scheme' WHEN contains(regexp_extract(url, '^(?i)https?://([^/?#]*)', 1), '@') THEN 'user_info'
+                         WHEN regexp_matches(url, '://(10\.0\.0\.1|localhost)[:/]') THEN 'internal_address' END AS error FROM u
+""")
+def source_url_check(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose URLs are refused before anything is asked for."""
+    k, url = F.col("page_id") % 6, F.col("url")
+    told = F.when(k == 0, F.replace(url, F.lit("https://"), F.lit("ftp://"))).when(k == 1, F.replace(url, F.lit("://"), F.lit("://me@"))).when(k == 2, F.replace(url, F.lit("://"), F.lit("://10.0.0.1/"))).when(k == 3, F.concat(F.lit("http://localhost:80/"), F.col("page_id").cast("string"))).otherwise(url)
+    return fx.read(spark, d, "pages").select("page_id", fetch.url_error(told).alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quota
+from ..functions import media, quota
 from ..operators import usage
 from ..streaming import usage_stream
 from . import fixtures as fx
@@ -77,9 +77,39 @@ def quota_status(spark: SparkSession, d: str) -> DataFrame:
     return usage.quota_status(used, fx.tenants(spark, d), fx.plans(spark))
 
 
-@query(_sql("SELECT CAST(p.plan_id AS BIGINT) AS plan_id, CAST(arg_min(q.plan_id, q.price_cents) AS BIGINT) AS next_plan FROM plans p LEFT JOIN plans q ON q.price_cents > p.price_cents GROUP BY p.plan_id", fx.PLANS))
+PRICED = "priced AS (SELECT p_brand AS brand, p_partkey AS plan_id, CAST(floor(p_retailprice) AS BIGINT) AS price_cents FROM part)"
+NEXT = "next AS (SELECT p.brand, p.plan_id, (SELECT q.plan_id FROM priced q WHERE q.brand = p.brand AND q.price_cents > p.price_cents ORDER BY q.price_cents, q.plan_id LIMIT 1) AS next_plan FROM priced p)"
+
+
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as price lists of plans, one for each brand."""
+    return fx.read(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("plan_id"), F.floor("p_retailprice").cast("long").alias("price_cents"))
+
+
+@query(_sql("SELECT brand, plan_id, next_plan FROM next", PRICED, NEXT))
 def upsell_plan(spark: SparkSession, d: str) -> DataFrame:
-    return usage.upsell(fx.plans(spark))
+    return usage.upsell(_priced(spark, d), "brand")
+
+
+@query(_sql("SELECT brand, plan_id, CASE WHEN plan_id % 5 <> 0 AND next_plan IS NOT NULL THEN 'Upgrade from p' || plan_id || ' to p' || next_plan || ' for more capacity' WHEN plan_id % 5 <> 0 THEN 'Consider upgrading your plan for more capacity' WHEN next_plan IS NOT NULL THEN 'Upgrade to p' || next_plan || ' for more capacity' END AS message FROM next", PRICED, NEXT))
+def upsell_message(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth plan's code is unknown."""
+    found = usage.upsell(_priced(spark, d), "brand")
+    own, after = (F.concat(F.lit("p"), F.col(c).cast("string")) for c in ("plan_id", "next_plan"))
+    return found.select("brand", "plan_id", quota.upsell_message(F.when(F.col("plan_id") % 5 != 0, own), after).alias("message"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber,
+           CASE WHEN l_linenumber = 7 THEN $$select='gt(scene,0.4)'$$ WHEN l_linenumber % 3 = 0 THEN $$select='gt(scene,0.4)'$$
+                WHEN l_linenumber % 3 = 1 THEN 'thumbnail=n=' || CAST(greatest(1, ceil(greatest(1, ceil(l_quantity * 25)) / (7 - l_linenumber))) AS BIGINT) ELSE 'fps=' || (7 - l_linenumber) || '/' || CAST(l_quantity AS BIGINT) END AS filter, 7 - l_linenumber AS frames
+    FROM lineitem
+""")
+def keyframe_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as videos: duration and rate, the duration only, or neither is known."""
+    line, k = fx.read(spark, d, "lineitem"), F.col("l_linenumber")
+    plan = media.keyframe_plan(F.when(k % 3 != 0, F.col("l_quantity")), F.when(k % 3 == 1, F.lit(25.0)), (7 - k))
+    return line.select("l_orderkey", "l_linenumber", F.inline(F.array(plan)))
 
 
 @query(_sql("""
