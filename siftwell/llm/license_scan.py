@@ -85,9 +85,10 @@ def _digest(text: str) -> Column:
 
 
 def blocks(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """(digest, template, label, start, length, share): for each different text and template the first block that holds most of the template, if it holds the threshold.
+    """(digest, template, label, start, length, share): every block of each different text that holds the threshold of a template.
 
-    digest is the MD5 of the text, start the block's first word and length its words. Null and empty texts hold nothing.
+    digest is the MD5 of the text, start the block's first word and length its words. Windows of the template's length that overlap are one block, told by the one that holds most, the first of
+    equal ones; the next block begins behind it. Null and empty texts hold nothing.
     """
     bags = [(k, set(t.split()), len(t.split()), label) for k, (t, label) in enumerate(templates)]
     order = token_order(docs, sorted(set().union(*(b for _, b, _, _ in bags))), text)
@@ -108,17 +109,24 @@ def blocks(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, s
     near = around.where(F.size(shared) - F.array_position(shared, F.col("token")) + 1 >= F.col("need"))
     held = F.transform(
         F.sequence("first", "last"),
-        lambda s: F.struct(F.size(F.array_intersect(F.col("t_tokens"), F.slice("around", s - F.col("first") + 1, F.col("length")))).alias("held"), (-s).alias("back")),
+        lambda s: F.struct(s.cast("int").alias("start"), F.size(F.array_intersect(F.col("t_tokens"), F.slice("around", s - F.col("first") + 1, F.col("length")))).alias("held")),
     )
-    best = near.groupBy("digest", "template", "label", "length").agg(F.max(F.array_max(held)).alias("best"), F.first(F.size("t_tokens")).alias("size"))
-    found = best.select("digest", "template", "label", (-F.col("best.back")).alias("start"), "length", (F.col("best.held") / F.col("size")).alias("share"))
-    return found.where(F.col("share") >= threshold - 1e-9)
+    enough = near.select("digest", "template", "label", "length", F.size("t_tokens").alias("size"), F.explode(F.filter(held, lambda h: h["held"] >= F.col("need"))).alias("h"))
+    windows = enough.groupBy("digest", "template", "label", "length", "size").agg(F.array_sort(F.collect_set("h")).alias("windows"))
+
+    def picked(kept: Column, h: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        apart = last.isNull() | (h["start"] >= last["start"] + F.col("length"))
+        return F.when(apart, F.concat(kept, F.array(h))).when(h["held"] > last["held"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(h))).otherwise(kept)
+
+    apart = F.aggregate("windows", F.array().cast("array<struct<start: int, held: int>>"), picked)
+    return windows.select("digest", "template", "label", "length", "size", F.inline(apart)).select("digest", "template", "label", "start", "length", (F.col("held") / F.col("size")).alias("share"))
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
     """docs without its text, with n_words, n_base, first_word, last_word, base_labels, labels, score, blocks (columns of these names are replaced, whatever their case).
 
-    blocks holds (label, start, length, share) of each template's best block; score is their largest share, or 1 where a base phrase stands. Null and empty texts
+    blocks holds (label, start, length, share) of every block of every template; score is their largest share, or 1 where a base phrase stands. Null and empty texts
     have no words and no labels. What is found depends on the text alone and is joined back by its digest, so repeated rows, equal ids and null ids are
     safe; any other column may have any name. Very long texts are split into words whole, one at a time. An empty table gives an empty result.
     """

@@ -536,6 +536,35 @@ def test_license_blocks_cross_lines_and_have_the_length_of_their_template(spark)
     assert (found[2].labels, found[2].score) == ("", 0.0) and (found[3].n_base, found[3].first_word, found[4].n_words) == (1, 1, 0)
 
 
+def test_every_license_block_is_found(spark):
+    """Against a walk over all windows: overlapping ones are one block, the next begins behind it."""
+    rng = random.Random(31)
+    template, label = license_scan.TEMPLATES[0]
+    grant = template.split()
+    bag, n = set(grant), len(grant)
+    short = [w for k, w in enumerate(grant) if k % 9]
+
+    def filler(k):
+        return [f"f{rng.randrange(999)}" for _ in range(k)]
+
+    rows = [(1, grant + filler(40) + grant), (2, grant + grant), (3, filler(7) + short + filler(3) + grant + filler(90) + short), (4, filler(200)), (5, grant[: n // 2]), (6, (grant + filler(2)) * 9)]
+    got = defaultdict(list)
+    for r in license_scan.scan(docs(spark, [(k, " ".join(w)) for k, w in rows])).collect():
+        got[r.doc_id] = sorted((b.start, round(b.share, 9)) for b in r.blocks or [] if b.label == label and b.length == n)
+    for k, w in rows:
+        want = []
+        for at in range(max(1, len(w) - n + 1)):
+            held = len(bag & set(w[at : at + n]))
+            if held < license_scan.CONTAINMENT * len(bag) - 1e-9:
+                continue
+            if not want or at >= want[-1][0] + n:
+                want.append((at, held))
+            elif held > want[-1][1]:
+                want[-1] = (at, held)
+        assert got[k] == [(at, round(held / len(bag), 9)) for at, held in want]
+    assert len(got[1]) == 2 and len(got[2]) == 2 and len(got[3]) == 3 and len(got[6]) == 9
+
+
 def test_equal_url_rules_of_both_kinds_block(spark):
     rules = url_filter.rule_table(spark, [("allow", "a.org", "/x"), ("block", "a.org", "/x")])
     (row,) = url_filter.judge(spark.createDataFrame([(1, "http://a.org/xy")], "page_id long, url string"), rules).collect()
