@@ -323,9 +323,14 @@ def retag(spark: SparkSession, d: str) -> DataFrame:
     return tagging.retag(rows, rows.where("document_id % 2 = 0").select("document_id", F.lit(9).alias("tag_id")).distinct())
 
 
-@query()
+@query(r"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    best AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / df), 9) DESC, term) AS nth FROM tf JOIN df USING (term))
+    SELECT doc_id AS document_id, string_agg(term, ',' ORDER BY nth) AS tags FROM best WHERE nth <= 5 GROUP BY doc_id
+""")
 def keyword_tags(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.keywords(fx.documents(spark, d))
+    return tagging.keywords(fx.documents(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
 
 @query(_sql("SELECT document_id FROM docs WHERE document_id IN (SELECT document_id FROM doc_tags WHERE name IN ('fr', 'short') GROUP BY 1 HAVING count(DISTINCT name) = 2)", fx.DOCUMENTS, fx.DOCUMENT_TAGS))
