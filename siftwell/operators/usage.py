@@ -84,7 +84,7 @@ def counts(documents: DataFrame, files: DataFrame, tags: DataFrame) -> DataFrame
 
 def quota_status(used: DataFrame, tenants: DataFrame, plans: DataFrame) -> DataFrame:
     """(tenant_id, cap, used, level, exceeded). used: (tenant_id, used); tenants: (tenant_id, plan_id, quota_override); plans: (plan_id, quota)."""
-    full = tenants.join(F.broadcast(plans.select("plan_id", "quota")), "plan_id", "left").join(used, "tenant_id", "left")
+    full = tenants.join(plans.select("plan_id", "quota"), "plan_id", "left").join(used, "tenant_id", "left")
     cap, u = quota.effective_quota(F.col("quota_override"), F.col("quota")), F.coalesce("used", F.lit(0))
     return full.select("tenant_id", cap.alias("cap"), u.cast("long").alias("used"), quota.usage_level(u, cap).alias("level"), quota.exceeds(cap, u, F.lit(1)).alias("exceeded"))
 
