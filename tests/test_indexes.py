@@ -105,6 +105,24 @@ def test_fewer_slots_are_read_for_fewer_hits_and_parts_are_pruned(spark, tmp_pat
     assert len({f.split("__part=")[1].split("/")[0] for f in blocks.inputFiles()}) == 1
 
 
+def test_a_scan_for_many_queries_finds_what_the_join_finds(spark, tmp_path, small, monkeypatch):
+    rng = random.Random(4)
+    rows = chunk_rows(rng, range(900)) + [(3000 + k, 3000 + k, "w0 w1 w2") for k in range(50)]  # the last ones tie
+    index = Index(spark, str(tmp_path / "i"))
+    queries = spark.createDataFrame([(k, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(6)))) for k in range(120)], "query_id long, text string")
+    monkeypatch.setattr(search, "SCAN_POSTINGS", 500)
+    monkeypatch.setattr(search, "SCAN_CELLS", 2_000)
+    index.update(frame(spark, rows))
+    flat, live = search.postings(frame(spark, rows)), [r for r in rows if r[1] % 7]
+    for passes in (4_000_000, 300):
+        monkeypatch.setattr(search, "PASS_ROWS", passes)
+        assert hits(index.search(queries, 7)) == [h for h in hits(search.bm25(flat, queries)) if h[1] <= 7]
+    assert "Join" not in index.search(queries, 7)._jdf.queryExecution().optimizedPlan().toString().replace("LeftSemi", "")
+    index.update(remove=frame(spark, rows).where("chunk_id % 7 = 0").select("chunk_id"))
+    for limit in (1, 60):
+        assert hits(index.search(queries, limit)) == [h for h in hits(search.bm25(search.postings(frame(spark, live)), queries)) if h[1] <= limit]
+
+
 def vectors_of(spark, x, extra=()):
     return spark.createDataFrame([(k // 5, k, v.tolist()) for k, v in enumerate(x)] + list(extra), "document_id long, chunk_id long, embedding array<double>")
 
