@@ -113,10 +113,12 @@ def test_a_scan_for_many_queries_finds_what_the_join_finds(spark, tmp_path, smal
     monkeypatch.setattr(search, "SCAN_POSTINGS", 500)
     monkeypatch.setattr(search, "SCAN_CELLS", 2_000)
     index.update(frame(spark, rows))
+    assert index.store._names("_work") == []
     flat, live = search.postings(frame(spark, rows)), [r for r in rows if r[1] % 7]
     for passes in (4_000_000, 300):
         monkeypatch.setattr(search, "PASS_ROWS", passes)
         assert hits(index.search(queries, 7)) == [h for h in hits(search.bm25(flat, queries)) if h[1] <= 7]
+    assert hits(search.bm25(flat, queries, 7)) == hits(index.search(queries, 7))
     assert "Join" not in index.search(queries, 7)._jdf.queryExecution().optimizedPlan().toString().replace("LeftSemi", "")
     index.update(remove=frame(spark, rows).where("chunk_id % 7 = 0").select("chunk_id"))
     for limit in (1, 60):
