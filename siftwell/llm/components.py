@@ -46,12 +46,13 @@ def _mark(pairs: DataFrame) -> tuple:
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """Each star step names its input twice and no more: a plan holds the whole tree of its steps, and a third or fourth mention makes it grow as a power with every step."""
+    both = pairs.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
+    """A node's link to its least neighbour stays, its other neighbours are linked to that one. pairs are distinct."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return pairs.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()

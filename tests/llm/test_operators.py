@@ -127,6 +127,16 @@ def test_crowded_keys_lose_no_link(spark):
         assert {r.component for r in found.collect()} == {0} and found.count() == len(points)
 
 
+def test_star_steps_name_their_input_twice(spark):
+    """Plans of several steps would else grow too large for the driver; a path of nodes and a hub still become one component each."""
+    rows = [(k + 1, k) for k in range(9)] + [(k, 20) for k in range(21, 30)]
+    pairs = spark.createDataFrame(rows, "u long, v long")
+    once = components._small_star(components._large_star(pairs))
+    assert once._jdf.queryExecution().analyzed().collectLeaves().size() <= 4
+    found = {r.node: r.component for r in components.connected_components(pairs, "u", "v").collect()}
+    assert found == {k: 0 if k < 10 else 20 for k in [*range(10), *range(20, 30)]}
+
+
 def test_near_duplicates_keep_one(spark):
     rng = random.Random(3)
     base = prose(rng, 400).split()
