@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vec
 from ..sources import shared
 from ..sources.snapshots import Store, Transaction
-from .search import top, vector_arm
+from .search import Best, top, vector_arm
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 128 << 20  # bounds of the sample that is fitted on the driver
 MOST_CELLS, CODES = 4_096, 256
 SUB_WIDTH = 4  # values of a vector that one byte of its code stands for
-CELL_ROWS = 50_000  # rows of a cell that one task scans; larger cells are sliced
+CELL_ROWS = 50_000  # rows of a cell that one task writes; larger cells are dealt to several
+TILE_ROWS, TILE_BYTES = 50_000, 32 << 20  # of cells that are scanned together, and bytes of their vectors or of a block of queries
+FOUND_ROWS = 1_500_000  # that a tile may find for a block of queries
 DEPTH = 40  # candidates that are compared exactly, times the limit
 TUNED_QUERIES, TUNED_LIMIT, TARGET = 200, 10, 0.95  # stored vectors that are searched exactly to choose the number of probes, their neighbours, the share of these that must lie in the cells
 
@@ -75,10 +77,11 @@ class Model:
 
     def estimates(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """(queries, rows) similarities of unit queries to the coded rows of a cell."""
-        out = np.repeat((q @ self.centroids[cell])[:, None], len(codes), 1)
-        for j, book in enumerate(self.books):
-            out += (q[:, self.ends[j] : self.ends[j + 1]] @ book.T)[:, codes[:, j]]
-        return out
+        return q @ self.decode(cell, codes).T
+
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for: their products with a query are the sums of its products with the codebooks' centres."""
+        return self.centroids[cell] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
 
 
 def _unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +165,7 @@ class VectorIndex:
         dealt = rows.join(F.broadcast(sizes), "cell").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / CELL_ROWS))).repartition("cell", "salt").sortWithinPartitions("cell", "chunk_id")
         put = t.replace if anew else t.append
         put("codes", dealt.select("document_id", "chunk_id", "cell", "code"), F.col("cell"), dealt=True)
-        put("vectors", dealt.select("chunk_id", "cell", "embedding"), F.col("cell"), dealt=True)
+        put("vectors", dealt.select("document_id", "chunk_id", "cell", "embedding"), F.col("cell"), dealt=True)
         put("sizes", sizes)
 
     def _model(self, t: Transaction) -> Model:
@@ -172,48 +175,96 @@ class VectorIndex:
             books.setdefault(r["sub"], []).append(r["centre"])
         return Model(centroids, [np.array(b) for _, b in sorted(books.items())])
 
+    def _tiles(self, t: Transaction, most: int) -> list[tuple[int, int, int]]:
+        """(cell, first, slices): the tiles, of most rows about, that hold a cell's rows. Small cells share one, large ones are sliced by the hash of the id."""
+        out, tile, held = [], 0, 0
+        for r in t.read("sizes").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect():  # MOST_CELLS at most
+            slices = -(-r["n"] // most)
+            if held and held + r["n"] > most:
+                tile, held = tile + 1, 0
+            out.append((r["cell"], tile, slices))
+            tile, held = (tile + slices, 0) if slices > 1 else (tile, held + r["n"])
+        return out
+
     def search(self, queries: DataFrame, limit: int, probes: int | None = None, depth: int | None = None) -> DataFrame:
         """query_id, document_id, chunk_id, score, rank: the limit best rows of each query (query_id, embedding) among the probes cells nearest to it, by default as many as tune chose. Scores
-        are exact cosines; what may be missing is a row of a cell that wasn't visited, or one that its code puts behind depth others."""
+        are exact cosines; what may be missing is a row of a cell that wasn't visited, or one that its code puts behind depth others. Where depth is no less than all rows, codes can't put any row
+        behind and the visited cells' vectors are compared at once.
+
+        Cells are scanned in tiles, each with the queries that visit one of its cells, in blocks; a tile hands on its best rows of each query. Tiles and blocks are of bounded size, so a task holds no more
+        whatever the number of rows and queries, and pairs of queries and rows are never written."""
         t = self.store.begin()
         model, depth = self._model(t), depth or DEPTH * limit
         cells, width = len(model.centroids), model.centroids.shape[1]
         probes = min(probes or t.read("probes").first()["probes"], cells)
-        schema = pa.schema([("query_id", pa.int64()), ("cell", pa.int32()), ("unit", pa.list_(pa.float64()))])
+        whole = depth >= (t.read("sizes").agg(F.sum("n").alias("n")).first()["n"] or 0)
+        most = max(1, min(TILE_ROWS, TILE_BYTES // (8 * width)))
+        keep = limit if whole else depth
+        blocks = max(1, -(-queries.count() // max(1, min(FOUND_ROWS // min(keep, most), TILE_BYTES // (8 * width)))))
+        tiles = self._tiles(t, most)
+        first, slices = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        for cell, at, n in tiles:
+            first[cell], slices[cell] = at, n
+        schema = pa.schema([("query_id", pa.int64()), ("tile", pa.int32()), ("visited", pa.list_(pa.int32())), ("unit", pa.list_(pa.float64()))])
 
         def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, q = _unit_rows(batch.column(1), width)
-                if len(rows):
-                    near = np.argsort(-(q @ model.centroids.T), axis=1, kind="stable")[:, :probes]
-                    at = np.repeat(np.arange(len(rows)), probes)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at])), pa.array(near.ravel(), pa.int32()), pa.array(list(q[at]), pa.list_(pa.float64()))], schema=schema)
+                for at in range(0, len(rows), 256):
+                    some = q[at : at + 256]
+                    near = np.sort(np.argsort(-(some @ model.centroids.T), axis=1, kind="stable")[:, :probes], axis=1)
+                    row, cell = np.repeat(np.arange(len(some)), probes), near.ravel()
+                    n = slices[cell]
+                    row, cell, nth = np.repeat(row, n), np.repeat(cell, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    if not len(row):
+                        continue
+                    tile = first[cell] + nth
+                    order = np.lexsort((cell, tile, row))
+                    row, cell, tile = row[order], cell[order], tile[order]
+                    begin = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(tile) != 0)])
+                    units = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1) * width, pa.int32()), pa.array(some[row[begin]].ravel()))
+                    visited = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)], pa.int32()), pa.array(cell, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at : at + 256][row[begin]])), pa.array(tile[begin], pa.int32()), visited, units], schema=schema)
 
         plain = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
-        asked = shared.cut(plain.mapInArrow(visits, "query_id long, cell int, unit array<double>"))
-        wanted = sorted(r["cell"] for r in asked.select("cell").distinct().collect())  # MOST_CELLS at most
-        slices = t.read("sizes").groupBy("cell").agg(F.ceil(F.sum("n") / CELL_ROWS).cast("int").alias("slices"))
-        mine = F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")
-        rows = t.read("codes", wanted).join(F.broadcast(slices), "cell").withColumn("slice", mine).drop("slices")
-        ask = asked.join(F.broadcast(slices), "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-
-        def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            found = []
-            if left.num_rows and right.num_rows:
-                chunk, doc, query = (c.to_numpy() for c in (left.column("chunk_id"), left.column("document_id"), right.column("query_id")))
-                codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(chunk), -1)
-                units = np.array(right.column("unit").to_pylist())
-                step = max(1, (8 << 20) // len(chunk))
-                for at in range(0, len(query), step):
-                    told = model.estimates(units[at : at + step], key[0].as_py(), codes)
-                    some = min(depth, len(chunk))
-                    first = np.argpartition(-told, some - 1, axis=1)[:, :some]
-                    found.append((np.repeat(query[at : at + step], some), doc[first].ravel(), chunk[first].ravel(), np.take_along_axis(told, first, 1).ravel()))
-            columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
-            return pa.table(columns, names=["query_id", "document_id", "chunk_id", "estimate"]).append_column("cell", pa.array(np.full(len(columns[0]), key[0].as_py()), pa.int32()))
-
-        met = rows.groupBy("cell", "slice").cogroup(ask.groupBy("cell", "slice")).applyInArrow(best, "query_id long, document_id long, chunk_id long, estimate double, cell int")
-        candidates = top(met, depth, [F.col("estimate").desc(), F.col("chunk_id")]).drop("rank", "estimate")
-        exact = candidates.join(t.read("vectors", wanted), ["cell", "chunk_id"]).join(plain.withColumnRenamed("embedding", "asked"), "query_id")
+        asked = shared.cut(plain.mapInArrow(visits, "query_id long, tile int, visited array<int>, unit array<double>"))
+        wanted = sorted(r["cell"] for r in asked.select(F.explode("visited").alias("cell")).distinct().collect())  # MOST_CELLS at most
+        where = F.broadcast(self.spark.createDataFrame(tiles, "cell int, first int, slices int"))
+        spot = (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("slices"))).cast("int").alias("tile")
+        block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        rows = t.read("vectors" if whole else "codes", wanted).join(where, "cell").select("document_id", "chunk_id", "cell", F.col("embedding" if whole else "code").alias("body"), spot, block)
+        ask = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+
+        def best(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.table([pa.array([], f) for f in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())], names=["query_id", "document_id", "chunk_id", "score", "cell"])
+            left = left.sort_by([("cell", "ascending"), ("chunk_id", "ascending")]).combine_chunks()
+            right = right.combine_chunks()
+            chunk, doc, cell, query = (t_.column(c).to_numpy() for t_, c in ((left, "chunk_id"), (left, "document_id"), (left, "cell"), (right, "query_id")))
+            visited = pa.concat_arrays(right.column("visited").chunks)
+            units = pa.concat_arrays(right.column("unit").chunks).flatten().to_numpy().reshape(-1, width)
+            asks, by = np.repeat(np.arange(len(query)), np.diff(visited.offsets.to_numpy())), visited.flatten().to_numpy()
+            asks, by = asks[order := np.argsort(by, kind="stable")], by[order]
+            body, found = pa.concat_arrays(left.column("body").chunks), Best(len(query), keep)
+            for c in np.unique(cell).tolist():
+                mine = asks[np.searchsorted(by, c) : np.searchsorted(by, c, "right")]
+                a, b = np.searchsorted(cell, c), np.searchsorted(cell, c, "right")
+                for at in range(a if len(mine) else b, b, 4096):
+                    part = slice(at, min(at + 4096, b))
+                    if whole:
+                        x = _unit_rows(body[part], width)[1]
+                    else:
+                        x = model.decode(c, np.frombuffer(b"".join(body[part].to_pylist()), np.uint8).reshape(part.stop - at, -1))
+                    found.offer(mine, units[mine], x, chunk[part], np.arange(part.start, part.stop))
+            q, score, chunk_, at = found.settle()
+            return pa.table([query[q], doc[at], chunk_, score, cell[at]], names=["query_id", "document_id", "chunk_id", "score", "cell"])
+
+        key = ["tile", "block"]
+        met = rows.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(best, "query_id long, document_id long, chunk_id long, score double, cell int")
+        order = [F.round("score", 9).desc(), F.col("chunk_id")]
+        if whole:
+            return top(met.drop("cell"), limit, order)
+        candidates = top(met, depth, [F.col("score").desc(), F.col("chunk_id")]).drop("rank", "score")
+        exact = candidates.join(t.read("vectors", wanted).drop("document_id"), ["cell", "chunk_id"]).join(plain.withColumnRenamed("embedding", "asked"), "query_id")
         scored = exact.select("query_id", "document_id", "chunk_id", vec.cosine_similarity(F.col("embedding"), F.col("asked")).alias("score"))
-        return top(scored, limit, [F.round("score", 9).desc(), F.col("chunk_id")])
+        return top(scored, limit, order)

@@ -165,6 +165,43 @@ def test_vector_index_against_the_exact_scan(spark, tmp_path, monkeypatch):
     assert len(one.read("codes", [3]).inputFiles()) < len(one.read("codes").inputFiles())
 
 
+def test_tiles_and_blocks_lose_no_row(spark, tmp_path, monkeypatch):
+    """Small tiles, sliced cells and blocks of few queries give what the exact scan gives, and a tile hands on no more than the limit for a query."""
+    monkeypatch.setattr("siftwell.operators.vector_index.TILE_ROWS", 60)
+    monkeypatch.setattr("siftwell.operators.vector_index.FOUND_ROWS", 100)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 150, 0)])
+    rows = vectors_of(spark, x, [])
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.build(rows, cells=9, sample_rows=400)
+    t = index.store.begin()
+    assert max(n for _, _, n in index._tiles(t, 60)) >= 3 and len({first for _, first, _ in index._tiles(t, 60)}) >= 4
+    queries = spark.createDataFrame([(k, x[k].tolist()) for k in range(0, 450, 9)], "query_id long, embedding array<double>")
+    want = hits(search.vector_arm(rows, queries, 10))
+    handed = []
+    monkeypatch.setattr("siftwell.operators.vector_index.top", lambda met, *a: (handed.append(met.count()), search.top(met, *a))[1])
+    assert hits(index.search(queries, 10, probes=1 << 30, depth=1 << 30)) == want
+    assert handed[0] <= 10 * 50 * 20  # before: every row for every query
+    assert hits(index.search(queries, 10, probes=1 << 30, depth=440)) == want  # by codes
+
+
+def test_best_rows_of_many_batches(monkeypatch):
+    monkeypatch.setattr(search, "SIM_CELLS", 70)
+    monkeypatch.setattr(search, "NEW_ROWS", 30)
+    rng = np.random.default_rng(5)
+    q, x = rng.integers(-2, 3, (7, 3)) + 0.5, rng.integers(-2, 3, (400, 3)) + 0.5  # many ties
+    q, x = q / np.linalg.norm(q, axis=1)[:, None], x / np.linalg.norm(x, axis=1)[:, None]
+    ids, best = rng.permutation(400), search.Best(7, 12)
+    for at in range(0, 400, 33):
+        best.offer(np.arange(7), q, x[at : at + 33], ids[at : at + 33], ids[at : at + 33])
+        assert len(best.held[0]) <= 7 * 12
+    query, score, chunk, document = best.settle()
+    sims = np.round(q @ x.T, 9)
+    for k in range(7):
+        want = ids[np.lexsort((ids, -sims[k]))[:12]]
+        assert chunk[query == k].tolist() == document[query == k].tolist() == want.tolist()
+
+
 def test_recall_on_the_test_table(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.floor(F.col("vec_id") / 5).alias("document_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     index = VectorIndex(spark, str(tmp_path / "v"))
