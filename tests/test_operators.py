@@ -1,6 +1,7 @@
 import gzip
 import io
 import math
+import random
 import tarfile
 import zipfile
 from collections import defaultdict, deque
@@ -55,6 +56,49 @@ def test_truncation(spark):
     assert value(spark, text.truncate_tokens(F.lit("abcdefgh"), 1)) == "abcd"
 
 
+def test_texts_are_cut_in_place(spark):
+    """Long texts reach Python in part, with the results for whole ones; the first and last lengths stand on both sides of that bound."""
+
+    def shrunk(t, attempt):
+        for _ in range(attempt if t else 0):
+            target, used = max(1, sum(map(text._cost, t)) // 1000 // 2), 0
+            for i, c in enumerate(t):
+                used += text._cost(c)
+                if used // 1000 >= target:
+                    t = t[:i]
+                    break
+        return t
+
+    def prefix(t, tokens):
+        left = tokens * 1000
+        for i, c in enumerate(t):
+            left -= text._cost(c)
+            if left < 0:
+                return t[:i]
+        return t
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab \n!é漢\U0001f600") if k % 3 else "x" for k in range(n)) for n in (0, 1, 3, 900, 1185, 1186, 1187, 9000)] + ["a\n\n" * 700, "é" * 245_000 + "a" * 4000, "x" + "漢" * 170_000]
+    whole = text.bound_head_and_tail
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "id long, t string")
+    got = rows.select("id", text.truncate_tokens(F.col("t"), 20).alias("a"), text.bound_text(F.col("t"), 20).alias("b"), *[text.shrink_for_context(F.col("t"), k).alias(f"s{k}") for k in (0, 1, 3)]).orderBy("id").collect()
+    for r, t in zip(got, texts, strict=False):
+        assert (r.a, r.b) == (prefix(t, 20), whole(t, 20)) and [r.s0, r.s1, r.s3] == [shrunk(t, k) for k in (0, 1, 3)]
+    assert list(got[-1])[1:] == [None] * 5
+
+
+def test_keywords_are_counted_in_their_rows(spark, monkeypatch):
+    rows = [(1, "Wolf wolf bear lynx the"), (2, "wolf bear bear"), (2, "bear hare HARE hare"), (None, "moose"), (None, "moose deer"), (3, ""), (4, None), (5, "wolf otter")]
+    docs = spark.createDataFrame(rows, "document_id long, text string")
+    want = {1: ["lynx", "wolf"], 2: ["hare", "bear"], None: ["moose", "deer"], 5: ["otter", "wolf"]}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(tagging, "TERMS_BROADCAST", most)
+        assert {r.document_id: r.tags for r in tagging.keywords(docs, 2).collect()} == want
+    monkeypatch.setattr(tagging, "TERMS_BROADCAST", 1_000_000)
+    plan = tagging.keywords(docs.where("document_id = 1"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("hashpartitioning") == 1  # before: all words of all documents were dealt out three times
+
+
 def test_highlight_escapes_first(spark):
     assert value(spark, text.highlight(F.lit("a <b> & Word"), F.lit("word"))) == "a &lt;b&gt; &amp; <mark>Word</mark>"
 
