@@ -17,6 +17,7 @@ MERGE_THRESHOLD = 0.85
 TILE_BYTES = 64 << 20  # bytes of vectors that one task holds as a matrix of either side, about
 TILE = 16_384  # and rows at most
 BLOCK = 2_048  # names of a tenant that one round settles
+TERMS_BROADCAST = 1_000_000  # terms with their counts that are broadcast
 GROUP = ["tenant_id", "width"]
 
 
@@ -193,11 +194,22 @@ def retag(document_tags: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def keywords(documents: DataFrame, most: int = 5) -> DataFrame:
-    """(document_id, tags): the terms with the largest tf-idf, the tagger that needs no model."""
-    words = documents.select("document_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("term"))
-    tf = words.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(document_id, tags): the terms with the largest tf-idf, the tagger that needs no model.
+
+    Words are counted in their row, as runs of the sorted words, and the best terms are told apart in the task that has the document. What is shuffled is a row for each term and task and most rows for
+    each document. Rows of one id are one document.
+    """
+    words = documents.select("document_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    again = shared.cut(documents.groupBy("document_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("document_id").alias("again")))
+    if not again.isEmpty():
+        same = F.col("document_id").eqNullSafe(F.col("again"))
+        whole = words.join(again, same, "left_semi").groupBy("document_id").agg(F.flatten(F.collect_list("w")).alias("w"))
+        words = words.join(again, same, "left_anti").unionByName(whole)
+    rows = words.select("document_id", F.array_sort("w").alias("w"))
+    rows = rows.withColumn("at", F.expr("filter(sequence(0, size(w)), i -> i = 0 OR i = size(w) OR w[i] != w[i - 1])"))  # a column of its own, as in a lambda function it would be computed for every word
+    tf = rows.select("document_id", F.inline(F.expr("transform(sequence(0, size(at) - 2), k -> struct(w[at[k]] AS term, at[k + 1] - at[k] AS tf))")))
+    df = shared.cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     total = documents.count()
-    scored = tf.join(df, "term").withColumn("score", F.col("tf") * F.log(F.lit(float(total + 1)) / F.col("df")))
+    scored = tf.join(F.broadcast(df) if df.count() <= TERMS_BROADCAST else df, "term").withColumn("score", F.col("tf") * F.log(F.lit(float(total + 1)) / F.col("df")))
     best = scored.withColumn("nth", F.row_number().over(W.partitionBy("document_id").orderBy(F.round("score", 9).desc(), "term"))).where(F.col("nth") <= most)
     return best.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("nth", "term"))).alias("t")).select("document_id", F.transform("t", lambda x: x["term"]).alias("tags"))
