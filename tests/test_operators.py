@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import files, markup, notes, quota, schedule, tags, text, vectors
 from siftwell.operators import chunking, lifecycle, limits, search, tagging
+from siftwell.plans import fixtures
 from siftwell.sources import catalog, uploads
 from siftwell.streaming import job_stream, usage_stream
 
@@ -249,3 +250,13 @@ def test_long_csv_cells_and_unknown_charsets():
     assert markup.csv_text('a,"' + "b" * 200_000 + '"') == "a " + "b" * 200_000
     told = uploads.parse_email(b"Subject: x\nContent-Type: text/plain; charset=no-such-set\n\nbody caf\xc3\xa9\n")
     assert told["plain"].strip() == "body café"
+
+
+def test_texts_stay_where_they_are_in_the_search_for_items(spark, sf):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fixtures.expected(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "hashpartitioning(doc_id" not in plan  # before: all documents with their texts were dealt out by id
