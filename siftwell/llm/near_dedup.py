@@ -3,20 +3,20 @@
 A link is a pair of texts whose fingerprints over the distinct words meet under a Golay key and differ in at most max_bits, whose second fingerprints, by other hashes, differ in at most
 MORE_BITS, and whose sets of five-word shingles have a cosine of at least the similarity. That holds under every key, and no link is lost to the size of a group:
 
-* Under a key with up to CROWD texts all pairs within these bits are listed and verified at once.
+* Under a key with up to CROWD texts all pairs within these bits are listed and verified at once, unless they are more than DENSE for each text: such a key counts as crowded.
 * Under a crowded key each text is first compared with the key's hub, the text that shares the most keys with others (the original, if the crowd
-  is one text with its edited copies). Of what the hubs leave apart, all pairs within the bits are listed under keys with up to LISTED texts.
-* Beyond that an exact set-similarity join lists them: shingles are ordered from rare to common in the crowd, and two sets can only reach the
-  similarity if they share one of the first few (prefix filter, with the prefix as short as the other set's size allows). An edited copy
-  that is unlike the hub has so many shingles of its own that these alone are its prefix, so it meets nothing but its own kind. The order
-  comes from a sample of the crowd; any order gives the same links.
+  is one text with its edited copies). Of what the hubs leave apart, all pairs within the bits are listed under keys with up to LISTED texts, again unless they are more than DENSE for each text.
+* What is left goes through an exact set-similarity join: shingles are ordered from rare to common, and two sets can only reach the similarity if
+  they share one of the first few (prefix filter, with the prefix as short as the other set's size allows), with enough shingles after the first that they
+  share (positional filter, by both sizes). An edited copy that is unlike the hub has so many shingles of its own that these alone are its prefix, and shingles
+  of one text only are never written, so it meets nothing but its own kind. Texts in this join need not share a key to be linked.
 
 Candidates are cut down by set sizes and by a 256-cell count sketch, both upper bounds of the overlap, before any shingles are fetched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,11 @@ from .components import connected_components
 from .simhash import SEED, keyed, majority
 
 CROWD = 64  # texts under one key up to which all pairs are listed at once
-LISTED = 512  # texts under one key up to which all pairs are listed that the hubs leave apart
+LISTED = 4096  # texts under one key up to which all pairs are listed that the hubs leave apart
 MORE_BITS = 16  # that the second fingerprints may differ in: a text with some bits to its copy has as many again but for chance, unrelated texts have far more in one of the two
-SAMPLE = 128  # texts of a crowd, about, that tell which shingles are common in it
+CELL = 1 << 20  # comparisons at a time
+DENSE = 4  # near pairs for each text of a key up to which they are listed: a list grows with the texts under the key, not with their square
+SHARED = 200_000  # shingles of several texts that are broadcast
 CELLS = 256  # of the count sketch
 STEP = 1.05  # ratio of the sizes in one class of set sizes
 SMALL_ENDS = 1_000_000  # ids that are broadcast, so that the texts needn't be dealt out
@@ -120,26 +122,47 @@ def _bits(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
-def listed_pairs(members: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): all pairs of different components within max_bits that meet under a key. members: (key, rep, fp, more, c), not more than LISTED for a key."""
+def listed_pairs(members: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): all pairs of different components within max_bits that meet under a key; and (key): the keys with more than DENSE of them for each text, whose pairs are not among these.
+    members: (key, rep, fp, more, c), not more than LISTED for a key."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def near_places(fp: np.ndarray, more: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of keys with n texts each, a row a key: which are dense, and key, place and place of the near pairs of the others."""
+        keys, n = fp.shape
+        height, count, found = max(1, CELL // (keys * n)), np.zeros(keys, np.int64), []
+        for lo in range(0, n, height):
+            x, y = (slice(None), slice(lo, lo + height), None), (slice(None), None, slice(lo, None))
+            near = (np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= max_bits) & (c[x] != c[y])
+            near &= np.bitwise_count((more[x] ^ more[y]).view(np.uint64)) <= MORE_BITS
+            k, i, j = np.nonzero(np.triu(near, 1))
+            count += np.bincount(k, minlength=keys)
+            left = count[k] <= DENSE * n
+            found.append((k[left], i[left] + lo, j[left] + lo))
+            if (count > DENSE * n).all():
+                break
+        k, i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+        left = count[k] <= DENSE * n
+        return count > DENSE * n, k[left], i[left], j[left]
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(0).to_numpy()
+            sizes = batch.column(1).to_numpy()
             for n in np.unique(sizes).tolist():
-                same, step = np.flatnonzero(sizes == n), max(1, (1 << 20) // (n * n))
-                i, j = np.triu_indices(n, 1)
+                same, step = np.flatnonzero(sizes == n), max(1, CELL // (n * n))
                 for at in range(0, len(same), step):
                     part = batch.take(pa.array(same[at : at + step]))
-                    rep, fp, more, c = (part.column(k).flatten().to_numpy().reshape(-1, n) for k in (1, 2, 3, 4))
-                    near = (np.bitwise_count((fp[:, i] ^ fp[:, j]).view(np.uint64)) <= max_bits) & (c[:, i] != c[:, j])
-                    near &= np.bitwise_count((more[:, i] ^ more[:, j]).view(np.uint64)) <= MORE_BITS
-                    a, b = rep[:, i][near], rep[:, j][near]
+                    rep, fp, more, c = (part.column(k).flatten().to_numpy().reshape(-1, n) for k in (2, 3, 4, 5))
+                    dense, k, i, j = near_places(fp, more, c)
+                    a, b = rep[k, i], rep[k, j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                    if dense.any():
+                        yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(dense)), pa.nulls(int(dense.sum()), pa.int64())], schema=schema)
 
     lists = members.groupBy("key").agg(F.collect_list(F.struct("rep", "fp", "more", "c")).alias("m"))
-    return lists.select(F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp"), F.col("m.more").alias("more"), F.col("m.c").alias("c")).mapInArrow(expand, "a long, b long").distinct()
+    lists = lists.select("key", F.size("m").alias("n"), F.col("m.rep").alias("rep"), F.col("m.fp").alias("fp"), F.col("m.more").alias("more"), F.col("m.c").alias("c"))
+    told = cut(lists.mapInArrow(expand, "a long, b long").distinct())  # a key stands in a, without b
+    return told.where("b is not null"), told.where("b is null").select(F.col("a").alias("key"))
 
 
 def _with_components(rows: DataFrame, parts: DataFrame | None, name: str = "c", rep: str = "rep") -> DataFrame:
@@ -154,8 +177,15 @@ def _near(x: str, y: str, max_bits: int) -> Column:
     return (_bits(f"{x}fp", f"{y}fp") <= max_bits) & (_bits(f"{x}more", f"{y}more") <= MORE_BITS)
 
 
-def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of texts to the hubs of their crowded keys, and the pairs under these keys that are left to verify. crowd: (key, rep, fp, more, n)."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+
+
+def crowded_links(crowd: DataFrame, near: DataFrame, fetch: Callable[[DataFrame], DataFrame], max_bits: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of texts to the hubs of their crowded keys; the pairs that are left to verify, those of near among them; and the bags of all their documents.
+
+    crowd: (key, rep, fp, more, n). fetch: gives the bags of documents (rep); only those of texts that meet a near one are asked for, as a crowded key also holds many that don't.
+    """
     degree = crowd.groupBy("rep").agg(F.sum("n").alias("degree"))
     rows = cut(crowd.select("key", "rep", "fp", "more").join(degree, "rep"))
     # A maximum is combined before the shuffle, so hot keys cost little.
@@ -163,88 +193,88 @@ def crowded_links(crowd: DataFrame, held: DataFrame, max_bits: int, similarity:
     best = cut(best.select("key", F.col("hub.degree").alias("h_degree"), F.col("hub.rep").alias("hub"), F.col("hub.fp").alias("h_fp"), F.col("hub.more").alias("h_more")))
     asked = rows.join(best, "key").where((F.col("rep") != F.col("hub")) & _near("", "h_", max_bits)).groupBy("rep").agg(F.max(F.struct("h_degree", "hub")).alias("h"))
     tried = cut(asked.select(*_pairs("rep", "h.hub")).distinct())
+    held = fetch(_ends(tried.unionByName(near)))
     found = cut(verified(tried, held, similarity))
     parts = cut(connected_components(found))
-    members = _with_components(rows, parts)
+    members = cut(_with_components(rows, parts))
     left = cut(members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n"))
-    rest = listed_pairs(members.join(left.where(F.col("n") <= LISTED).select("key"), "key"), max_bits)
-    large = left.where(F.col("n") > LISTED).select("key")
-    if not large.isEmpty():
-        rest = rest.unionByName(_prefix_pairs(rows.join(large, "key"), best.select("key", "hub"), parts, held, max_bits, similarity))
-    return found, rest.join(tried, ["a", "b"], "left_anti")
+    rest, dense = listed_pairs(members.join(left.where(F.col("n") <= LISTED).select("key"), "key"), max_bits)
+    large = left.where(F.col("n") > LISTED).select("key").unionByName(dense)
+    texts = cut(members.join(large, "key").groupBy("rep").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("c").alias("c")))
+    asked = texts.select("rep").unionByName(_ends(rest)).distinct()
+    held = held.unionByName(fetch(asked.join(held.select("rep"), "rep", "left_anti")))
+    if not texts.isEmpty():
+        rest = rest.unionByName(prefix_pairs(texts, held, max_bits, similarity))
+    open_near = _with_components(_with_components(near, parts, "c_a", "a"), parts, "c_b", "b").where("c_a != c_b").select("a", "b")
+    return found, open_near.unionByName(rest).distinct().join(tried, ["a", "b"], "left_anti"), held
 
 
-def _prefix_pairs(rows: DataFrame, hubs: DataFrame, parts: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs within max_bits, of two components, that meet in a crowd and share a shingle of both prefixes.
+def prefix_pairs(texts: DataFrame, held: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs of two components within max_bits that share a shingle of both prefixes with enough shingles after it. No pair of that similarity is missed.
 
-    The crowd of a key is the component of its hub. Texts of other components ask, all texts of the crowd answer.
+    texts: (rep, fp, more, c). Of the texts that hold a shingle, those of its main component only answer and the others ask and answer, so two of one component seldom meet.
     """
-    told = _with_components(_with_components(rows.join(hubs, "key"), parts), parts, "crowd", "hub")
-    texts = cut(told.groupBy("crowd", "rep").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("c").alias("c")).withColumn("asks", F.col("c") != F.col("crowd")))
-    shape = texts.groupBy("crowd").agg(F.count(F.lit(1)).alias("texts"), F.max("asks").alias("open")).where("open").select("crowd", "texts")
-    texts = texts.join(cut(shape), "crowd")
-    sample = texts.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("texts") / SAMPLE)) == 0).select("crowd", "rep").join(held.select("rep", "bag"), "rep")
+    weights = texts.groupBy("c").agg(F.count(F.lit(1)).alias("weight"))
+    texts = cut(texts.join(weights, "c"))
+    texts = cut(held.select("rep", F.col("n").alias("size"), "bag").join(sized_broadcast(texts, texts.count(), SMALL_ENDS), "rep"))
 
     @F.arrow_udf("array<long>")
     def shingles(found: pa.Array) -> pa.Array:
         return pa.array([np.frombuffer(b.as_py(), np.int64) for b in found], pa.list_(pa.int64()))
 
-    counts = sample.select("crowd", F.explode(shingles("bag")).alias("s")).groupBy("crowd", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    common = counts.groupBy("crowd").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("common"))
-    asked = texts.join(held.select("rep", "bag"), "rep").join(common, "crowd", "left")
-    asked = asked.select("crowd", "rep", "fp", "more", "c", "asks", "bag", F.coalesce(F.col("common.s"), F.array().cast("array<long>")).alias("s"), F.coalesce(F.col("common.n"), F.array().cast("array<long>")).alias("n"))
+    each = texts.select("rep", "c", "weight", F.explode(shingles("bag")).alias("s"))
+    # The main component of a shingle is the largest of those that hold it.
+    some = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "c")).alias("main"), F.min(F.struct("weight", "c")).alias("least")).where("n > 1")
+    shared = cut(some.select("s", "n", F.col("main.c").alias("main"), (F.col("main") != F.col("least")).alias("open")))
+    told = each.select("rep", "s").join(sized_broadcast(shared, shared.count(), SHARED), "s").groupBy("rep").agg(F.collect_list(F.struct("s", "n", "main", "open")).alias("m"))
+    told = texts.drop("bag").join(told, "rep").select("rep", "fp", "more", "c", "size", F.col("m.s").alias("s"), F.col("m.n").alias("n"), F.col("m.main").alias("main"), F.col("m.open").alias("open"))
 
-    names = ("crowd", "rep", "fp", "more", "c", "s", "class")
+    names = ("rep", "fp", "more", "c", "size", "s", "place", "class")
     schema = pa.schema([*((n, pa.int64()) for n in names), ("asks", pa.bool_())])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = {n: batch.column(k) for k, n in enumerate(("crowd", "rep", "fp", "more", "c", "asks", "bag", "s", "n"))}
+            column = {n: batch.column(k) for k, n in enumerate(("rep", "fp", "more", "c", "size", "s", "n", "main", "open"))}
             for i in range(batch.num_rows):
-                order = rare_first(np.frombuffer(column["bag"][i].as_py(), np.int64), *(column[n][i].values.to_numpy() for n in ("s", "n")))
-                for asks in (False, True) if column["asks"][i].as_py() else (False,):
-                    where, classes = (asking if asks else answering)(order, similarity)
-                    ids = [pa.array(np.full(len(where), column[n][i].as_py(), np.int64)) for n in ("crowd", "rep", "fp", "more", "c")]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(where), pa.array(classes), pa.array(np.full(len(where), asks))], schema=schema)
-
-    spread = cut(asked.mapInArrow(expand, "crowd long, rep long, fp long, more long, c long, s long, class long, asks boolean"))
+                size, c = column["size"][i].as_py(), column["c"][i].as_py()
+                s, n, main, open_ = (column[k][i].values.to_numpy(zero_copy_only=False) for k in ("s", "n", "main", "open"))
+                order = np.lexsort((s, n))
+                for asks in (False, True):
+                    places, classes = (asking if asks else answering)(size, similarity)
+                    at = places - (size - len(order))  # the text's own shingles come first and meet nothing
+                    places, classes, at = places[at >= 0], classes[at >= 0], order[at[at >= 0]]
+                    meets = open_[at] & (main[at] != c) if asks else open_[at]
+                    ids = [pa.array(np.full(int(meets.sum()), column[k][i].as_py(), np.int64)) for k in ("rep", "fp", "more", "c", "size")]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(s[at][meets]), pa.array(places[meets]), pa.array(classes[meets]), pa.array(np.full(int(meets.sum()), asks))], schema=schema)
+
+    spread = cut(told.mapInArrow(expand, "rep long, fp long, more long, c long, size long, s long, place long, class long, asks boolean"))
     x, y = spread.where("asks").alias("x"), spread.where("not asks").alias("y")
-    same = (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.class") == F.col("y.class"))
-    return x.join(y, same & (F.col("x.c") != F.col("y.c")) & _near("x.", "y.", max_bits)).select(*_pairs("x.rep", "y.rep")).distinct()
-
-
-def rare_first(bag: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set, those that are not common first, then by count; ties by value."""
-    at = np.searchsorted(common, bag)
-    here = at < len(common)
-    here[here] = common[at[here]] == bag[here]
-    n = np.zeros(len(bag), np.int64)
-    n[here] = counts[at[here]]
-    return bag[np.lexsort((bag, n))]
+    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.class") == F.col("y.class"))
+    after = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = after >= F.lit(similarity) * F.sqrt(F.col("x.size") * F.col("y.size")) - 1e-9
+    return x.join(y, same & (F.col("x.c") != F.col("y.c")) & enough & _near("x.", "y.", max_bits)).select(*_pairs("x.rep", "y.rep")).distinct()
 
 
 def size_class(n: int) -> int:
     return int(np.log(n) / np.log(STEP) + 1e-9)
 
 
-def answering(order: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of the prefix that holds whatever the other set's size, with the class of the set's own size."""
-    n = len(order)
+def answering(n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the prefix of a set of n shingles that holds whatever the other set's size, with the class of the set's own size."""
     if not n:
-        return order, order
-    prefix = order[: n - int(np.ceil(similarity**2 * n - 1e-9)) + 1]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    prefix = np.arange(n - int(np.ceil(similarity**2 * n - 1e-9)) + 1)
     return prefix, np.full(len(prefix), size_class(n), np.int64)
 
 
-def asking(order: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each class of sizes that the other set can have, the shingles of the prefix for the smallest size in it, with that class."""
-    n = len(order)
+def asking(n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of sizes that the other set can have, the places of the prefix for the smallest size in it, with that class."""
     if not n:
-        return order, order
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     out, classes = [], []
     for k in range(size_class(max(1, int(similarity**2 * n))), size_class(int(n / similarity**2) + 1) + 1):
         least = max(STEP**k - 1, similarity**2 * n)
-        prefix = order[: max(0, n - int(np.ceil(similarity * np.sqrt(n * least) - 1e-9)) + 1)]
+        prefix = np.arange(max(0, n - int(np.ceil(similarity * np.sqrt(n * least) - 1e-9)) + 1))
         out.append(prefix)
         classes.append(np.full(len(prefix), k, np.int64))
     return np.concatenate(out), np.concatenate(classes)
@@ -268,15 +298,19 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     # A key's number of texts is combined before the shuffle, so a key with a third of all texts costs no more than others.
     sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     few = keys.join(sizes.where(F.col("n") <= CROWD).select("key"), "key").withColumn("c", F.col("rep"))
-    near = cut(listed_pairs(few, max_bits))
-    hot = sizes.where(F.col("n") > CROWD)
+    near, dense = listed_pairs(few, max_bits)
+    hot = cut(sizes.where(F.col("n") > CROWD).unionByName(sizes.join(dense, "key")))
     crowd = cut(keys.join(sized_broadcast(hot, hot.count(), HOT_KEYS), "key"))
-    ends = cut(near.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct())
-    held = cut(bags(docs, ends, text, key, shingle))
+
+    def fetch(ends: DataFrame) -> DataFrame:
+        return cut(bags(docs, cut(ends.distinct()), text, key, shingle))
+
     links = twins
-    if not crowd.isEmpty():
-        known, rest = crowded_links(crowd, held, max_bits, similarity)
-        near, links = cut(near.unionByName(rest).distinct()), links.unionByName(known)
+    if crowd.isEmpty():
+        held = fetch(_ends(near))
+    else:
+        known, near, held = crowded_links(crowd, near, fetch, max_bits, similarity)
+        near, links = cut(near), links.unionByName(known)
     parts = connected_components(links.unionByName(verified(near, held, similarity)))
     gone = free_name(docs, "gone")
     losers = parts.where("node != component").select(F.col("node").alias(gone)).distinct()

@@ -221,6 +221,41 @@ def test_near_copies_under_crowded_keys(spark, monkeypatch, n, least, most, crow
     assert truth <= got <= kept_by_brute_force(rows) and len(rows) - len(got) >= 0.9 * (len(rows) - len(truth))
 
 
+def test_candidates_grow_with_the_texts(spark, monkeypatch):
+    """Copies that are alike in their words but in part not in their shingles are not all paired with each other, whether their keys are crowded or not."""
+    pairs, verified = [], near_dedup.verified
+
+    def counted(asked, held, similarity):
+        pairs.append(asked.count())
+        return verified(asked, held, similarity)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    rows = edited(random.Random(14), 500, 3, 40)
+    got, truth = {r.doc_id for r in near_dedup.keep_one(docs(spark, rows)).collect()}, kept_by_cosine(rows)
+    assert 0 < sum(pairs) <= 40 * len(rows)
+    assert truth <= got and len(rows) - len(got) >= 0.9 * (len(rows) - len(truth))
+
+
+def test_prefix_join_loses_no_pair(spark, monkeypatch):
+    """All pairs of two components with a cosine of 0.8 are among its pairs, whatever their sizes, and few others."""
+    monkeypatch.setattr(near_dedup, "MORE_BITS", 64)
+    rng = random.Random(15)
+    rows = []
+    for k, text in enumerate([*(t for _, t in edited(rng, 150, 0, 30)), *(t for _, t in edited(rng, 50, 0, 9))]):
+        words = text.split()
+        at = rng.randrange(60)
+        rows.append((k, " ".join(words[at : len(words) - rng.randrange(60)])))
+    rows += [(1000, "one two"), (1001, "one two"), (1002, "three")]
+    df = docs(spark, rows)
+    texts = df.select(F.col("doc_id").alias("rep"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("more"), (F.col("doc_id") / 3).cast("long").alias("c"))
+    held = near_dedup.bags(df, texts.select("rep"), "text", "doc_id", 5)
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(texts, held, 64, 0.8).collect()}
+    bags = {k: near_dedup.shingle_set(t.encode().lower().split(), 5) for k, t in rows}
+    apart = [(a, b) for a in bags for b in bags if a < b and a // 3 != b // 3]
+    alike = {p for p in apart if near_dedup.cosine(bags[p[0]], bags[p[1]]) >= 0.8}
+    assert len(alike) > 500 and alike <= got and len(got) < len(apart) / 2
+
+
 def test_near_duplicates_of_the_test_table(spark):
     rows = [(r.doc_id, " ".join(r.text.split())) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").collect()]
     first = {}
