@@ -125,6 +125,39 @@ def test_a_scan_for_many_queries_finds_what_the_join_finds(spark, tmp_path, smal
         assert hits(index.search(queries, limit)) == [h for h in hits(search.bm25(search.postings(frame(spark, live)), queries)) if h[1] <= limit]
 
 
+def records_shuffled(spark, run):
+    """Rows that the stages of run wrote to shuffles."""
+    sc = spark.sparkContext
+    jvm, gateway = sc._jvm, sc._gateway
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for stage, n in total().items() if stage not in before)
+
+
+def test_postings_are_written_without_being_rows(spark, tmp_path):
+    """A posting is a place in a block from the task on that has its chunk; only blocks and ids are shuffled. Before, every posting was a row, and every chunk's text too."""
+    rng = random.Random(6)
+    rows = [(k // 3, k, " ".join(rng.sample(WORDS, 30))) for k in range(600)]
+    index = Index(spark, str(tmp_path / "i"))
+    assert records_shuffled(spark, lambda: index.update(frame(spark, rows))) < 30 * 600 / 4
+    t = index.store.begin()
+    assert t.read("blocks").agg(F.sum("n")).first()[0] == 30 * 600 and t.read("stats").first().asDict() == {"segment": 1, "n": 600, "words": 18_000}
+
+
+def test_one_row_of_an_id_is_taken(spark, tmp_path, small):
+    rows = chunk_rows(random.Random(7), range(90))
+    index = Index(spark, str(tmp_path / "i"))
+    index.update(frame(spark, rows + rows[:40] + rows[30:35]).repartition(3))
+    assert hits(index.search(ask(spark), 9)) == hits(search.bm25(search.postings(frame(spark, rows)), ask(spark), 9))
+    assert index.postings().where("term = ''").count() == 90
+
+
 def vectors_of(spark, x, extra=()):
     return spark.createDataFrame([(k // 5, k, v.tolist()) for k, v in enumerate(x)] + list(extra), "document_id long, chunk_id long, embedding array<double>")
 
