@@ -150,6 +150,17 @@ def test_postings_are_written_without_being_rows(spark, tmp_path):
     assert t.read("blocks").agg(F.sum("n")).first()[0] == 30 * 600 and t.read("stats").first().asDict() == {"segment": 1, "n": 600, "words": 18_000}
 
 
+def test_a_removal_writes_places_and_no_terms(spark, tmp_path):
+    rows = [(k // 3, k, " ".join(WORDS[k % 10 : k % 10 + 30]) + " a" * (300 * (k == 5))) for k in range(600)]
+    index, gone = Index(spark, str(tmp_path / "i")), spark.range(0, 600, 3).toDF("chunk_id")
+    index.update(frame(spark, rows))
+    assert records_shuffled(spark, lambda: index.update(remove=gone)) < 30 * 200 / 2  # before: a row for each chunk and term
+    queries = spark.createDataFrame([(k, f"w{k} a") for k in range(40)], "query_id long, text string")
+    live = search.postings(frame(spark, [r for r in rows if r[1] % 3]))
+    for asked in (queries, queries.where("query_id < 3")):  # by a scan, by slots
+        assert hits(index.search(asked, 4)) == [h for h in hits(search.bm25(live, asked)) if h[1] <= 4]
+
+
 def test_one_row_of_an_id_is_taken(spark, tmp_path, small):
     rows = chunk_rows(random.Random(7), range(90))
     index = Index(spark, str(tmp_path / "i"))
