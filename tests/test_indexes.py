@@ -125,15 +125,15 @@ def test_a_scan_for_many_queries_finds_what_the_join_finds(spark, tmp_path, smal
         assert hits(index.search(queries, limit)) == [h for h in hits(search.bm25(search.postings(frame(spark, live)), queries)) if h[1] <= limit]
 
 
-def records_shuffled(spark, run):
-    """Rows that the stages of run wrote to shuffles."""
+def records_shuffled(spark, run, told="shuffleWriteRecords"):
+    """Rows, or bytes, that the stages of run wrote to shuffles."""
     sc = spark.sparkContext
     jvm, gateway = sc._jvm, sc._gateway
 
     def total():
         sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+        return {(s.stageId(), s.attemptId()): getattr(s, told)() for s in map(stages.apply, range(stages.size()))}
 
     before = total()
     run()
@@ -161,6 +161,17 @@ def test_a_removal_writes_places_and_no_terms(spark, tmp_path):
         assert hits(index.search(asked, 4)) == [h for h in hits(search.bm25(live, asked)) if h[1] <= 4]
 
 
+def test_a_scan_shuffles_few_bytes_for_a_posting(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k // 3, k, " ".join(rng.sample(WORDS, 20))) for k in range(6000)]
+    index = Index(spark, str(tmp_path / "i"))
+    index.update(frame(spark, rows))
+    queries = spark.createDataFrame([(k, WORDS[k]) for k in range(40)], "query_id long, text string")
+    found = []
+    sent = records_shuffled(spark, lambda: found.extend(hits(index.search(queries, 2))), "shuffleWriteBytes")
+    assert len(found) == 80 and sent < 4 * 20 * 6000  # before: each with the ids of its chunk and document, its count and length
+
+
 def test_one_row_of_an_id_is_taken(spark, tmp_path, small):
     rows = chunk_rows(random.Random(7), range(90))
     index = Index(spark, str(tmp_path / "i"))
